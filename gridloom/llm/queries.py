@@ -45,3 +45,15 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
+
+
+_TOKENS = """s AS (SELECT DISTINCT item, attr FROM array_cells WHERE is_na = false AND val IS NOT NULL AND NOT isnan(val) AND val <> 0 AND item IS NOT NULL AND attr IS NOT NULL),
+  n AS (SELECT item, count(*) AS n FROM s GROUP BY item),
+  p AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS o FROM s a JOIN s b ON a.attr = b.attr AND a.item < b.item GROUP BY ALL),
+  j AS (SELECT item_a, item_b FROM p JOIN n x ON x.item = item_a JOIN n y ON y.item = item_b WHERE o * 5 >= 3 * (x.n + y.n - o))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_found": f"WITH {_TOKENS} SELECT item_a, item_b FROM j",
+    }
