@@ -58,7 +58,9 @@ def number_rows(df: DataFrame, key: str, order: str, chunk_rows: int = CHUNK_ROW
     return out.select(*cols, pos.alias("pos"), F.floor((pos - 1) / chunk_rows).cast("long").alias("chunk"))
 
 
-LARGEST = [F.max("val").alias("val")]
+def largest() -> list[Column]:
+    """Repeated cells count once, with their largest value."""
+    return [F.max("val").alias("val")]
 
 
 def whole_cells(cells: DataFrame) -> DataFrame:
@@ -88,7 +90,7 @@ def crowded_top_rows(cells: DataFrame, one_in: int = 80, k: int = 10, chunk_rows
     """
     hot = crowded_keys(cells, "col_id", one_in)
     rows = whole_cells(cells.where(F.col("col_id").isin(hot) if hot else F.lit(False)))
-    numbered = number_rows(rows, "col_id", "row_id", chunk_rows, buckets, merge=LARGEST)
+    numbered = number_rows(rows, "col_id", "row_id", chunk_rows, buckets, merge=largest())
     best = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("val"), F.asc("row_id")))
     states = numbered.withColumn("_r", best("col_id", "chunk")).where(F.col("_r") <= k)
     return states.withColumn("rank", best("col_id")).where(F.col("rank") <= k).select("col_id", "row_id", "val", "rank")
@@ -102,7 +104,7 @@ def column_profile(cells: DataFrame, chunk_rows: int = CHUNK_ROWS, buckets: int
     of its state; the gap between two chunks comes from the boundary states
     (last row of one, first row of the next) merged in order.
     """
-    numbered = number_rows(whole_cells(cells), "col_id", "row_id", chunk_rows, buckets, range_bounds(cells, "row_id", buckets), LARGEST)
+    numbered = number_rows(whole_cells(cells), "col_id", "row_id", chunk_rows, buckets, range_bounds(cells, "row_id", buckets), largest())
     gap = F.col("row_id") - F.lag("row_id").over(W.partitionBy("col_id", "chunk").orderBy("pos"))
     states = numbered.withColumn("_g", gap).groupBy("col_id", "chunk").agg(
         F.count("*").alias("n"), F.max("val").alias("mx"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.max("_g").alias("g")
