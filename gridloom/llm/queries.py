@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import groups, linkage, setjoin
+from gridloom.llm import groups, linkage, mixing, residue, setjoin, tokens, vectortree
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -43,6 +43,34 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return linkage.describe_groups(_t(spark, d, "cells"), _t(spark, d, "coldom"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near, _ = vectortree.most_similar(_t(spark, d, "profile_rows"), k=10, least=0.9, recall=0.995)
+    return near.select(F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Queries are all items whose id is divisible by 100, against all items."""
+    near, _ = vectortree.most_similar(_t(spark, d, "profile_rows"), k=10, every=100, recall=0.95)
+    return near.select("item", "other", F.col("rank").cast("int").alias("rank"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(_t(spark, d, "documents"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    counted, listed = mixing.weigh(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+    return mixing.fair_mix(counted, listed)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, d), _t(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(_t(spark, d, "documents")).select("doc_id")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
