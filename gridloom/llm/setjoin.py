@@ -26,8 +26,9 @@ from gridloom.plans.materialize import materialize
 
 #: Counters of the token sketch, and so the most rows of the table that is broadcast.
 SKETCH = 1 << 18
-#: A key expected to hold more records than this is extended by a further token.
+#: A key expected to hold more records than this is extended by a further token; at least a few times what a counter holds on average, below which its count says little.
 COMMON = 48
+ABOVE_MEAN = 4
 LEVELS = 4
 GIANT = 4096
 
@@ -86,8 +87,9 @@ def _need(t: Fraction, n: str) -> str:
     return f"(({t.numerator} * {n} + {t.denominator - 1}) div {t.denominator})"
 
 
-def keyed(reps: DataFrame, t: Fraction, n_sets: int) -> DataFrame:
+def keyed(reps: DataFrame, t: Fraction, n_sets: int, n_rows: int) -> DataFrame:
     """(k, lvl, id, n, toks, s1, s2): a row for each key of each record."""
+    common = max(COMMON, ABOVE_MEAN * n_rows // SKETCH)
     need = _need(t, "n")
     reach = lambda lvl: f"least(n, n - {need} + {lvl})"
     d = reps.selectExpr("*", f"posexplode(slice(toks, 1, {reach(1)})) as (i1, t1)").selectExpr("*", "dfs[i1] as e1", "xxhash64(t1) as k1").where("e1 > 1")
@@ -96,7 +98,7 @@ def keyed(reps: DataFrame, t: Fraction, n_sets: int) -> DataFrame:
         # -2: the key ends here; -1: it goes on, but a record this small may share no further token, so it ends here too
         short = f"if({t.numerator} * n <= {lvl * t.denominator}, array(-1), array())"
         further = f"if(i + 1 < {reach(lvl + 1)}, sequence(i + 1, {reach(lvl + 1)} - 1), array())"
-        d = d.selectExpr("* except (done)", f"explode(if(done or est <= {COMMON}, array(-2), concat({short}, {further}))) as j", "done as was")
+        d = d.selectExpr("* except (done)", f"explode(if(done or est <= {common}, array(-2), concat({short}, {further}))) as j", "done as was")
         d = d.selectExpr(
             "* except (est, k, lvl, i, was, j)",
             f"if(j >= 0, est * dfs[j] / {max(n_sets, 1)}D, est) as est",
@@ -113,14 +115,16 @@ def similar_classes(sets: DataFrame, giants: DataFrame, members: DataFrame, thre
     num, den = threshold.numerator, threshold.denominator
     spare = members.where(F.col("id") != F.col("rep")).select(F.col("id").alias("sid"))
     reps = sets.join(spare, F.col("id") == F.col("sid"), "left_anti")
-    post = keyed(reps, threshold, sets.count())
+    of = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    post = keyed(reps, threshold, of.n, of.rows)
     a, b = (post.select(F.col("k"), *[F.col(c).alias(f"{c}{s}") for c in ("lvl", "id", "n", "toks", "s1", "s2")]) for s in "ab")
     # |A xor B| is at most (na + nb) (1 - t) / (1 + t); the bitmaps differ in no more bits
     close = f"ida < idb and {num} * greatest(na, nb) <= {den} * least(na, nb) and (bit_count(s1a ^ s1b) + bit_count(s2a ^ s2b)) * {den + num} <= (na + nb) * {den - num}"
-    c = a.join(b, "k").where(close).selectExpr("*", "array_intersect(toksa, toksb) as common").selectExpr("*", "size(common) as both")
+    # explode is a fence: the filters below read the intersection and never compute it again
+    c = a.join(b, "k").where(close).selectExpr("*", "explode(array(array_intersect(toksa, toksb))) as common")
     first = "case lvla " + " ".join(f"when {x} then xxhash64({'xxhash64(' * (x - 1)}common[0]{''.join(f'), common[{y}]' for y in range(1, x))})" for x in range(1, LEVELS + 1)) + " end"
-    c = c.where(f"both * {den} >= {num} * (na + nb - both) and lvla = lvlb and both >= lvla").where(f"k = {first}")
-    pairs = c.selectExpr("ida as a", "idb as b", "both", "na", "nb")
+    c = c.where(f"size(common) * {den} >= {num} * (na + nb - size(common)) and lvla = lvlb and size(common) >= lvla").where(f"k = {first}")
+    pairs = c.selectExpr("ida as a", "idb as b", "size(common) as both", "na", "nb")
 
     large = sets.where(F.col("n") * den >= num * GIANT)
     own = giants.groupBy("id").agg(F.count("*").alias("n"))
