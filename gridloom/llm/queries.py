@@ -81,7 +81,22 @@ _TOKENS = """s AS (SELECT DISTINCT item, attr FROM array_cells WHERE is_na = fal
   j AS (SELECT item_a, item_b FROM p JOIN n x ON x.item = item_a JOIN n y ON y.item = item_b WHERE o * 5 >= 3 * (x.n + y.n - o))"""
 
 
+_LINKS = """RECURSIVE r AS (SELECT DISTINCT x AS label FROM tree_pairs WHERE x IS NOT NULL UNION SELECT y FROM tree_pairs WHERE y IS NOT NULL),
+  e AS (SELECT x AS a, y AS b FROM tree_pairs WHERE x IS NOT NULL AND y IS NOT NULL AND val >= 0.5 AND NOT isnan(val) UNION SELECT y, x FROM tree_pairs WHERE x IS NOT NULL AND y IS NOT NULL AND val >= 0.5 AND NOT isnan(val)),
+  walk AS (SELECT label, label AS top FROM r UNION SELECT b, top FROM walk JOIN e ON label = a),
+  g AS (SELECT label, min(top) AS group_label FROM walk GROUP BY label)"""
+
+_COLUMNS = """s AS (SELECT DISTINCT col_id, row_id FROM cells SEMI JOIN (SELECT id AS col_id FROM coldom) USING (col_id) WHERE row_id IS NOT NULL AND val IS NOT NULL AND val <> 0),
+  n AS (SELECT col_id, count(*) AS n FROM s GROUP BY col_id),
+  p AS (SELECT a.col_id AS col_a, b.col_id AS col_b, count(*) AS o FROM s a JOIN s b ON a.row_id = b.row_id AND a.col_id < b.col_id GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_TOKENS} SELECT item_a, item_b FROM j",
+        "p1_links": f"""WITH {_TOKENS}, z AS (SELECT item, list_sort(list(attr)) AS l FROM s GROUP BY item), k AS (SELECT item, min(item) OVER (PARTITION BY l) AS class_id FROM z),
+          b AS (SELECT item_a AS item FROM j UNION ALL SELECT item_b FROM j) SELECT item, class_id, count(b.item) AS n_links FROM k LEFT JOIN b USING (item) GROUP BY item, class_id""",
+        "p2_found": f"WITH {_LINKS} SELECT label, group_label FROM g",
+        "p2_group_sizes": f"WITH {_LINKS} SELECT group_label, count(*) AS n_records, max(label) AS last_label FROM g GROUP BY group_label",
+        "p4_found": f"WITH {_COLUMNS} SELECT col_a, col_b FROM p JOIN n x ON x.col_id = col_a JOIN n y ON y.col_id = col_b WHERE o * 20 >= 9 * (x.n + y.n - o)",
     }
