@@ -20,7 +20,7 @@ def _col() -> W:
 
 
 def column_stats(m: Matrix, power: float = 2.0, complete: bool = True) -> DataFrame:
-    """(col_id, n, total, power_sum, norm, top, least, highest_row, self_val, has_loop) of every column; ``complete`` keeps empty columns with zeros and null extremes."""
+    """(col_id, n, total, power_sum, norm, top, least, highest_row, self_val, has_loop) of every column; ``complete`` keeps empty columns with zeros, null extremes and -1 for the highest row."""
     loop = F.col("col_id") == F.col("row_id")
     ps = F.sum(F.pow("val", F.lit(power)))
     s = m.cells.groupBy("col_id").agg(
@@ -30,7 +30,7 @@ def column_stats(m: Matrix, power: float = 2.0, complete: bool = True) -> DataFr
     if not complete:
         return s
     z = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
-    return m.cols.join(s, F.col("id") == F.col("col_id"), "left").select(F.col("id").alias("col_id"), z("n", 0), z("total", 0.0), z("power_sum", 0.0), z("norm", 0.0), "top", "least", "highest_row", z("self_val", 0.0), z("has_loop", 0))
+    return m.cols.join(s, F.col("id") == F.col("col_id"), "left").select(F.col("id").alias("col_id"), z("n", 0), z("total", 0.0), z("power_sum", 0.0), z("norm", 0.0), "top", "least", z("highest_row", -1), z("self_val", 0.0), z("has_loop", 0))
 
 
 def row_sizes(m: Matrix) -> DataFrame:
@@ -170,7 +170,7 @@ def ceil_neighbours(m: Matrix, most: int) -> Matrix:
                     near.get(r, {}).pop(c, None)
         return pd.DataFrame(gone, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
-    cut = arcs.groupBy(F.lit(0)).applyInPandas(go, "a bigint, b bigint")
+    cut = arcs.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(go, "a bigint, b bigint")
     both = cut.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(cut.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
     return m.put(m.cells.join(both, (F.col("col_id") == F.col("x")) & (F.col("row_id") == F.col("y")), "left_anti"))
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import chunking
-from gridloom.sources import rejects
+from gridloom.functions import edge
+from gridloom.functions.merge import MERGES
+from gridloom.matrix import Matrix, cells_of, domain
+from gridloom.operators import aggregates, chunking, clusters, flow, graphs, hierarchy, pairs, randomize, reshape, setops
+from gridloom.plans import blocks, program, transform
+from gridloom.sources import dump, labels, rejects, streams, tables
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,21 +33,714 @@ def p6_good(spark: SparkSession, d: str) -> DataFrame:
     return rejects.good_rows(rejects.load_label_lines(_t(spark, d, "tab_lines"), _t(spark, d, "coldom")))
 
 
-def queries() -> dict:
-    return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
+# ---- tables of the star schema seen as matrices
+
+
+def part_cells(spark: SparkSession, d: str, least: int = 2, urgent: bool | None = None) -> DataFrame:
+    """Parts ordered together, by number of common orders; optionally of urgent or other orders only."""
+    lp = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    if urgent is not None:
+        o = _t(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") == urgent).select(F.col("o_orderkey").alias("k"))
+        lp = lp.join(o, F.col("o") == F.col("k"), "left_semi")
+    a, b = lp.select("o", F.col("p").alias("col_id")), lp.select(F.col("o").alias("o2"), F.col("p").alias("row_id"))
+    c = a.join(b, (F.col("o") == F.col("o2")) & (F.col("col_id") != F.col("row_id"))).groupBy("col_id", "row_id").agg(F.count("*").cast("double").alias("val"))
+    return c.where(F.col("val") >= least)
+
+
+def part_graph(spark: SparkSession, d: str, least: int = 2, urgent: bool | None = None) -> Matrix:
+    nodes = _t(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    return Matrix(part_cells(spark, d, least, urgent), nodes, nodes)
+
+
+def trade(spark: SparkSession, d: str) -> Matrix:
+    """Directed: order lines from the supplier's nation (column) to the customer's (row), in thousandths of all lines."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    c = _t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("row_id"))
+    s = _t(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("col_id"))
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    nodes = _t(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"))
+    return Matrix(j.groupBy("col_id", "row_id").agg(F.count("*").cast("double").alias("val")), nodes, nodes)
+
+
+def nation_net(spark: SparkSession, d: str) -> Matrix:
+    """Nations linked where either is among the other's three largest customers; weights are the larger of both directions."""
+    t = trade(spark, d)
+    return setops.merge_transpose(reshape.drop_loops(aggregates.top_k(reshape.drop_loops(t), 3)), "max")
+
+
+def by_brand(spark: SparkSession, d: str) -> DataFrame:
+    """(cluster, node): parts by the number in their brand."""
+    return _t(spark, d, "part").select(F.regexp_extract("p_brand", "(\\d+)", 1).cast("bigint").alias("cluster"), F.col("p_partkey").alias("node"))
+
+
+def by_size(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "part").select(F.col("p_size").cast("bigint").alias("cluster"), F.col("p_partkey").alias("node"))
+
+
+def cells_matrix(spark: SparkSession, d: str) -> Matrix:
+    c = setops.dedupe(cells_of(_t(spark, d, "cells")), "max")
+    return Matrix(c, _t(spark, d, "coldom").select("id"), _t(spark, d, "rowdom").select("id"))
+
+
+def _r(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded for comparison."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).alias(c) for c, t in df.dtypes])
+
+
+def _cells(m: Matrix) -> DataFrame:
+    return _r(m.cells.select("col_id", "row_id", "val"))
+
+
+def _digest(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(op, n, total) of several results."""
+    out = None
+    for name, c in parts:
+        one = c.agg(F.lit(name).alias("op"), F.count("*").alias("n"), F.round(F.coalesce(F.sum("val"), F.lit(0.0)), 4).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---- 2.3, 2.4, 2.17: functions of weights
+
+
+def edge_functions(spark: SparkSession, d: str) -> DataFrame:
+    m = part_graph(spark, d)
+    ops = [("gq", 3), ("gt", 3), ("lq", 3), ("lt", 3), ("mul", 1.5), ("scale", 4), ("add", -2), ("abs", None), ("ceil", 2.5), ("floor", 2.5), ("pow", 0.5), ("exp", None), ("exp", 2), ("log", None), ("log", 10), ("neglog", None), ("const", 7)]
+    return _digest([(f"{n}_{'' if a is None else a}", edge.unary(m, edge.OPS[n]() if a is None else edge.OPS[n](a)).cells) for n, a in ops])
+
+
+def edge_chain(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(edge.unary(part_graph(spark, d), edge.add(-2), edge.mul(3), edge.log(), edge.floor(0.5)))
+
+
+def merge_functions(spark: SparkSession, d: str) -> DataFrame:
+    a, b = part_graph(spark, d, 1, True), part_graph(spark, d, 1, False)
+    tagged = setops.merge_cells(a.cells, b.cells, lambda l, r: l * 4096 + r)
+    l, r = F.floor(F.col("val") / 4096), F.pmod("val", F.lit(4096))
+    base = tagged.select(l.cast("double").alias("l"), r.cast("double").alias("r"))
+    names = sorted(MERGES)
+    wide = base.select(*[MERGES[n](F.col("l"), F.col("r")).cast("double").alias(n) for n in names])
+    agg = wide.agg(*[x for n in names for x in (F.count(F.when(F.col(n) != 0, 1)).alias(f"n_{n}"), F.sum(n).alias(f"t_{n}"))])
+    rows = F.array(*[F.struct(F.lit(n).alias("op"), F.col(f"n_{n}").alias("n"), F.round(f"t_{n}", 4).alias("total")) for n in names])
+    return agg.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def arc_filters(spark: SparkSession, d: str) -> DataFrame:
+    m = trade(spark, d)
+    m = m.put(aggregates.stochastic(m).cells.withColumn("val", F.round(F.col("val") * 1000)))
+    return _digest([(f"{k}_{c}", setops.arc_select(m, k, c, 40.0 if k != "diff" else 5.0).cells) for k in ("max", "min", "diff") for c in ("gq", "gt", "lq", "lt")])
+
+
+# ---- 2.5: joins, set operations, products
+
+
+def matrix_add(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(setops.binary(part_graph(spark, d, 2, True), part_graph(spark, d, 2, False), "add"))
+
+
+def matrix_hadamard(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(setops.hadamard(part_graph(spark, d, 1, True), part_graph(spark, d, 2, False)))
+
+
+def matrix_minus(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(setops.restrict_columns(part_graph(spark, d, 2), part_graph(spark, d, 1, True), keep=False))
+
+
+def matrix_meet(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(setops.restrict_columns(part_graph(spark, d, 2), part_graph(spark, d, 1, True), keep=True))
+
+
+def update_meet(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(setops.update_where(part_graph(spark, d, 2), part_graph(spark, d, 1, True), lambda l, r: l * 10 + r))
+
+
+def inner_products(spark: SparkSession, d: str) -> DataFrame:
+    return _r(setops.inner_products(part_graph(spark, d, 1, True), part_graph(spark, d, 1, False)))
+
+
+def domain_parts(spark: SparkSession, d: str) -> DataFrame:
+    cells = _t(spark, d, "cells")
+    return setops.count_parts(_t(spark, d, "coldom").select("id"), domain(cells, "col_id"))
+
+
+def domain_relations(spark: SparkSession, d: str) -> DataFrame:
+    return setops.relate(domain(_t(spark, d, "tab"), "id"), _t(spark, d, "coldom").select("id"))
+
+
+def domain_embed(spark: SparkSession, d: str) -> DataFrame:
+    deg = part_cells(spark, d).groupBy(F.col("col_id").alias("id")).agg(F.sum("val").alias("val"))
+    return setops.embed(deg, _t(spark, d, "part").select(F.col("p_partkey").alias("id")), -1.0)
+
+
+def transpose_sum(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(setops.add_transpose(trade(spark, d), 0.5))
+
+
+def mutual_arcs(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(setops.mutual(aggregates.top_k(trade(spark, d), 5)))
+
+
+def compose(spark: SparkSession, d: str) -> DataFrame:
+    m = part_graph(spark, d)
+    return _cells(setops.compose(m, m))
+
+
+def compose_bipartite(spark: SparkSession, d: str) -> DataFrame:
+    """Brands x sizes: common parts, as a product of two incidence matrices."""
+    b, z = by_brand(spark, d), by_size(spark, d)
+    one = lambda c: Matrix.of(c.select(F.col("cluster").alias("col_id"), F.col("node").alias("row_id"), F.lit(1.0).alias("val")))
+    return _cells(setops.compose(one(z).t, one(b)))
+
+
+def power_step(spark: SparkSession, d: str) -> DataFrame:
+    """M to the fourth of the nation graph, scaled to columns of sum 1 first."""
+    return _cells(setops.step(aggregates.stochastic(trade(spark, d)), 2))
+
+
+def times_vector(spark: SparkSession, d: str) -> DataFrame:
+    v = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("val"))
+    return _r(setops.times_vector(part_graph(spark, d), v), 2)
+
+
+def dedupe_cells(spark: SparkSession, d: str) -> DataFrame:
+    c = cells_of(_t(spark, d, "cells"))
+    return _r(setops.dedupe(c, "max"), 6)
+
+
+def dedupe_sum(spark: SparkSession, d: str) -> DataFrame:
+    return _digest([("add", setops.dedupe(cells_of(_t(spark, d, "cells")), "add")), ("min", setops.dedupe(cells_of(_t(spark, d, "cells")), "min"))])
+
+
+# ---- 2.6: selection and reshaping
+
+
+def sub_matrix(spark: SparkSession, d: str) -> DataFrame:
+    m = cells_matrix(spark, d)
+    return _cells(reshape.sub(m, _t(spark, d, "tab").select("id").where("label IS NOT NULL").distinct(), m.rows.where("id % 3 = 0")))
+
+
+def extended_sub(spark: SparkSession, d: str) -> DataFrame:
+    m = part_graph(spark, d)
+    big = _t(spark, d, "part").where("p_size >= 45").select(F.col("p_partkey").alias("id"))
+    small = _t(spark, d, "part").where("p_size <= 3").select(F.col("p_partkey").alias("id"))
+    return _cells(reshape.extended_sub(m, big, small))
+
+
+def triangles_of_matrix(spark: SparkSession, d: str) -> DataFrame:
+    m = trade(spark, d)
+    return _digest([("lower", reshape.lower(m).cells), ("upper", reshape.upper(m).cells), ("no_loops", reshape.drop_loops(m).cells), ("loops_half", reshape.scale_loops(m, 0.5).cells)])
+
+
+def value_range(spark: SparkSession, d: str) -> DataFrame:
+    m = edge.select_values(cells_matrix(spark, d), 0.25, 0.75, strict_high=True)
+    return _cells(edge.select_ids(m, 1000, None))
+
+
+def loops(spark: SparkSession, d: str) -> DataFrame:
+    m = part_graph(spark, d)
+    out = [(h, reshape.set_loops(m, h).cells) for h in ("max", "sum", "one", "empty", "remove")]
+    return _digest(out)
+
+
+def loops_max(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(reshape.set_loops(part_graph(spark, d), "max"))
+
+
+def block_inside(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(reshape.block_union(part_graph(spark, d), by_brand(spark, d)))
+
+
+def block_between(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(reshape.block_union(part_graph(spark, d), by_brand(spark, d), inside=False))
+
+
+def block_partition(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(reshape.block_partition(part_graph(spark, d, 1), by_size(spark, d)))
+
+
+def unlink_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(reshape.unlink_nodes(part_graph(spark, d), 2, 6))
+
+
+def fold_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Parts folded into the smallest part of the same brand and size."""
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("node"), "p_brand", "p_size")
+    rep = p.groupBy(F.col("p_brand").alias("b"), F.col("p_size").alias("z")).agg(F.min("node").alias("representative"))
+    dup = p.join(rep, (F.col("p_brand") == F.col("b")) & (F.col("p_size") == F.col("z"))).select("node", "representative")
+    return _cells(reshape.fold(part_graph(spark, d), dup))
+
+
+def canonical_ids(spark: SparkSession, d: str) -> DataFrame:
+    return reshape.canonical_map(_t(spark, d, "coldom").select("id"))
+
+
+def map_ids(spark: SparkSession, d: str) -> DataFrame:
+    m = part_graph(spark, d)
+    return _cells(reshape.map_ids(m, reshape.affine_map(m.cols, 2, 5), reshape.affine_map(m.rows, 1, -1)))
+
+
+def scrub_domains(spark: SparkSession, d: str) -> DataFrame:
+    m = cells_matrix(spark, d)
+    s = reshape.scrub(m, "both")
+    n = lambda x, c: x.agg(F.count("*").alias("n")).select(F.lit(c).alias("domain"), "n")
+    return n(s.cols, "cols").unionByName(n(s.rows, "rows")).unionByName(n(m.cols, "all_cols")).unionByName(n(m.rows, "all_rows"))
+
+
+# ---- 2.7, 2.8: aggregates, ranks, selections by rank
+
+
+def column_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _r(aggregates.column_stats(cells_matrix(spark, d)), 6)
+
+
+def row_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.row_sizes(cells_matrix(spark, d))
+
+
+def matrix_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _r(aggregates.summary(cells_matrix(spark, d)), 2)
+
+
+def mean_sd(spark: SparkSession, d: str) -> DataFrame:
+    return _r(aggregates.mean_sd(part_graph(spark, d)))
+
+
+def column_median(spark: SparkSession, d: str) -> DataFrame:
+    return _r(aggregates.median(cells_matrix(spark, d)))
+
+
+def stochastic(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(aggregates.stochastic(part_graph(spark, d)))
+
+
+def inflate(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(aggregates.inflate(part_graph(spark, d), 1.8))
+
+
+def norm_self(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(aggregates.norm_self(trade(spark, d)))
+
+
+def z_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _r(aggregates.affine(trade(spark, d)))
+
+
+def top_k_drop(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(aggregates.top_k(cells_matrix(spark, d), 5))
+
+
+def top_k_keep(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(aggregates.top_k(part_graph(spark, d), 3, "keep"))
+
+
+def top_k_above(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(aggregates.top_k(part_graph(spark, d), 3, "above"))
+
+
+def k_bar(spark: SparkSession, d: str) -> DataFrame:
+    return _r(aggregates.k_bar(cells_matrix(spark, d), 3))
+
+
+def knn(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(aggregates.knn(trade(spark, d), 8))
+
+
+def quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(aggregates.quantiles(trade(spark, d), 0.3))
+
+
+def ssq_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(aggregates.ssq(trade(spark, d), 1.0))
+
+
+def average_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return _r(aggregates.ranks(part_graph(spark, d).cells))
+
+
+def ceil_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(aggregates.ceil_neighbours(part_graph(spark, d), 6))
+
+
+def columns_by_size(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.columns_by_size(trade(spark, d), "sum")
+
+
+def collect_tables(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    one = lambda p: o.where(F.col("o_orderpriority") == p).groupBy(F.col("o_custkey").cast("string").alias("label")).agg(F.count("*").cast("double").alias("val"))
+    return labels.collect_values([one("1-URGENT"), one("2-HIGH"), one("5-LOW")], "paste").select("label", *[F.coalesce(f"val_{i}", F.lit(0.0)).alias(f"val_{i}") for i in range(3)])
+
+
+# ---- 2.9: transform programs
+
+
+def transform_program(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(transform.run(trade(spark, d), "gq(2),#selfrm(),#max(),#knn(9),pow(0.5),mul(2)"))
+
+
+def transform_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(transform.run(part_graph(spark, d), "gq(3), add(1), log(2), ceil(2.2)"))
 
-_CLEAN = """clean AS (SELECT col_id, row_id, max(val) AS val FROM cells
-  WHERE col_id IS NOT NULL AND row_id IS NOT NULL AND val IS NOT NULL AND NOT isnan(val) GROUP BY col_id, row_id)"""
 
+def common_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _r(graphs.neighbour_cosine(part_graph(spark, d)))
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p3_found": f"""WITH crowded AS (SELECT col_id FROM cells WHERE col_id IS NOT NULL GROUP BY col_id HAVING count(*) * 80 >= (SELECT count(*) FROM cells)),
-          {_CLEAN}, r AS (SELECT col_id, row_id, row_number() OVER (PARTITION BY col_id ORDER BY val DESC, row_id) AS k FROM clean JOIN crowded USING (col_id))
-          SELECT col_id, row_id FROM r WHERE k <= 10""",
-        "p3_column_profile": f"""WITH {_CLEAN}, g AS (SELECT *, row_id - lag(row_id) OVER (PARTITION BY col_id ORDER BY row_id) AS gap,
-            row_number() OVER (PARTITION BY col_id ORDER BY row_id) AS pos, count(*) OVER (PARTITION BY col_id) AS n FROM clean)
-          SELECT col_id, count(*) AS n_cells, max(val) AS max_val, min(row_id) AS first_row, max(row_id) AS last_row,
-            coalesce(max(gap), 0) AS widest_gap, max(CASE WHEN pos = (n + 1) // 2 THEN row_id END) AS median_row FROM g GROUP BY col_id""",
-    }
+
+# ---- 2.10: flow clustering
+
+
+def flow_prepare(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(flow.prepare(part_graph(spark, d)))
+
+
+def flow_round(spark: SparkSession, d: str) -> DataFrame:
+    """One expansion, pruning at 0.02 and inflation, with the convergence number of every cell's column."""
+    m = flow.prepare(part_graph(spark, d))
+    p = flow.prune(flow.expand(m), 0.02)
+    chaos = p.select(F.col("col_id").alias("c"), "chaos").distinct()
+    out = aggregates.inflate(m.put(p.select("col_id", "row_id", "val")), 2.0).cells
+    near = lambda c: (F.col(c) + 1e-9).alias(c)  # noqa: E731  # off the ties that fractions of powers of two would be when rounded
+    return _r(out.join(chaos, F.col("col_id") == F.col("c")).select("col_id", "row_id", near("val"), near("chaos")))
+
+
+def flow_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return flow.cluster(part_graph(spark, d), flow.Flow(inflation=2.0))
+
+
+def flow_dag(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(flow.dag(flow.prepare(trade(spark, d))))
+
+
+def flow_homogeneity(spark: SparkSession, d: str) -> DataFrame:
+    m = flow.prepare(trade(spark, d))
+    return _r(flow.homogeneity(m, flow.expand(m)))
+
+
+# ---- 2.11: graph measures
+
+
+def graph_components(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.components(part_graph(spark, d, 3))
+
+
+def tree_components(spark: SparkSession, d: str) -> DataFrame:
+    """Single linkage over tree_pairs cut at 0.8: sizes of the components by smallest label's number."""
+    t = _t(spark, d, "tree_pairs").where("x IS NOT NULL AND y IS NOT NULL AND val IS NOT NULL AND NOT isnan(val)")
+    ids = streams.label_ids(t.select(F.explode(F.array("x", "y")).alias("label")))
+    e = t.join(ids.select(F.col("id").alias("a"), F.col("label").alias("lx")), F.col("x") == F.col("lx")).join(ids.select(F.col("id").alias("b"), F.col("label").alias("ly")), F.col("y") == F.col("ly")).select("a", "b", "val")
+    sizes = graphs.threshold_components(e, 0.8).groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.join(ids, F.col("component") == F.col("id")).select("label", "size")
+
+
+def eccentricity(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.eccentricity(nation_net(spark, d))
+
+
+def betweenness(spark: SparkSession, d: str) -> DataFrame:
+    return _r(graphs.betweenness(nation_net(spark, d)))
+
+
+def clustering_coefficient(spark: SparkSession, d: str) -> DataFrame:
+    return _r(graphs.clustering_coefficient(part_graph(spark, d)))
+
+
+def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.distances(nation_net(spark, d), _t(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").cast("bigint").alias("id")))
+
+
+def path_lattice(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.path_lattice(nation_net(spark, d), 0, 24)
+
+
+def cycle_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.on_cycles(aggregates.top_k(reshape.drop_loops(trade(spark, d)), 1, "keep"))
+
+
+def node_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return _r(graphs.node_attributes(part_graph(spark, d)))
+
+
+def top_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.top_degree(part_graph(spark, d), 25)
+
+
+def weight_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.weight_histogram(cells_matrix(spark, d), 0.0, 0.1, 20)
+
+
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return _r(graphs.sweep_thresholds(nation_net(spark, d), [0.0, 100.0, 1000.0]))
+
+
+# ---- 2.12: all-pairs scores
+
+
+def _user_events(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").groupBy(F.col("user_id").alias("item"), "event_type").agg(F.sum("value").alias("val"))
+    kinds = _t(spark, d, "events").select("event_type").distinct().select("event_type", F.crc32(F.col("event_type").cast("binary")).alias("attr"))
+    return e.join(F.broadcast(kinds.withColumnRenamed("event_type", "k")), F.col("event_type") == F.col("k")).select("item", "attr", F.round("val", 3).alias("val")).where("val <> 0")
+
+
+def _supplier_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers and the sizes of the parts they ship 49 or more of at once."""
+    li = _t(spark, d, "lineitem").where("l_quantity >= 49").select("l_suppkey", "l_partkey")
+    p = _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("attr"))
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("item"), "attr").distinct().withColumn("val", F.lit(1.0))
+
+
+def pairs_pearson(spark: SparkSession, d: str) -> DataFrame:
+    return _r(pairs.scores(_user_events(spark, d), "pearson", 0.5))
+
+
+def pairs_spearman(spark: SparkSession, d: str) -> DataFrame:
+    return _r(pairs.scores(_user_events(spark, d), "spearman", 0.5))
+
+
+def pairs_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return _r(pairs.scores(_user_events(spark, d), "cosine", 0.99))
+
+
+def pairs_skew(spark: SparkSession, d: str) -> DataFrame:
+    return _r(pairs.scores(_user_events(spark, d), "cosine_skew", 1.1))
+
+
+def pairs_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    t = _supplier_sets(spark, d)
+    out = None
+    for k in ("tanimoto", "fp_cosine", "meet", "cover", "hamming", "subset", "subset_diff"):
+        one = pairs.scores(t, k).agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total")).withColumn("kind", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def pairs_content(spark: SparkSession, d: str) -> DataFrame:
+    return _r(pairs.scores(_user_events(spark, d), "content"), 3)
+
+
+# ---- 2.13: clusterings
+
+
+def contingency(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.contingency(by_brand(spark, d), by_size(spark, d))
+
+
+def cluster_distances(spark: SparkSession, d: str) -> DataFrame:
+    return _r(clusters.compare(by_brand(spark, d), by_size(spark, d)))
+
+
+def cluster_meet(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.meet(by_brand(spark, d), by_size(spark, d))
+
+
+def cluster_mates(spark: SparkSession, d: str) -> DataFrame:
+    return _r(clusters.mates(by_brand(spark, d), by_size(spark, d)))
+
+
+def node_volatility(spark: SparkSession, d: str) -> DataFrame:
+    kind = _t(spark, d, "part").select(F.length("p_type").cast("bigint").alias("cluster"), F.col("p_partkey").alias("node"))
+    return _r(clusters.volatility([by_brand(spark, d), by_size(spark, d), kind]))
+
+
+def granularity(spark: SparkSession, d: str) -> DataFrame:
+    return _r(clusters.granularity(by_size(spark, d)))
+
+
+def cluster_performance(spark: SparkSession, d: str) -> DataFrame:
+    return _r(clusters.performance(part_graph(spark, d), by_brand(spark, d)))
+
+
+def cluster_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _r(clusters.cluster_scores(part_graph(spark, d), by_brand(spark, d)))
+
+
+def cluster_projection(spark: SparkSession, d: str) -> DataFrame:
+    return _r(clusters.cluster_projection(part_graph(spark, d), by_brand(spark, d)))
+
+
+def residue_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of size above 25 have no cluster and join the brand that most of their weight goes to."""
+    some = by_brand(spark, d).join(_t(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("k")), F.col("node") == F.col("k"), "left_semi")
+    return clusters.residue(part_graph(spark, d), some)
+
+
+def enstrict_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Brands and sizes of odd parts as one overlapping clustering, cut to a partition; even parts are missing."""
+    odd = by_brand(spark, d).unionByName(by_size(spark, d).withColumn("cluster", F.col("cluster") + 1000)).where("node % 2 = 1")
+    nodes = _t(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    return clusters.by_smallest(clusters.enstrict(odd, nodes, "cut"))
+
+
+def enstrict_split(spark: SparkSession, d: str) -> DataFrame:
+    odd = by_brand(spark, d).unionByName(by_size(spark, d).withColumn("cluster", F.col("cluster") + 1000)).where("node % 2 = 1")
+    nodes = _t(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    return clusters.by_smallest(clusters.enstrict(odd, nodes, "split"))
+
+
+# ---- hierarchies
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    """Stack of customers: by nation, by region, all."""
+    c = _t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("n"))
+    n = _t(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_regionkey").cast("bigint").alias("r"))
+    j = c.join(n, F.col("n") == F.col("k"))
+    return hierarchy.stack([j.select(F.col("n").alias("cluster"), F.col("c_custkey").alias("node")), j.select(F.col("r").alias("cluster"), F.col("c_custkey").alias("node")), j.select(F.lit(0).cast("bigint").alias("cluster"), F.col("c_custkey").alias("node"))])
+
+
+def stack_to_cone(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.conify(_places(spark, d))
+
+
+def cone_to_stack(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.unconify(hierarchy.conify(_places(spark, d)))
+
+
+def stable_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return _r(hierarchy.stable(_places(spark, d), 0.2))
+
+
+def newick_tree(spark: SparkSession, d: str) -> DataFrame:
+    h = hierarchy.conify(_places(spark, d)).where("level > 0").select((F.col("level") - 1).alias("level"), "cluster", "node")
+    return hierarchy.newick(h).select("cluster", "tree")
+
+
+def coarse_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(hierarchy.coarse_graph(part_graph(spark, d), by_brand(spark, d)))
+
+
+def integrated_levels(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.integrate([by_brand(spark, d), by_size(spark, d)])
+
+
+# ---- 2.1, 2.2, 2.14: streams, dumps, programs
+
+
+def _abc_lines(spark: SparkSession, d: str) -> DataFrame:
+    t = _t(spark, d, "tree_pairs")
+    return t.select(F.concat_ws("\t", F.coalesce("x", F.lit("")), F.coalesce("y", F.lit("")), F.col("val").cast("string")).alias("value"))
+
+
+def load_labels(spark: SparkSession, d: str) -> DataFrame:
+    """tree_pairs as label lines, mirrored, repeats merged by the largest value, dumped as label pairs."""
+    m = streams.load(streams.read_abc(_abc_lines(spark, d)), mirror=True)
+    return _r(dump.pairs(m.matrix, m.col_tab, m.row_tab))
+
+
+def load_numbers(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "cells")
+    lines = c.select(F.concat_ws(" ", F.coalesce(F.col("col_id").cast("string"), F.lit("x")), F.coalesce(F.col("row_id").cast("string"), F.lit("x")), F.col("val").cast("string")).alias("value"))
+    return _cells(streams.load(streams.read_123(lines)).matrix)
+
+
+def load_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as lines of their part ids."""
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), " ").alias("p"))
+    lines = li.select(F.concat(F.col("l_orderkey").cast("string"), F.lit(" "), "p").alias("value"))
+    m = streams.load(streams.read_etc(lines, numeric=True), one_domain=False).matrix
+    return m.cells
+
+
+def load_tab(spark: SparkSession, d: str) -> DataFrame:
+    t = _t(spark, d, "tab_lines").select(F.col("raw_line").alias("value"))
+    return streams.read_tab(t).groupBy("id").agg(F.count("*").alias("n"), F.min("label").alias("first_label"))
+
+
+def dump_lines(spark: SparkSession, d: str) -> DataFrame:
+    return dump.lines(nation_net(spark, d), lead=True)
+
+
+def dump_table(spark: SparkSession, d: str) -> DataFrame:
+    return dump.table(trade(spark, d), [0, 1, 2, 3])
+
+
+def dump_half(spark: SparkSession, d: str) -> DataFrame:
+    return dump.pairs(trade(spark, d), half="upper", least=5.0)
+
+
+def tab_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return labels.lookup(_t(spark, d, "coldom").select("id"), labels.clean(_t(spark, d, "tab")))
+
+
+def tab_duplicated(spark: SparkSession, d: str) -> DataFrame:
+    return labels.duplicated(_t(spark, d, "tab").where("label IS NOT NULL"))
+
+
+def tab_algebra(spark: SparkSession, d: str) -> DataFrame:
+    t = _t(spark, d, "tab")
+    a, b = t.where("id % 2 = 0"), t.where("id % 3 = 0")
+    out = None
+    for how in ("meet", "merge", "left"):
+        one = labels.combine([a, b], how).select(F.lit(how).alias("how"), "label")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def numeric_table(spark: SparkSession, d: str) -> DataFrame:
+    """profile_rows as a TAB-separated table with NA entries, summed by attribute."""
+    p = _t(spark, d, "profile_rows").where("vals IS NOT NULL AND item IS NOT NULL").groupBy("item").agg(F.first("vals").alias("v"))
+    lines = p.select(F.col("item").alias("line_no"), F.concat_ws("\t", F.col("item").cast("string"), F.array_join("v", "\t", "NA")).alias("value"))
+    cells, _ = tables.read_numeric(lines, skip_cols=1, label_col=0)
+    return cells.groupBy("attr").agg(F.count("*").alias("n"), F.sum(F.col("is_na").cast("bigint")).alias("n_na"), F.round(F.sum("val"), 3).alias("total"))
+
+
+def alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as tabular alignments, scored by their E value."""
+    li = _t(spark, d, "lineitem")
+    cols = [F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.lit("90.0"), F.lit("100"), F.lit("1"), F.lit("0"), F.lit("1"), F.lit("100"), F.lit("1"), F.lit("100"), F.concat(F.lit("1e-"), F.col("l_quantity").cast("int").cast("string")), F.col("l_extendedprice").cast("string")]
+    lines = li.select(F.concat_ws("\t", *cols).alias("value"))
+    return _r(tables.read_alignments(lines, "e", 5.0).groupBy("x", "y").agg(F.max("val").alias("val")))
+
+
+def block_spec(spark: SparkSession, d: str) -> DataFrame:
+    ctx = blocks.Context(clusters=by_brand(spark, d))
+    return _cells(blocks.run(part_graph(spark, d), "dom(c, d(11,12,13)), dom(r, I(0-100)), val(gq(2),mul(2)), fin(tp)", ctx))
+
+
+def block_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(blocks.run(part_graph(spark, d), "dom(cr, i(0-1000000)), size(gq(2),lq(5)), fin(scrub,cc)"))
+
+
+def stack_program(spark: SparkSession, d: str) -> DataFrame:
+    """Columns to sum 1, squared, inflated, plus the transpose."""
+    top = program.run(spark, ".m st dup mul 1.5 infl dup tp add", {"m": trade(spark, d)})[-1]
+    return _cells(top)
+
+
+def random_removal(spark: SparkSession, d: str) -> DataFrame:
+    """Edges left when a hundred are taken away at random, and whether each was there before."""
+    m = part_graph(spark, d)
+    left = randomize.edges(randomize.remove_edges(m, 100)).agg(F.count("*").alias("n_left"))
+    return left.join(randomize.edges(m).agg(F.count("*").alias("n_before"))).select((F.col("n_before") - F.col("n_left")).alias("n_removed"))
+
+
+def random_swaps(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees after a degree-preserving shuffle."""
+    m = randomize.swap_edges(part_graph(spark, d), 2)
+    return m.cells.groupBy("col_id").agg(F.count("*").alias("degree"))
+
+
+def stream_arcs(spark: SparkSession, d: str) -> DataFrame:
+    """tree_pairs streamed as label lines, repeats merged by the largest value."""
+    import uuid
+
+    from gridloom.streaming import arcs
+
+    schema = _t(spark, d, "tree_pairs").schema
+    src = arcs.follow(spark, f"{d}/tree_pairs.parquet", schema)
+    lines = src.where("x IS NOT NULL AND y IS NOT NULL").select(F.concat_ws("\t", "x", "y", F.col("val").cast("string")).alias("value"))
+    name = f"arcs_{uuid.uuid4().hex}"
+    q = arcs.start(arcs.merged(arcs.arcs(lines)), name)
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).where("val <> 0")
+
+
+_NOT = {"read", "queries", "oracle_sql", "part_cells", "part_graph", "trade", "nation_net", "by_brand", "by_size", "cells_matrix", "cells_of", "domain"}
+
+
+def queries() -> dict:
+    """Every query of this module by name, the problems' first."""
+    own = {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and k[0] != "_" and k not in _NOT}
+    return dict(sorted(own.items(), key=lambda kv: not (kv[0][0] == "p" and kv[0][1].isdigit())))

@@ -15,6 +15,16 @@ from gridloom.plans.materialize import shared_folder
 from gridloom.sources import streams
 
 
+def follow(spark, path: str, schema) -> DataFrame:
+    """A stream of the Parquet rows of a folder, or of the one file at ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    one = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    if not one:
+        return spark.readStream.schema(schema).parquet(path)
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
+
 def arcs(lines: DataFrame, layout: str = "abc") -> DataFrame:
     """(x, y, val) of a stream of lines in ``value``."""
     return {"abc": streams.read_abc, "123": streams.read_123, "etc": streams.read_etc}[layout](lines)
