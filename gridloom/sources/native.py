@@ -55,7 +55,7 @@ def dimensions(text: str) -> tuple[int, int]:
 
 def parse_interchange(records: DataFrame) -> DataFrame:
     """(col_id, row_id, val) of records ``id idx[:val] ...`` (``value``), as they lie between ``$`` signs."""
-    f = records.select(F.split(F.trim("value"), "\\s+").alias("f")).where(F.col("f")[0].rlike("^\\d+$"))
+    f = records.select(F.split(F.regexp_replace("value", "^\\s+|\\s+$", ""), "\\s+").alias("f")).where(F.col("f")[0].rlike("^\\d+$"))
     e = f.select(F.col("f")[0].cast("bigint").alias("col_id"), F.explode(F.slice("f", F.lit(2), F.size("f"))).alias("e")).where("e <> ''")
     p = F.split("e", ":")
     return e.select("col_id", p[0].cast("bigint").alias("row_id"), F.coalesce(F.get(p, F.lit(1)).cast("double"), F.lit(1.0)).alias("val"))
