@@ -88,26 +88,27 @@ def _need(t: Fraction, n: str) -> str:
 
 
 def keyed(reps: DataFrame, t: Fraction, n_sets: int, n_rows: int) -> DataFrame:
-    """(k, lvl, id, n, toks, s1, s2): a row for each key of each record."""
+    """(k, lvl, short, id, n, toks, s1, s2): a row for each key of each record; a ``short`` key stands for pairs that share its tokens and no others."""
     common = max(COMMON, ABOVE_MEAN * n_rows // SKETCH)
     need = _need(t, "n")
     reach = lambda lvl: f"least(n, n - {need} + {lvl})"
     d = reps.selectExpr("*", f"posexplode(slice(toks, 1, {reach(1)})) as (i1, t1)").selectExpr("*", "dfs[i1] as e1", "xxhash64(t1) as k1").where("e1 > 1")
-    d = d.selectExpr("*", "cast(e1 as double) as est", "k1 as k", "1 as lvl", "i1 as i", "false as done")
+    d = d.selectExpr("*", "cast(e1 as double) as est", "k1 as k", "1 as lvl", "i1 as i", "false as done", "false as short")
     for lvl in range(1, LEVELS):
         # -2: the key ends here; -1: it goes on, but a record this small may share no further token, so it ends here too
-        short = f"if({t.numerator} * n <= {lvl * t.denominator}, array(-1), array())"
+        ends = f"if({t.numerator} * n <= {lvl * t.denominator}, array(-1), array())"
         further = f"if(i + 1 < {reach(lvl + 1)}, sequence(i + 1, {reach(lvl + 1)} - 1), array())"
-        d = d.selectExpr("* except (done)", f"explode(if(done or est <= {common}, array(-2), concat({short}, {further}))) as j", "done as was")
+        d = d.selectExpr("* except (done)", f"explode(if(done or est <= {common}, array(-2), concat({ends}, {further}))) as j", "done as was")
         d = d.selectExpr(
-            "* except (est, k, lvl, i, was, j)",
+            "* except (est, k, lvl, i, short, was, j)",
             f"if(j >= 0, est * dfs[j] / {max(n_sets, 1)}D, est) as est",
             "case when j >= 0 then xxhash64(k, toks[j]) else k end as k",
             f"if(j >= 0, {lvl + 1}, lvl) as lvl",
             "if(j >= 0, j, i) as i",
+            "short or j = -1 as short",
             "was or j < 0 as done",
         )
-    return d.selectExpr("k", "lvl", "id", "n", "toks", "s1", "s2")
+    return d.selectExpr("k", "lvl", "short", "id", "n", "toks", "s1", "s2")
 
 
 def similar_classes(sets: DataFrame, giants: DataFrame, members: DataFrame, threshold: Fraction) -> DataFrame:
@@ -117,13 +118,13 @@ def similar_classes(sets: DataFrame, giants: DataFrame, members: DataFrame, thre
     reps = sets.join(spare, F.col("id") == F.col("sid"), "left_anti")
     of = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     post = keyed(reps, threshold, of.n, of.rows)
-    a, b = (post.select(F.col("k"), *[F.col(c).alias(f"{c}{s}") for c in ("lvl", "id", "n", "toks", "s1", "s2")]) for s in "ab")
+    a, b = (post.select(F.col("k"), *[F.col(c).alias(f"{c}{s}") for c in ("lvl", "short", "id", "n", "toks", "s1", "s2")]) for s in "ab")
     # |A xor B| is at most (na + nb) (1 - t) / (1 + t); the bitmaps differ in no more bits
     close = f"ida < idb and {num} * greatest(na, nb) <= {den} * least(na, nb) and (bit_count(s1a ^ s1b) + bit_count(s2a ^ s2b)) * {den + num} <= (na + nb) * {den - num}"
     # explode is a fence: the filters below read the intersection and never compute it again
     c = a.join(b, "k").where(close).selectExpr("*", "explode(array(array_intersect(toksa, toksb))) as common")
     first = "case lvla " + " ".join(f"when {x} then xxhash64({'xxhash64(' * (x - 1)}common[0]{''.join(f'), common[{y}]' for y in range(1, x))})" for x in range(1, LEVELS + 1)) + " end"
-    c = c.where(f"size(common) * {den} >= {num} * (na + nb - size(common)) and lvla = lvlb and size(common) >= lvla").where(f"k = {first}")
+    c = c.where(f"size(common) * {den} >= {num} * (na + nb - size(common)) and lvla = lvlb and shorta = shortb and if(shorta, size(common) = lvla, size(common) >= lvla)").where(f"k = {first}")
     pairs = c.selectExpr("ida as a", "idb as b", "size(common) as both", "na", "nb")
 
     large = sets.where(F.col("n") * den >= num * GIANT)
