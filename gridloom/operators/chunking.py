@@ -11,7 +11,7 @@ merged in chunk order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ from gridloom.plans.lookup import bucket_of
 
 CHUNK_ROWS = 65536
 BUCKETS = 64
+#: Keys on at least one in so many rows are spread over buckets; there are no more such keys than this.
+SPREAD = 1024
 
 
 def range_bounds(df: DataFrame, order: str, buckets: int = BUCKETS) -> list:
@@ -34,28 +36,32 @@ def _range_bucket(order: str, bounds: list) -> Column:
     return out
 
 
-def number_rows(df: DataFrame, key: str, order: str, chunk_rows: int = CHUNK_ROWS, buckets: int = BUCKETS, bounds: list | None = None, merge: list[Column] | None = None) -> DataFrame:
-    """Add ``pos`` (1, 2, ... within the key) and ``chunk`` (``(pos - 1) // chunk_rows``).
+def number_rows(df: DataFrame, key: str, order: str, chunk_rows: int = CHUNK_ROWS, buckets: int = BUCKETS, bounds: list | None = None, merge: list[Column] | None = None, crowded: list | None = None) -> DataFrame:
+    """Add ``pos`` (1, 2, ... within the key), ``chunk`` (``(pos - 1) // chunk_rows``), ``total`` (the key's number of rows), ``bucket``, and ``prev`` (``order`` of the row before in its bucket).
 
     ``order`` must be unique and not null within a key. With ``bounds`` (see
     ``range_bounds``) positions follow ``order``; without, buckets are hashed
     and positions are some fixed numbering. The key's own rows with a null key
     are numbered as one key. An empty table gives an empty result. ``merge``:
     aggregates that first make one row of those with the same key and order,
-    inside the same shuffle.
+    inside the same shuffle. ``crowded``: the keys that are spread over buckets,
+    by default all; a key that cannot unbalance a shuffle is better left whole.
     """
     at = bucket_of(buckets, F.col(order)) if bounds is None else _range_bucket(order, bounds)
+    if crowded is not None:
+        at = F.when(F.col(key).isin(crowded), at).otherwise(0) if crowded else F.lit(0)
     parts = df.withColumn("_b", at).repartition(F.col(key), F.col("_b"))
     if merge:
         parts = parts.groupBy(key, "_b", order).agg(*merge)
     cols = [c for c in parts.columns if c != "_b"]
     counts = parts.groupBy(key, "_b").agg(F.count("*").alias("_n"))
     before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = parts.withColumn("_rn", F.row_number().over(W.partitionBy(key, "_b").orderBy(order)))
+    offsets = counts.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(W.partitionBy(key)).alias("total"))
+    run = W.partitionBy(key, "_b").orderBy(order)
+    inside = parts.withColumn("_rn", F.row_number().over(run)).withColumn("prev", F.lag(order).over(run))
     out = inside.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
     pos = F.col("_rn") + F.col("_off")
-    return out.select(*cols, pos.alias("pos"), F.floor((pos - 1) / chunk_rows).cast("long").alias("chunk"))
+    return out.select(*cols, pos.alias("pos"), F.floor((pos - 1) / chunk_rows).cast("long").alias("chunk"), "total", F.col("_b").alias("bucket"), "prev")
 
 
 def largest() -> list[Column]:
@@ -90,7 +96,7 @@ def crowded_top_rows(cells: DataFrame, one_in: int = 80, k: int = 10, chunk_rows
     """
     hot = crowded_keys(cells, "col_id", one_in)
     rows = whole_cells(cells.where(F.col("col_id").isin(hot) if hot else F.lit(False)))
-    numbered = number_rows(rows, "col_id", "row_id", chunk_rows, buckets, merge=largest())
+    numbered = number_rows(rows, "col_id", "row_id", chunk_rows, buckets, merge=largest(), crowded=hot)
     best = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("val"), F.asc("row_id")))
     states = numbered.withColumn("_r", best("col_id", "chunk")).where(F.col("_r") <= k)
     return states.withColumn("rank", best("col_id")).where(F.col("rank") <= k).select("col_id", "row_id", "val", "rank")
@@ -104,23 +110,16 @@ def column_profile(cells: DataFrame, chunk_rows: int = CHUNK_ROWS, buckets: int
     of its state; the gap between two chunks comes from the boundary states
     (last row of one, first row of the next) merged in order.
     """
-    numbered = number_rows(whole_cells(cells), "col_id", "row_id", chunk_rows, buckets, range_bounds(cells, "row_id", buckets), largest())
-    gap = F.col("row_id") - F.lag("row_id").over(W.partitionBy("col_id", "chunk").orderBy("pos"))
-    states = numbered.withColumn("_g", gap).groupBy("col_id", "chunk").agg(
-        F.count("*").alias("n"), F.max("val").alias("mx"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.max("_g").alias("g")
+    crowded = crowded_keys(cells, "col_id", SPREAD)
+    numbered = number_rows(whole_cells(cells), "col_id", "row_id", chunk_rows, buckets, range_bounds(cells, "row_id", buckets), largest(), crowded)
+    # states are kept per bucket, too: rows stay where they were numbered, and a bucket's seam is a chunk's
+    gap = F.when(F.col("prev").isNotNull(), F.col("row_id") - F.col("prev"))
+    middle = F.when(F.col("pos") == F.floor((F.col("total") + 1) / 2), F.col("row_id"))
+    states = numbered.withColumn("_g", gap).groupBy("col_id", "bucket", "chunk").agg(
+        F.count("*").alias("n"), F.max("val").alias("mx"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.max("_g").alias("g"), F.max(middle).alias("mid")
     )
-    seam = F.col("lo") - F.lag("hi").over(W.partitionBy("col_id").orderBy("chunk"))
-    per = states.withColumn("seam", seam).groupBy("col_id").agg(
+    seam = F.col("lo") - F.lag("hi").over(W.partitionBy("col_id").orderBy("chunk", "bucket"))
+    return states.withColumn("seam", seam).groupBy("col_id").agg(
         F.sum("n").alias("n_cells"), F.max("mx").alias("max_val"), F.min("lo").alias("first_row"), F.max("hi").alias("last_row"),
-        F.coalesce(F.max(F.greatest("g", "seam")), F.lit(0)).alias("widest_gap"),
+        F.coalesce(F.max(F.greatest("g", "seam")), F.lit(0)).alias("widest_gap"), F.max("mid").alias("median_row"),
     )
-    n = F.sum("n").over(W.partitionBy("col_id"))
-    start = F.coalesce(F.sum("n").over(W.partitionBy("col_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    mid = states.withColumn("total", n).withColumn("start", start).withColumn("at", F.floor((F.col("total") + 1) / 2))
-    mid = mid.where((F.col("at") > F.col("start")) & (F.col("at") <= F.col("start") + F.col("n"))).select(F.col("col_id").alias("_c"), F.col("chunk").alias("_ch"), F.col("at").alias("_at"))
-    median = numbered.join(mid, (F.col("col_id") == F.col("_c")) & (F.col("pos") == F.col("_at"))).select("_c", F.col("row_id").alias("median_row"))
-    return per.join(median, per.col_id == median["_c"]).drop("_c")
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
