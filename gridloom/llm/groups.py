@@ -29,24 +29,28 @@ def hash_to_min(links: DataFrame) -> DataFrame:
     e = links.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL")
     both = e.select(F.explode(F.array(F.struct(F.col("x").alias("v"), F.col("y").alias("u")), F.struct(F.col("y").alias("v"), F.col("x").alias("u")), F.struct(F.col("x").alias("v"), F.col("x").alias("u")), F.struct(F.col("y").alias("v"), F.col("y").alias("u")))).alias("p")).select("p.*")
     state = materialize(both.distinct())
+    mark = _digest(state)
     for _ in range(MAX_ROUNDS):
         low = state.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-        total = state.count()
-        sent = heavy_lookup_join(state, low, "v", "n", total)
+        sent = heavy_lookup_join(state, low, "v", "n", mark.n)
         # one row (v, u) with minimum m sends u to m and m to u
         ends = F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
         after = materialize(sent.select(F.explode(ends).alias("p")).select("p.*").distinct())
-        same = state.agg(F.count("*").alias("n"), F.sum(F.hash("v", "u").cast("bigint")).alias("h"), F.bit_xor(F.xxhash64("v", "u")).alias("x")).first() == after.agg(
-            F.count("*").alias("n"), F.sum(F.hash("v", "u").cast("bigint")).alias("h"), F.bit_xor(F.xxhash64("v", "u")).alias("x")
-        ).first()
+        seen = _digest(after)
         release(spark, state)
         state = after
-        if same:
+        if seen == mark:
             return state.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("group_label"))
+        mark = seen
         sweep(spark)
     raise RuntimeError(f"not stable after {MAX_ROUNDS} rounds")
 
 
+def _digest(state: DataFrame):
+    """What two equal states have in common: the number of rows and two combinations of their hashes."""
+    return state.agg(F.count("*").alias("n"), F.sum(F.hash("v", "u").cast("bigint")).alias("h"), F.bit_xor(F.xxhash64("v", "u")).alias("x")).first()
+
+
 def linked(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of tree_pairs that link: both records present and ``val`` at least ``least``; a null or NaN ``val`` does not."""
     return pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("val").isNotNull() & ~F.isnan("val") & (F.col("val") >= least)).select("x", "y").distinct()
