@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.matrix import CELL, Matrix
 from gridloom.operators.setops import mutual
+from gridloom.plans.ordering import number
 
 
 def _col() -> W:
@@ -139,7 +140,7 @@ def columns_by_size(m: Matrix, key: str = "size") -> DataFrame:
     """(old, new): columns renumbered from 0 by size (or sum), largest first, then by id."""
     by = F.count("row_id") if key == "size" else F.coalesce(F.sum("val"), F.lit(0.0))
     s = m.cols.join(m.cells, F.col("id") == F.col("col_id"), "left").groupBy("id").agg(by.alias("s"))
-    return s.select(F.col("id").alias("old"), (F.row_number().over(W.orderBy(F.desc("s"), "id")) - 1).cast("bigint").alias("new"))
+    return number(s, [F.desc("s"), F.col("id")], "new").select(F.col("id").alias("old"), "new")
 
 
 def ceil_neighbours(m: Matrix, most: int) -> Matrix:

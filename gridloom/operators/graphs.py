@@ -8,12 +8,12 @@ plan grows with the number of rounds.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.matrix import Matrix, domain
 from gridloom.operators.setops import domain_meet
 from gridloom.plans.materialize import materialize, release
+from gridloom.plans.ordering import running
 
 MAX_ROUNDS = 1000
 
@@ -300,7 +300,6 @@ def degree_rank_fit(m: Matrix) -> DataFrame:
 
 
 def sorted_weights(m: Matrix) -> DataFrame:
-    """(position, val): weights in descending order; the sort is distributed, the position counted by value groups."""
+    """(val, n, position): distinct weights in descending order, how often each occurs and the position of its first occurrence."""
     g = m.cells.groupBy("val").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(F.desc("val")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return g.select("val", (before + 1).alias("position"), "n")
+    return running(g, [F.desc("val")], "n").select("val", "n", (F.col("before") + 1).alias("position"))

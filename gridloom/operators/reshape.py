@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.merge import MERGES
 from gridloom.matrix import CELL, Matrix, domain, within
 from gridloom.operators.setops import binary, domain_meet, union_domain
+from gridloom.plans.ordering import number
 
 def _loop() -> Column:
     return F.col("col_id") == F.col("row_id")
@@ -68,17 +68,9 @@ def affine_map(dom: DataFrame, mul: int = 1, shift: int = 0) -> DataFrame:
     return dom.select(F.col("id").alias("old"), (F.col("id") * mul + shift).alias("new"))
 
 
-def canonical_map(dom: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """(old, new): ids renumbered 0 .. n-1 in ascending order.
-
-    Ranks come from range-partitioned positions: each partition is numbered on
-    its own and starts after the ones before it, so no task sees all ids.
-    """
-    spark = dom.sparkSession
-    if order is not None:
-        return dom.select(F.col("id").alias("old"), (F.row_number().over(W.orderBy(*order)) - 1).cast("bigint").alias("new"))
-    numbered = dom.select("id").distinct().sort("id").rdd.map(lambda r: r[0]).zipWithIndex()
-    return spark.createDataFrame(numbered, "old bigint, new bigint")
+def canonical_map(dom: DataFrame) -> DataFrame:
+    """(old, new): ids renumbered 0 .. n-1 in ascending order."""
+    return number(dom.select(F.col("id").alias("old")).distinct(), ["old"], "new")
 
 
 def map_ids(m: Matrix, col_map: DataFrame | None = None, row_map: DataFrame | None = None) -> Matrix:
@@ -175,6 +167,6 @@ def remove_cell(m: Matrix, col: int, row: int) -> Matrix:
 def append_columns(m: Matrix, vectors: DataFrame) -> Matrix:
     """Append (vector, id, val) as new columns numbered after the largest column id."""
     top = m.cols.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
-    ids = vectors.select("vector").distinct().select("vector", (F.row_number().over(W.orderBy("vector")) + top).cast("bigint").alias("col_id"))
+    ids = number(vectors.select("vector").distinct(), ["vector"], "col_id", top + 1)
     new = vectors.join(ids, "vector").select("col_id", F.col("id").alias("row_id"), "val")
     return Matrix(m.cells.unionByName(new.where("val <> 0")), union_domain(m.cols, domain(new, "col_id")), union_domain(m.rows, domain(new, "row_id")))

@@ -182,6 +182,7 @@ def oracle_sql() -> dict[str, str]:
         "node_attributes": g + f", {NODES} SELECT id AS node, coalesce(degree, 0) AS degree, round(mean, 6) AS mean, least, top, median FROM dom LEFT JOIN (SELECT col_id, count(*) AS degree, avg(val) AS mean, min(val) AS least, max(val) AS top, quantile_cont(val, 0.5) AS median FROM g GROUP BY col_id) ON id = col_id",
         "top_degree": g + "SELECT col_id AS node, count(*) AS degree FROM g GROUP BY col_id ORDER BY degree DESC, node LIMIT 25",
         "weight_histogram": f"WITH {CELLS} SELECT CAST(least(greatest(floor(val / 0.1), 0), 19) AS INTEGER) AS bin, count(*) AS n FROM c GROUP BY 1",
+        "sorted_weights": f"WITH {CELLS}, k AS (SELECT val, count(*) AS n FROM c GROUP BY val) SELECT val, n, CAST(sum(n) OVER (ORDER BY val DESC) - n + 1 AS BIGINT) AS position FROM k",
         "pairs_pearson": f"WITH {EVENTS}, ev AS (SELECT a.item AS x, b.item AS y, a.s AS sx, b.s AS sy, a.q AS qx, b.q AS qy FROM s a, s b), p AS (SELECT x.item AS i, y.item AS j, sum(x.val * y.val) AS xy FROM t x JOIN t y ON x.attr = y.attr GROUP BY ALL), z AS (SELECT x, y, sqrt(greatest(n * qx - sx * sx, 0)) * sqrt(greatest(n * qy - sy * sy, 0)) AS den, n * coalesce(xy, 0) - sx * sy AS num FROM ev LEFT JOIN p ON i = x AND j = y, n) SELECT x, y, round(num / den, 6) AS score FROM z WHERE den <> 0 AND num <> 0 AND abs(num / den) >= 0.5",
         "pairs_spearman": EVENTS.replace("t AS (SELECT user_id AS item", "t0 AS (SELECT user_id AS item").replace("n AS (SELECT count", "t AS (SELECT item, attr, rank() OVER (PARTITION BY item ORDER BY val) + (count(*) OVER (PARTITION BY item, val) - 1) / 2.0 AS val FROM t0), n AS (SELECT count").join(["WITH ", ", ev AS (SELECT a.item AS x, b.item AS y, a.s AS sx, b.s AS sy, a.q AS qx, b.q AS qy FROM s a, s b), p AS (SELECT x.item AS i, y.item AS j, sum(x.val * y.val) AS xy FROM t x JOIN t y ON x.attr = y.attr GROUP BY ALL), z AS (SELECT x, y, sqrt(greatest(n * qx - sx * sx, 0)) * sqrt(greatest(n * qy - sy * sy, 0)) AS den, n * coalesce(xy, 0) - sx * sy AS num FROM ev LEFT JOIN p ON i = x AND j = y, n) SELECT x, y, round(num / den, 6) AS score FROM z WHERE den <> 0 AND num <> 0 AND abs(num / den) >= 0.5"]),
         "pairs_cosine": f"WITH {EVENTS}, p AS (SELECT {_PS} FROM t x JOIN t y ON x.attr = y.attr GROUP BY ALL) SELECT x, y, round(xy / sqrt(a.q * b.q), 6) AS score FROM p JOIN s a ON a.item = x JOIN s b ON b.item = y WHERE abs(xy / sqrt(a.q * b.q)) >= 0.99",

@@ -470,6 +470,10 @@ def weight_histogram(spark: SparkSession, d: str) -> DataFrame:
     return graphs.weight_histogram(cells_matrix(spark, d), 0.0, 0.1, 20)
 
 
+def sorted_weights(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.sorted_weights(cells_matrix(spark, d))
+
+
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return _r(graphs.sweep_thresholds(nation_net(spark, d), [0.0, 100.0, 1000.0]))
 

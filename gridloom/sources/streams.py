@@ -17,6 +17,7 @@ from gridloom.functions.edge import Op, apply_cells
 from gridloom.matrix import Matrix
 from gridloom.operators.reshape import canonical_map
 from gridloom.operators.setops import binary, dedupe
+from gridloom.plans.ordering import number
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -84,10 +85,8 @@ class Loaded:
 def label_ids(labels: DataFrame, tab: DataFrame | None = None, mode: str = "extend") -> DataFrame:
     """(id, label): ids of labels. Without a ``tab`` they are numbered in label order; with one, unknown labels get the next ids (``extend``), are ignored (``restrict``) or fail (``strict``)."""
     seen = labels.where("label IS NOT NULL").select("label").distinct()
-    spark = labels.sparkSession
     if tab is None:
-        numbered = seen.sort("label").rdd.map(lambda r: r[0]).zipWithIndex()
-        return spark.createDataFrame(numbered, "label string, id bigint").select("id", "label")
+        return number(seen, ["label"], "id").select("id", "label")
     new = seen.join(tab.select(F.col("label").alias("_l")), F.col("label") == F.col("_l"), "left_anti")
     if mode == "restrict":
         return tab.select("id", "label")
@@ -97,8 +96,7 @@ def label_ids(labels: DataFrame, tab: DataFrame | None = None, mode: str = "exte
             raise ValueError(f"label {bad[0].label!r} is not in the tab")
         return tab.select("id", "label")
     top = tab.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("m")).first().m
-    numbered = new.sort("label").rdd.map(lambda r: r[0]).zipWithIndex()
-    return tab.select("id", "label").unionByName(spark.createDataFrame(numbered, "label string, id bigint").select((F.col("id") + top + 1).alias("id"), "label"))
+    return tab.select("id", "label").unionByName(number(new, ["label"], "id", top + 1).select("id", "label"))
 
 
 def load(arcs: DataFrame, ops: list[Op] | None = None, repeats: str = "max", mirror: bool = False, symmetric: str | None = None, tab: DataFrame | None = None, mode: str = "extend", one_domain: bool = True, transpose: bool = False, log10_neg: bool = False) -> Loaded:
