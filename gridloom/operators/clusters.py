@@ -253,3 +253,27 @@ def component_refinement(m: Matrix, cl: DataFrame) -> DataFrame:
 
     nodes = cl.select(F.col("node").alias("id")).distinct()
     return components(Matrix(block_union(m, cl).cells, nodes, nodes)).select(F.col("component").alias("cluster"), "node")
+
+
+def nested_scores(m: Matrix, child: DataFrame, parent: DataFrame) -> DataFrame:
+    """(cluster, parent, size, cov, covmax, massfrac, within_cov, within_covmax, within_massfrac): each child cluster scored in the whole graph and in the graph of its parent cluster alone; a child that is all of its parent is trivial and scores 1 within."""
+    from gridloom.operators.reshape import block_union
+
+    of = contingency(child, parent).select(F.col("a").alias("cluster"), F.col("b").alias("parent"), "n")
+    top = sizes(parent).select(F.col("cluster").alias("_p"), F.col("size").alias("_ps"))
+    whole = cluster_scores(m, child).withColumnRenamed("cluster", "_w")
+    inner = cluster_scores(block_union(m, parent), child).select(F.col("cluster").alias("_i"), F.col("cov").alias("within_cov"), F.col("covmax").alias("within_covmax"), F.col("massfrac").alias("within_massfrac"))
+    j = of.join(top, F.col("parent") == F.col("_p")).join(whole, F.col("cluster") == F.col("_w")).join(inner, F.col("cluster") == F.col("_i"))
+    trivial = F.col("size") == F.col("_ps")
+    one = lambda c: F.when(trivial, 1.0).otherwise(F.col(c)).alias(c)
+    return j.select("cluster", "parent", "size", "cov", "covmax", "massfrac", one("within_cov"), one("within_covmax"), one("within_massfrac"))
+
+
+def graph_closure(m: Matrix, cl: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
+    """(cluster, part, node, size): connected parts of every cluster, within the size bounds."""
+    p = component_refinement(m, cl).select(F.col("cluster").alias("part"), F.col("node").alias("_n"))
+    j = cl.join(p, F.col("node") == F.col("_n")).withColumn("size", F.count("*").over(W.partitionBy("part")))
+    j = j.where(F.col("size") >= least)
+    if most is not None:
+        j = j.where(F.col("size") <= most)
+    return j.select("cluster", "part", "node", "size")

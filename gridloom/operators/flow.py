@@ -96,11 +96,14 @@ def expand(m: Matrix, right: Matrix | None = None) -> Matrix:
 
 def iterate(m: Matrix, flow: Flow, inflation: float) -> tuple[Matrix, float]:
     """One expansion and inflation; the new iterand and its chaos."""
-    pruned = materialize(prune(expand(m), *flow.numbers()))
-    chaos = pruned.agg(F.max("chaos").alias("c")).first().c or 0.0
-    after = materialize(inflate(m.put(pruned.select("col_id", "row_id", "val")), inflation).cells)
-    release(m.cells.sparkSession, pruned)
-    return m.put(after), chaos
+    pruned = prune(expand(m), *flow.numbers())
+    p = pruned.withColumn("_p", F.pow("val", F.lit(float(inflation))))
+    both = p.select("col_id", "row_id", (F.col("_p") / F.sum("_p").over(W.partitionBy("col_id"))).alias("val"), "chaos").where("val <> 0")
+    after = materialize(both)
+    chaos = after.agg(F.max("chaos").alias("c")).first().c or 0.0
+    cells = after.select("col_id", "row_id", "val")
+    cells._gridloom_path = after._gridloom_path
+    return Matrix(cells, m.cols, m.rows), chaos
 
 
 def limit(start: Matrix, flow: Flow = Flow()) -> Matrix:
@@ -176,3 +179,45 @@ def shadow(m: Matrix, factors: DataFrame, offset: int) -> Matrix:
     more = tie.unionByName(tie.select(F.col("row_id").alias("col_id"), F.col("col_id").alias("row_id"), "val")).unionByName(f.select((F.col("id") + offset).alias("col_id"), (F.col("id") + offset).alias("row_id"), "val"))
     nodes = m.cols.unionByName(m.cols.select((F.col("id") + offset).alias("id")))
     return Matrix(m.cells.unionByName(more), nodes, nodes)
+
+
+def diagonal_order(m: Matrix, slack: float = 1e-12) -> tuple[Matrix, DataFrame]:
+    """(arcs, (node, val)): of columns with a loop, the cells not below the larger of the loop and Σv²; and every node's attraction, loop over Σv²."""
+    by = W.partitionBy("col_id")
+    own = F.max(F.when(F.col("col_id") == F.col("row_id"), F.col("val"))).over(by)
+    c = m.cells.withColumn("_s", own).withColumn("_q", F.sum(F.col("val") * F.col("val")).over(by))
+    kept = m.put(c.where(F.col("_s").isNotNull() & (F.col("val") >= F.greatest("_s", "_q") - slack)))
+    s = m.cells.groupBy("col_id").agg(F.max(F.when(F.col("col_id") == F.col("row_id"), F.col("val"))).alias("s"), F.sum(F.col("val") * F.col("val")).alias("q"))
+    return kept, s.select(F.col("col_id").alias("node"), F.when(F.col("q") > 0, F.coalesce("s", F.lit(0.0)) / F.col("q")).otherwise(0.0).alias("val"))
+
+
+def shadow_factors(m: Matrix, strength: float = 1.0, sizes: str | None = "high", weights: str | None = "high", multiply: bool = False, own_arcs: bool = False) -> DataFrame:
+    """(id, val): how much a node stands out among its neighbours, for ``shadow``.
+
+    A node's number of arcs and mean weight are compared with those of its
+    neighbours, averaged with the node's weight shares; ``high`` counts nodes
+    above, ``low`` nodes below. A neighbour's mean leaves out its arc back to the
+    node unless ``own_arcs`` or it has no other. The larger of both ratios (or
+    their product) to the power ``strength``, less 1; 0 where nothing stands out.
+    """
+    s = m.cells.groupBy("col_id").agg(F.count("*").alias("n"), F.sum("val").alias("t"))
+    mine = s.select(F.col("col_id").alias("_m"), F.col("n").alias("n0"), F.col("t").alias("t0"))
+    near = s.select(F.col("col_id").alias("_k"), F.col("n").alias("n1"), F.col("t").alias("t1"))
+    back = m.cells.select(F.col("row_id").alias("_bm"), F.col("col_id").alias("_bk"), F.col("val").alias("back"))
+    j = m.cells.join(mine, F.col("col_id") == F.col("_m")).join(near, F.col("row_id") == F.col("_k"), "left").join(back, (F.col("col_id") == F.col("_bm")) & (F.col("row_id") == F.col("_bk")), "left")
+    share = F.col("val") / F.col("t0")
+    whole = F.col("t1") / F.col("n1")
+    others = whole if own_arcs else F.when(F.col("back").isNull() | (F.col("n1") < 2), whole).otherwise((F.col("t1") - F.col("back")) / (F.col("n1") - 1))
+    per = j.groupBy("col_id").agg(F.first("n0").alias("n0"), F.first("t0").alias("t0"), F.sum(share * F.coalesce("n1", F.lit(0))).alias("size"), F.sum(share * F.coalesce(others, F.lit(0.0))).alias("gauge"))
+    mean = F.col("t0") / F.col("n0")
+
+    def ratio(own, local, way: str | None):
+        if way is None:
+            return F.lit(1.0)
+        return F.when(own > local, own / local).otherwise(1.0) if way == "high" else F.when(own < local, local / own).otherwise(1.0)
+
+    a, b = ratio(F.col("n0"), F.col("size"), sizes), ratio(mean, F.col("gauge"), weights)
+    f = F.pow(F.greatest(a * b if multiply else F.greatest(a, b), F.lit(1.0)), F.lit(float(strength))) - 1
+    ok = (F.col("gauge") > 0) & (F.col("size") > 0) & (mean > 0)
+    v = per.select(F.col("col_id").alias("_c"), F.when(ok, f).otherwise(0.0).alias("v"))
+    return m.cols.join(v, F.col("id") == F.col("_c"), "left").select("id", F.coalesce("v", F.lit(0.0)).alias("val"))

@@ -183,6 +183,13 @@ def oracle_sql() -> dict[str, str]:
         "top_degree": g + "SELECT col_id AS node, count(*) AS degree FROM g GROUP BY col_id ORDER BY degree DESC, node LIMIT 25",
         "weight_histogram": f"WITH {CELLS} SELECT CAST(least(greatest(floor(val / 0.1), 0), 19) AS INTEGER) AS bin, count(*) AS n FROM c GROUP BY 1",
         "sorted_weights": f"WITH {CELLS}, k AS (SELECT val, count(*) AS n FROM c GROUP BY val) SELECT val, n, CAST(sum(n) OVER (ORDER BY val DESC) - n + 1 AS BIGINT) AS position FROM k",
+        "cross_ratio": f"WITH {TRADE}, j AS (SELECT t.col_id AS x, t.row_id AS y, t.val AS arc, coalesce(r.val, 0) AS reverse, coalesce(a.val, 0) AS self_x, coalesce(b.val, 0) AS self_y FROM t LEFT JOIN t r ON r.col_id = t.row_id AND r.row_id = t.col_id LEFT JOIN t a ON a.col_id = t.col_id AND a.row_id = t.col_id LEFT JOIN t b ON b.col_id = t.row_id AND b.row_id = t.row_id) SELECT * FROM j WHERE least(self_x, self_y) > arc OR least(self_x, self_y) > reverse",
+        "select_children": f"WITH {SETS}, k AS (SELECT item, count(*) AS n FROM u GROUP BY item), p AS (SELECT x.item AS x, y.item AS y, count(*) AS c FROM u x JOIN u y USING (attr) GROUP BY ALL), s AS (SELECT x, y, (n - c) / n AS v FROM p JOIN k ON item = x WHERE n > c), q AS (SELECT a.item AS a, b.item AS b, coalesce(s.v, 0) AS v, coalesce(r.v, 0) AS w FROM k a JOIN k b ON a.item < b.item LEFT JOIN s ON s.x = a.item AND s.y = b.item LEFT JOIN s r ON r.x = b.item AND r.y = a.item) SELECT CASE WHEN v < w THEN a ELSE b END AS col_id, CASE WHEN v < w THEN b ELSE a END AS row_id, round(abs(v - w), 6) AS val FROM q WHERE least(v, w) <= 0.5 AND greatest(v, w) >= 0.7 AND v <> w",
+        "diagonal_order": f"WITH {TPREP} SELECT col_id AS node, round(max(CASE WHEN col_id = row_id THEN val ELSE 0 END) / sum(val * val), 6) AS val FROM m GROUP BY col_id",
+        "shadow_factors": f"WITH {parts()}, {NODES}, s AS (SELECT col_id AS k, count(*) AS n, sum(val) AS t FROM g GROUP BY col_id), p AS (SELECT g.col_id, any_value(a.n) AS n0, any_value(a.t) AS t0, sum(g.val / a.t * b.n) AS size, sum(g.val / a.t * CASE WHEN b.n < 2 THEN b.t / b.n ELSE (b.t - g.val) / (b.n - 1) END) AS gauge FROM g JOIN s a ON a.k = g.col_id JOIN s b ON b.k = g.row_id GROUP BY g.col_id) SELECT id, round(coalesce(pow(greatest(n0 / size, (t0 / n0) / gauge, 1), 1.5) - 1, 0), 6) AS val FROM dom LEFT JOIN p ON col_id = id",
+        "nested_scores": f"WITH {parts('gg')}, {BRAND}, {SIZE}, kid AS (SELECT node, brand.cluster AS parent, min(node) OVER (PARTITION BY brand.cluster, sz.cluster) AS cluster, count(*) OVER (PARTITION BY brand.cluster, sz.cluster) AS size, count(*) OVER (PARTITION BY brand.cluster) AS psize FROM brand JOIN sz USING (node)), own AS (SELECT a.*, gg.val, b.cluster IS NOT DISTINCT FROM a.cluster AND gg.val IS NOT NULL AS inside, b.parent IS NOT DISTINCT FROM a.parent AND gg.val IS NOT NULL AS fam FROM kid a LEFT JOIN gg ON gg.col_id = a.node LEFT JOIN kid b ON b.node = gg.row_id), "
+        + ", ".join(f"{n} AS (SELECT node, any_value(cluster) AS cluster, any_value(size) AS size, coalesce(sum(val) FILTER (WHERE inside), 0) AS i, coalesce(sum(val) FILTER (WHERE NOT inside{w}), 0) AS o, count(val) FILTER (WHERE NOT inside{w}) AS no, sum(val * val) FILTER (WHERE inside OR true{w}) AS q, max(val) FILTER (WHERE inside OR true{w}) AS mx FROM own GROUP BY node), {n}s AS (SELECT cluster, avg(CASE WHEN i + o > 0 THEN 1 - (size - (i - o) * (i + o) / q) / (size + no) ELSE 0 END) AS cov, avg(CASE WHEN i + o > 0 THEN 1 - (size - (i - o) / mx) / (size + no) ELSE 0 END) AS covmax, avg(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END) AS mf FROM {n} GROUP BY cluster)" for n, w in (("w", ""), ("f", " AND fam")))
+        + ", k AS (SELECT DISTINCT cluster, parent, size, psize FROM kid) SELECT k.cluster, parent, size, round(ws.cov, 6) AS cov, round(ws.covmax, 6) AS covmax, round(ws.mf, 6) AS massfrac, round(CASE WHEN size = psize THEN 1 ELSE fs.cov END, 6) AS within_cov, round(CASE WHEN size = psize THEN 1 ELSE fs.covmax END, 6) AS within_covmax, round(CASE WHEN size = psize THEN 1 ELSE fs.mf END, 6) AS within_massfrac FROM k JOIN ws USING (cluster) JOIN fs USING (cluster)",
         "pairs_pearson": f"WITH {EVENTS}, ev AS (SELECT a.item AS x, b.item AS y, a.s AS sx, b.s AS sy, a.q AS qx, b.q AS qy FROM s a, s b), p AS (SELECT x.item AS i, y.item AS j, sum(x.val * y.val) AS xy FROM t x JOIN t y ON x.attr = y.attr GROUP BY ALL), z AS (SELECT x, y, sqrt(greatest(n * qx - sx * sx, 0)) * sqrt(greatest(n * qy - sy * sy, 0)) AS den, n * coalesce(xy, 0) - sx * sy AS num FROM ev LEFT JOIN p ON i = x AND j = y, n) SELECT x, y, round(num / den, 6) AS score FROM z WHERE den <> 0 AND num <> 0 AND abs(num / den) >= 0.5",
         "pairs_spearman": EVENTS.replace("t AS (SELECT user_id AS item", "t0 AS (SELECT user_id AS item").replace("n AS (SELECT count", "t AS (SELECT item, attr, rank() OVER (PARTITION BY item ORDER BY val) + (count(*) OVER (PARTITION BY item, val) - 1) / 2.0 AS val FROM t0), n AS (SELECT count").join(["WITH ", ", ev AS (SELECT a.item AS x, b.item AS y, a.s AS sx, b.s AS sy, a.q AS qx, b.q AS qy FROM s a, s b), p AS (SELECT x.item AS i, y.item AS j, sum(x.val * y.val) AS xy FROM t x JOIN t y ON x.attr = y.attr GROUP BY ALL), z AS (SELECT x, y, sqrt(greatest(n * qx - sx * sx, 0)) * sqrt(greatest(n * qy - sy * sy, 0)) AS den, n * coalesce(xy, 0) - sx * sy AS num FROM ev LEFT JOIN p ON i = x AND j = y, n) SELECT x, y, round(num / den, 6) AS score FROM z WHERE den <> 0 AND num <> 0 AND abs(num / den) >= 0.5"]),
         "pairs_cosine": f"WITH {EVENTS}, p AS (SELECT {_PS} FROM t x JOIN t y ON x.attr = y.attr GROUP BY ALL) SELECT x, y, round(xy / sqrt(a.q * b.q), 6) AS score FROM p JOIN s a ON a.item = x JOIN s b ON b.item = y WHERE abs(xy / sqrt(a.q * b.q)) >= 0.99",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import edge
 from gridloom.functions.merge import MERGES
 from gridloom.matrix import Matrix, cells_of, domain
-from gridloom.operators import aggregates, chunking, clusters, flow, graphs, hierarchy, pairs, randomize, reshape, setops
+from gridloom.operators import aggregates, chunking, clusters, dags, flow, graphs, hierarchy, pairs, randomize, reshape, setops
 from gridloom.plans import blocks, program, transform
 from gridloom.sources import dump, labels, rejects, streams, tables
 
@@ -418,6 +418,14 @@ def flow_homogeneity(spark: SparkSession, d: str) -> DataFrame:
     return _r(flow.homogeneity(m, flow.expand(m)))
 
 
+def diagonal_order(spark: SparkSession, d: str) -> DataFrame:
+    return _r(flow.diagonal_order(flow.prepare(trade(spark, d)))[1])
+
+
+def shadow_factors(spark: SparkSession, d: str) -> DataFrame:
+    return _r(flow.shadow_factors(part_graph(spark, d), 1.5))
+
+
 # ---- 2.11: graph measures
 
 
@@ -478,6 +486,22 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return _r(graphs.sweep_thresholds(nation_net(spark, d), [0.0, 100.0, 1000.0]))
 
 
+def dag_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Of the graph from each nation to its largest customer of higher number."""
+    m = trade(spark, d)
+    return dags.levels(aggregates.top_k(reshape.upper(m), 1, "keep"))
+
+
+def cross_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return dags.cross_ratio(trade(spark, d))
+
+
+def select_children(spark: SparkSession, d: str) -> DataFrame:
+    """Parents by the share of a supplier's part sizes that another lacks."""
+    t = pairs.scores(_supplier_sets(spark, d), "subset_diff").select(F.col("x").alias("col_id"), F.col("y").alias("row_id"), F.col("score").alias("val"))
+    return _cells(dags.select_children(Matrix.graph(t), 0.5, 0.7))
+
+
 # ---- 2.12: all-pairs scores
 
 
@@ -582,6 +606,12 @@ def enstrict_split(spark: SparkSession, d: str) -> DataFrame:
     return clusters.by_smallest(clusters.enstrict(odd, nodes, "split"))
 
 
+def nested_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Brand and size within brand."""
+    fine = clusters.meet(by_brand(spark, d), by_size(spark, d))
+    return _r(clusters.nested_scores(part_graph(spark, d), fine, by_brand(spark, d)))
+
+
 # ---- hierarchies
 
 
