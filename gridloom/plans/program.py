@@ -118,12 +118,21 @@ def _scaled(m: Matrix, f: float) -> Matrix:
 
 
 def _addto(m: Machine) -> None:
-    b, a = m.pop(), m.pop()
-    m.push(a, b)
+    b = m.stack[-1] if m.stack else None
     OPERATORS["add"](m)
     m.push(b)
 
 
+def _beside(g: Callable[[Matrix], Any]) -> Callable[[Machine], None]:
+    """The result on top of the matrix, which stays."""
+
+    def f(m: Machine) -> None:
+        x = m.pop(Matrix)
+        m.push(x, g(x))
+
+    return f
+
+
 def _block(m: Machine) -> None:
     dom, mx = m.pop(Matrix), m.pop(Matrix)
     cl = dom.cells.select(F.col("col_id").alias("cluster"), F.col("row_id").alias("node"))
@@ -135,9 +144,9 @@ def _pow(m: Machine) -> None:
     m.push(setops.matrix_power(a, int(b)) if isinstance(a, Matrix) else a**b)
 
 
-def _imac(m: Machine) -> None:
-    cl = flow.interpret(flow.dag(m.pop(Matrix)))
-    m.push(Matrix.of(cl.select(F.col("cluster").alias("col_id"), F.col("node").alias("row_id"), F.lit(1.0).alias("val"))))
+def _clusters(m: Matrix) -> Matrix:
+    cl = flow.interpret(flow.dag(m))
+    return Matrix.of(cl.select(F.col("cluster").alias("col_id"), F.col("node").alias("row_id"), F.lit(1.0).alias("val")))
 
 
 def _new(m: Machine) -> None:
@@ -171,7 +180,7 @@ def _while(m: Machine) -> None:
 
 
 def _repeat(m: Machine) -> None:
-    n, body = m.pop(int), m.pop(Block)
+    body, n = m.pop(Block), m.pop(int)
     for _ in range(n):
         m.run(body)
 
@@ -183,7 +192,11 @@ def _def(m: Machine) -> None:
 
 
 def _unlink(m: Machine) -> None:
-    m.names.pop(str(m.pop(str)), None)
+    """Takes a name's value away from it and pushes it; the name comes as text."""
+    name = str(m.pop(str))
+    if name not in m.names:
+        raise ProgramError(f"no value in {name!r}")
+    m.push(m.names.pop(name))
 
 
 def _roll(m: Machine) -> None:
@@ -221,11 +234,18 @@ def _load_matrix(m: Machine) -> None:
 def _write_matrix(m: Machine) -> None:
     path, mx = m.pop(str), m.pop(Matrix)
     native.write(mx, path)
+    m.push(mx)
 
 
 def _view(m: Machine) -> None:
     mx = m.pop(Matrix)
-    m.push(mx.cells.select("col_id", "row_id", F.round("val", m.digits).alias("val")))
+    mx.cells.select("col_id", "row_id", F.round("val", m.digits).alias("val")).orderBy("col_id", "row_id").show()
+    m.push(mx)
+
+
+def _tell(m: Machine) -> None:
+    for x in m.stack[len(m.stack) - m.pop(int) :]:
+        print(type(x).__name__, x if not isinstance(x, Matrix) else x.cells.schema.simpleString())
 
 
 def _digits(m: Machine) -> None:
@@ -256,7 +276,7 @@ def _square(m: Machine) -> None:
     c, r = mx.cols.count(), mx.rows.count()
     if c != r:
         raise ProgramError(f"{r} rows but {c} columns")
-    m.push(c)
+    m.push(mx, c)
 
 
 def _compare(f: Callable[[Any, Any], bool]) -> Callable[[Machine], None]:
@@ -267,7 +287,7 @@ OPERATORS: dict[str, Callable[[Machine], None]] = {
     "add": _both(lambda a, b: a + b, lambda a, b: setops.binary(a, b, "add")),
     "addto": _addto,
     "addtp": _one(lambda m: setops.add_transpose(m, 0.5)),
-    "bl": _block,
+    "block": _block,
     "pow": _pow,
     "mod": _both(lambda a, b: int(math.fmod(a, b))),
     "min": _both(min, lambda a, b: setops.binary(a, b, "min")),
@@ -280,13 +300,13 @@ OPERATORS: dict[str, Callable[[Machine], None]] = {
     "infl": lambda m: (lambda p, a: m.push(aggregates.inflate(a, p)))(m.pop(*_NUMBER), m.pop(Matrix)),
     "st": _one(aggregates.stochastic),
     "ch": _one(reshape.characteristic),
-    "tp": _one(lambda m: m.t),
-    "imac": _imac,
+    "tp": _beside(lambda m: m.t),
+    "imac": _beside(_clusters),
     "new": _new,
     "id": lambda m: m.push(setops.identity(m.spark.range(m.pop(int)))),
-    "one": _all_one,
+    "jj": _all_one,
     "set": _set,
-    "size": _pop_count(lambda m: m.cells),
+    "size": _beside(lambda m: m.cells.count()),
     "dim": _square,
     "cdim": _pop_count(lambda m: m.cols),
     "rdim": _pop_count(lambda m: m.rows),
@@ -316,14 +336,16 @@ OPERATORS: dict[str, Callable[[Machine], None]] = {
     "free": _free,
     "vars": lambda m: m.push(" ".join(sorted(m.names))),
     "info": _explain,
-    "tell": _explain,
+    "tell": _tell,
     "help": lambda m: m.push(" ".join(sorted(OPERATORS))),
     "ops": lambda m: m.push(" ".join(sorted(OPERATORS))),
     "grep": lambda m: (lambda s: m.push(" ".join(o for o in sorted(OPERATORS) if s in o)))(m.pop(str)),
-    "digits": _digits,
-    "dong": lambda m: m.spark.sparkContext.setLogLevel("INFO" if m.pop(int) else "ERROR"),
+    "dgt": _digits,
+    "vb": lambda m: m.spark.sparkContext.setLogLevel("INFO" if m.pop(int) else "ERROR"),
     "quit": _quit,
 }
+# fixed values: short names
+OPERATORS |= {short: OPERATORS[name] for short, name in {"d": "def", "x": "exch", "i": "info", "p": "pop", "f": "free", "u": "unlink", "l": "list", "h": "help", "bye": "quit", "g": "grep"}.items()}
 
 
 def run(spark: SparkSession, program: str, names: dict[str, Any] | None = None) -> list[Any]:

@@ -738,7 +738,7 @@ def block_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def stack_program(spark: SparkSession, d: str) -> DataFrame:
     """Columns to sum 1, squared, inflated, plus the transpose."""
-    top = program.run(spark, ".m st dup mul 1.5 infl dup tp add", {"m": trade(spark, d)})[-1]
+    top = program.run(spark, ".m st dup mul 1.5 infl tp add", {"m": trade(spark, d)})[-1]
     return _cells(top)
 
 

@@ -142,13 +142,16 @@ def test_block_language(graph, as_dict, spark):
 def test_stack_programs(graph, spark, as_dict):
     m = graph({(0, 1): 2, (1, 0): 2}, range(2))
     assert program.run(spark, "2 3 add 4 mul") == [20]
-    assert program.run(spark, "1 { 2 mul } 5 repeat") == [32]
+    assert program.run(spark, "1 5 { 2 mul } repeat") == [32]
     assert program.run(spark, "0 { dup 5 lt } { 1 add } while") == [5]
     assert program.run(spark, "1 { /yes } { /no } ifelse 7 2 mod 3.0 2 div") == ["yes", 1, 1.5]
     assert program.run(spark, "1 2 3 3 1 roll exch pop") == [3, 2]
     assert program.run(spark, "4 /x def .x .x mul") == [16]
     assert as_dict(program.run(spark, ".m dup mul", {"m": m})[-1]) == {(0, 0): 4, (1, 1): 4}
     assert as_dict(program.run(spark, "2 id 3 mul")[-1]) == {(0, 0): 3, (1, 1): 3}
+    assert program.run(spark, ".m size exch cdim", {"m": m}) == [2, 2]
+    assert as_dict(program.run(spark, ".m tp add", {"m": m})[-1]) == {(0, 1): 4, (1, 0): 4}
+    assert program.run(spark, "5 /y d /y u /y grep p") == [5]
     for bad in ("add", "{ 1", "}", "frobnicate", "1 0 div"):
         with pytest.raises(program.ProgramError):
             program.run(spark, bad)
