@@ -115,7 +115,8 @@ def limit(start: Matrix, flow: Flow = Flow()) -> Matrix:
         m = nxt
         if n >= flow.initial_length and chaos < flow.chaos:
             break
-        sweep(start.cells.sparkSession)
+        if n % 4 == 3:
+            sweep(start.cells.sparkSession)
     return m
 
 

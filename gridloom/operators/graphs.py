@@ -7,6 +7,8 @@ plan grows with the number of rounds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,10 @@ def components(m: Matrix, nodes: DataFrame | None = None) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         near = e.join(label.select(F.col("node").alias("n"), F.col("lab").alias("l")), F.col("b") == F.col("n")).groupBy("a").agg(F.min("l").alias("l"))
         low = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("lab", F.coalesce("l", "lab")).alias("lab"), F.col("lab").alias("was"))
-        low = materialize(low)
         jump = low.select(F.col("node").alias("n"), F.col("lab").alias("l"))
         after = materialize(low.join(jump, F.col("lab") == F.col("n"), "left").select("node", F.least("lab", F.coalesce("l", "lab")).alias("lab"), "was"))
         same = after.where("lab <> was").isEmpty()
-        release(m.cells.sparkSession, label, low)
+        release(m.cells.sparkSession, label)
         label = after
         if same:
             return label.select(F.col("lab").alias("component"), "node")
@@ -223,23 +224,44 @@ def node_attributes(m: Matrix) -> DataFrame:
     return m.cols.join(s, F.col("id") == F.col("col_id"), "left").select(F.col("id").alias("node"), F.coalesce("degree", F.lit(0)).alias("degree"), "mean", "least", "top", "median")
 
 
-def sweep_thresholds(m: Matrix, cutoffs: list[float]) -> DataFrame:
-    """For every cutoff, the graph of arcs at least that heavy: nodes, arcs, singletons, components, largest component, Σ size² / N, mean and median weight and degree.
+def sweep(m: Matrix, steps: list[tuple[float, Callable[[Matrix], Matrix]]]) -> DataFrame:
+    """A row for each step (value, transform): nodes, components, singletons, largest component, Σ size² / N, arcs, mean, median and interquartile range of weights, mean and median degree, mean clustering coefficient.
 
-    The cutoffs are a handful of parameters; each is one pass over the written arcs.
+    The steps are a handful of parameters; each is one pass over the written arcs.
     """
-    spark = m.cells.sparkSession
     base = Matrix(materialize(m.cells), materialize(m.cols), m.cols)
     out = None
-    for c in cutoffs:
-        g = Matrix(base.cells.where(F.col("val") >= c), base.cols, base.cols)
+    for value, change in steps:
+        g = change(base)
+        g = Matrix(materialize(g.cells), base.cols, base.cols)
         comp = components(g).groupBy("component").agg(F.count("*").alias("n"))
         s = comp.agg(F.sum("n").alias("nodes"), F.count("*").alias("components"), F.sum((F.col("n") == 1).cast("bigint")).alias("singletons"), F.max("n").alias("largest"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("spread"))
-        w = g.cells.where("col_id <> row_id").agg(F.count("*").alias("arcs"), F.avg("val").alias("mean_weight"), F.percentile("val", F.lit(0.5)).alias("median_weight"))
+        q = lambda x: F.percentile("val", F.lit(x))
+        w = g.cells.where("col_id <> row_id").agg(F.count("*").alias("arcs"), F.avg("val").alias("mean_weight"), q(0.5).alias("median_weight"), (q(0.75) - q(0.25)).alias("iqr_weight"))
         d = node_attributes(g).agg(F.avg("degree").alias("mean_degree"), F.percentile("degree", F.lit(0.5)).alias("median_degree"))
-        row = s.join(w).join(d).withColumn("cutoff", F.lit(float(c)))
+        c = clustering_coefficient(g).agg(F.avg("clcf").alias("clcf"))
+        row = s.join(w).join(d).join(c).withColumn("step", F.lit(float(value)))
         out = row if out is None else out.unionByName(row)
-    return out if out is not None else spark.createDataFrame([], "nodes bigint")
+    return out
+
+
+def sweep_thresholds(m: Matrix, cutoffs: list[float]) -> DataFrame:
+    """``sweep`` over graphs of arcs at least as heavy as each cutoff."""
+    return sweep(m, [(c, lambda g, c=c: g.put(g.cells.where(F.col("val") >= c))) for c in cutoffs])
+
+
+def sweep_knn(m: Matrix, ks: list[int]) -> DataFrame:
+    """``sweep`` over graphs of mutual k nearest neighbours."""
+    from gridloom.operators.aggregates import knn
+
+    return sweep(m, [(k, lambda g, k=k: knn(g, k)) for k in ks])
+
+
+def sweep_ceil(m: Matrix, caps: list[int]) -> DataFrame:
+    """``sweep`` over graphs whose nodes keep at most so many arcs."""
+    from gridloom.operators.aggregates import ceil_neighbours
+
+    return sweep(m, [(k, lambda g, k=k: ceil_neighbours(g, k)) for k in caps])
 
 
 def threshold_components(pairs: DataFrame, cutoff: float) -> DataFrame:

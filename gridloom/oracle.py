@@ -190,6 +190,12 @@ def oracle_sql() -> dict[str, str]:
         "nested_scores": f"WITH {parts('gg')}, {BRAND}, {SIZE}, kid AS (SELECT node, brand.cluster AS parent, min(node) OVER (PARTITION BY brand.cluster, sz.cluster) AS cluster, count(*) OVER (PARTITION BY brand.cluster, sz.cluster) AS size, count(*) OVER (PARTITION BY brand.cluster) AS psize FROM brand JOIN sz USING (node)), own AS (SELECT a.*, gg.val, b.cluster IS NOT DISTINCT FROM a.cluster AND gg.val IS NOT NULL AS inside, b.parent IS NOT DISTINCT FROM a.parent AND gg.val IS NOT NULL AS fam FROM kid a LEFT JOIN gg ON gg.col_id = a.node LEFT JOIN kid b ON b.node = gg.row_id), "
         + ", ".join(f"{n} AS (SELECT node, any_value(cluster) AS cluster, any_value(size) AS size, coalesce(sum(val) FILTER (WHERE inside), 0) AS i, coalesce(sum(val) FILTER (WHERE NOT inside{w}), 0) AS o, count(val) FILTER (WHERE NOT inside{w}) AS no, sum(val * val) FILTER (WHERE inside OR true{w}) AS q, max(val) FILTER (WHERE inside OR true{w}) AS mx FROM own GROUP BY node), {n}s AS (SELECT cluster, avg(CASE WHEN i + o > 0 THEN 1 - (size - (i - o) * (i + o) / q) / (size + no) ELSE 0 END) AS cov, avg(CASE WHEN i + o > 0 THEN 1 - (size - (i - o) / mx) / (size + no) ELSE 0 END) AS covmax, avg(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END) AS mf FROM {n} GROUP BY cluster)" for n, w in (("w", ""), ("f", " AND fam")))
         + ", k AS (SELECT DISTINCT cluster, parent, size, psize FROM kid) SELECT k.cluster, parent, size, round(ws.cov, 6) AS cov, round(ws.covmax, 6) AS covmax, round(ws.mf, 6) AS massfrac, round(CASE WHEN size = psize THEN 1 ELSE fs.cov END, 6) AS within_cov, round(CASE WHEN size = psize THEN 1 ELSE fs.covmax END, 6) AS within_covmax, round(CASE WHEN size = psize THEN 1 ELSE fs.mf END, 6) AS within_massfrac FROM k JOIN ws USING (cluster) JOIN fs USING (cluster)",
+        "threshold_sweep": "WITH RECURSIVE "
+        + parts()
+        + f", {NODES}, st AS (SELECT unnest([2.0, 3.0, 4.0])::DOUBLE AS step), h AS (SELECT step, g.* FROM st JOIN g ON val >= step), walk AS (SELECT step, id AS node, id AS lab FROM st, dom UNION SELECT walk.step, h.row_id, lab FROM walk JOIN h ON h.step = walk.step AND h.col_id = node), lab AS (SELECT step, node, min(lab) AS c FROM walk GROUP BY ALL), cs AS (SELECT step, c, count(*) AS n FROM lab GROUP BY ALL), "
+        "a AS (SELECT step, CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, count(*) FILTER (WHERE n = 1) AS singletons, max(n) AS largest, round(sum(n * n) / sum(n), 6) AS spread FROM cs GROUP BY step), w AS (SELECT step, count(*) AS arcs, round(avg(val), 6) AS mean_weight, quantile_cont(val, 0.5) AS median_weight, quantile_cont(val, 0.75) - quantile_cont(val, 0.25) AS iqr_weight FROM h GROUP BY step), "
+        "dg AS (SELECT st.step, dom.id, count(h.val) AS d FROM st CROSS JOIN dom LEFT JOIN h ON h.step = st.step AND h.col_id = dom.id GROUP BY ALL), ds AS (SELECT step, round(avg(d), 6) AS mean_degree, quantile_cont(d, 0.5) AS median_degree FROM dg GROUP BY step), tr AS (SELECT x.step, x.col_id, count(*) AS n FROM h x JOIN h y ON y.step = x.step AND y.col_id = x.row_id JOIN h z ON z.step = x.step AND z.col_id = x.col_id AND z.row_id = y.row_id GROUP BY ALL), "
+        "cc AS (SELECT dg.step, round(avg(CASE WHEN d > 1 THEN coalesce(n, 0) / (d * (d - 1)) ELSE 0 END), 6) AS clcf FROM dg LEFT JOIN tr ON tr.step = dg.step AND tr.col_id = dg.id GROUP BY dg.step) SELECT a.*, w.* EXCLUDE (step), ds.* EXCLUDE (step), clcf FROM a JOIN w USING (step) JOIN ds USING (step) JOIN cc USING (step)",
         "pairs_pearson": f"WITH {EVENTS}, ev AS (SELECT a.item AS x, b.item AS y, a.s AS sx, b.s AS sy, a.q AS qx, b.q AS qy FROM s a, s b), p AS (SELECT x.item AS i, y.item AS j, sum(x.val * y.val) AS xy FROM t x JOIN t y ON x.attr = y.attr GROUP BY ALL), z AS (SELECT x, y, sqrt(greatest(n * qx - sx * sx, 0)) * sqrt(greatest(n * qy - sy * sy, 0)) AS den, n * coalesce(xy, 0) - sx * sy AS num FROM ev LEFT JOIN p ON i = x AND j = y, n) SELECT x, y, round(num / den, 6) AS score FROM z WHERE den <> 0 AND num <> 0 AND abs(num / den) >= 0.5",
         "pairs_spearman": EVENTS.replace("t AS (SELECT user_id AS item", "t0 AS (SELECT user_id AS item").replace("n AS (SELECT count", "t AS (SELECT item, attr, rank() OVER (PARTITION BY item ORDER BY val) + (count(*) OVER (PARTITION BY item, val) - 1) / 2.0 AS val FROM t0), n AS (SELECT count").join(["WITH ", ", ev AS (SELECT a.item AS x, b.item AS y, a.s AS sx, b.s AS sy, a.q AS qx, b.q AS qy FROM s a, s b), p AS (SELECT x.item AS i, y.item AS j, sum(x.val * y.val) AS xy FROM t x JOIN t y ON x.attr = y.attr GROUP BY ALL), z AS (SELECT x, y, sqrt(greatest(n * qx - sx * sx, 0)) * sqrt(greatest(n * qy - sy * sy, 0)) AS den, n * coalesce(xy, 0) - sx * sy AS num FROM ev LEFT JOIN p ON i = x AND j = y, n) SELECT x, y, round(num / den, 6) AS score FROM z WHERE den <> 0 AND num <> 0 AND abs(num / den) >= 0.5"]),
         "pairs_cosine": f"WITH {EVENTS}, p AS (SELECT {_PS} FROM t x JOIN t y ON x.attr = y.attr GROUP BY ALL) SELECT x, y, round(xy / sqrt(a.q * b.q), 6) AS score FROM p JOIN s a ON a.item = x JOIN s b ON b.item = y WHERE abs(xy / sqrt(a.q * b.q)) >= 0.99",

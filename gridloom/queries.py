@@ -483,7 +483,11 @@ def sorted_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return _r(graphs.sweep_thresholds(nation_net(spark, d), [0.0, 100.0, 1000.0]))
+    return _r(graphs.sweep_thresholds(part_graph(spark, d), [2.0, 3.0, 4.0]))
+
+
+def knn_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return _r(graphs.sweep_knn(trade(spark, d), [3, 6]))
 
 
 def dag_levels(spark: SparkSession, d: str) -> DataFrame:
