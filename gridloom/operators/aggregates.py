@@ -1,8 +1,9 @@
 """Per-column and whole-matrix aggregates, normalisation, ranks and selections by rank.
 
 Aggregates that only reduce use partial sums before their shuffle. Those that
-give every cell back next to its column's aggregate use one window over the
-column, sharing its sort.
+give every cell back next to its column's aggregates join the two. Only ranks
+use a window over the column; a rank up to k is cut to k candidates a column
+before the shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +21,17 @@ def _col() -> W:
     return W.partitionBy("col_id")
 
 
+def _beside(cells: DataFrame, *aggs: Column) -> DataFrame:
+    """Cells next to aggregates of their column.
+
+    A join and no window: the aggregates are made from partial ones, are
+    broadcast where the planner finds them small, and a column that holds a large
+    part of all cells is split by the adaptive planner.
+    """
+    s = cells.groupBy(F.col("col_id").alias("_s")).agg(*aggs)
+    return cells.join(s, F.col("col_id") == F.col("_s"))
+
+
 def column_stats(m: Matrix, power: float = 2.0, complete: bool = True) -> DataFrame:
     """(col_id, n, total, power_sum, norm, top, least, highest_row, self_val, has_loop) of every column; ``complete`` keeps empty columns with zeros, null extremes and -1 for the highest row."""
     loop = F.col("col_id") == F.col("row_id")
@@ -65,7 +77,7 @@ def stochastic(m: Matrix) -> Matrix:
 def inflate(m: Matrix, power: float) -> Matrix:
     """v^r over the column's sum of v^r."""
     p = F.pow("val", F.lit(float(power))) if power != 1 else F.col("val")
-    c = m.cells.select("col_id", "row_id", p.alias("p")).withColumn("s", F.sum("p").over(_col())).where("s > 0")
+    c = _beside(m.cells.select("col_id", "row_id", p.alias("p")), F.sum("p").alias("s")).where("s > 0")
     return m.put(c.select("col_id", "row_id", (F.col("p") / F.col("s")).alias("val")))
 
 
@@ -75,14 +87,16 @@ def hadamard_power(m: Matrix, power: float) -> Matrix:
 
 def affine(m: Matrix) -> DataFrame:
     """Cells as z-scores of their column's present cells; a column without spread is only centred. Zero scores are kept, this is a table and no matrix."""
-    mean, sd = F.avg("val").over(_col()), F.stddev_pop("val").over(_col())
-    return m.cells.select("col_id", "row_id", (F.when(sd > 0, (F.col("val") - mean) / sd).otherwise(F.col("val") - mean)).alias("val"))
+    c = _beside(m.cells, F.avg("val").alias("_m"), F.stddev_pop("val").alias("_d"))
+    off = F.col("val") - F.col("_m")
+    return c.select("col_id", "row_id", F.when(F.col("_d") > 0, off / F.col("_d")).otherwise(off).alias("val"))
 
 
 def norm_self(m: Matrix) -> Matrix:
     """Columns divided by their loop, by their largest value where they have none."""
-    own = F.max(F.when(F.col("col_id") == F.col("row_id"), F.col("val"))).over(_col())
-    return m.put(m.cells.select("col_id", "row_id", (F.col("val") / F.coalesce(own, F.max("val").over(_col()))).alias("val")))
+    own = F.max(F.when(F.col("col_id") == F.col("row_id"), F.col("val")))
+    c = _beside(m.cells, F.coalesce(own, F.max("val")).alias("_d"))
+    return m.put(c.select("col_id", "row_id", (F.col("val") / F.col("_d")).alias("val")))
 
 
 # ---- selections by rank; every one is an ordered window over the column
@@ -101,14 +115,14 @@ def k_bar(m: Matrix, k: int, largest: bool = True) -> DataFrame:
 
 def top_k(m: Matrix, k: int, ties: str = "drop") -> Matrix:
     """The k largest of every column. Cells tied across the border are all dropped (``drop``), all kept (``keep``), or only what lies strictly above the k-th stays (``above``)."""
-    if ties == "drop":
-        return m.put(m.cells.withColumn("_n", _at_least_as_high()).where(F.col("_n") <= k))
-    higher = F.rank().over(_col().orderBy(F.desc("val")))
+    near = m.cells.withColumn("_n", F.rank().over(_col().orderBy(F.desc("val")))).where(F.col("_n") <= k)
     if ties == "keep":
-        return m.put(m.cells.withColumn("_n", higher).where(F.col("_n") <= k))
-    kth = F.max(F.when(F.col("_i") == k, F.col("val"))).over(_col())
-    ranked = m.cells.withColumn("_i", F.row_number().over(_col().orderBy(F.desc("val")))).withColumn("_k", kth)
-    return m.put(ranked.where("_k IS NULL OR val > _k"))
+        return m.put(near)
+    if ties == "drop":
+        return m.put(near.withColumn("_n", _at_least_as_high()).where(F.col("_n") <= k))
+    # a column's k-th value is its smallest one left, if it has so many
+    kth = near.withColumn("_k", F.min("val").over(_col())).withColumn("_c", F.count("*").over(_col()))
+    return m.put(kth.where(f"_c < {int(k)} OR val > _k"))
 
 
 def knn(m: Matrix, k: int) -> Matrix:
@@ -125,8 +139,8 @@ def quantiles(m: Matrix, q: float) -> Matrix:
 def ssq(m: Matrix, a: float) -> Matrix:
     """Cells above ``a`` times the column's sum of squares over its sum, both without the loop."""
     off = F.when(F.col("col_id") != F.col("row_id"), F.col("val")).otherwise(0.0)
-    c = m.cells.withColumn("_s", F.sum(off).over(_col())).withColumn("_q", F.sum(off * off).over(_col()))
-    return m.put(c.where((F.col("_s") != 0) & (F.col("val") > a * F.col("_q") / F.col("_s"))))
+    c = _beside(m.cells, F.sum(off).alias("_t"), F.sum(off * off).alias("_q"))
+    return m.put(c.where((F.col("_t") != 0) & (F.col("val") > a * F.col("_q") / F.col("_t"))))
 
 
 def ranks(cells: DataFrame) -> DataFrame:
