@@ -11,18 +11,25 @@ one pair at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm import setjoin
+from gridloom.matrix import Matrix
+from gridloom.operators.graphs import components
 from gridloom.plans.materialize import materialize, release, sweep
 
 #: Pairs of columns less similar than this have no edge; groups of problem 4 have at least 0.45 inside and less than 0.3 outside.
 SIMILAR = Fraction(2, 5)
 MAX_ROUNDS = 200
+#: Components of more edges than this are merged by rounds of jobs, all others whole within tasks.
+LOCAL_EDGES = 200_000
 
 
 def cluster(nodes: DataFrame, edges: DataFrame, stop: float) -> DataFrame:
@@ -32,10 +39,98 @@ def cluster(nodes: DataFrame, edges: DataFrame, stop: float) -> DataFrame:
     an edge of null or NaN similarity is none; empty tables give an empty
     result.
     """
-    spark = nodes.sparkSession
     w1, w2 = (nodes.select(F.col("node").alias(f"n{i}"), F.col("w").cast("double").alias(f"w{i}")) for i in "ab")
     live = edges.where("sim IS NOT NULL AND NOT isnan(sim)").join(w1, F.col("a") == F.col("na")).join(w2, F.col("b") == F.col("nb"))
     live = materialize(live.select("a", "b", "wa", "wb", (F.col("sim") * F.col("wa") * F.col("wb")).alias("s")))
+    # clusters never merge across the components of the graph, so each component is its own task's work unless it is too large for one
+    graph = Matrix.graph(live.select(F.col("a").alias("col_id"), F.col("b").alias("row_id"), F.col("s").alias("val")))
+    of = materialize(components(graph).select("component", F.col("node").alias("_n")))
+    placed = live.join(of, F.col("a") == F.col("_n")).drop("_n")
+    giants = placed.groupBy(F.col("component").alias("_g")).agg(F.count("*").alias("n")).where(F.col("n") > LOCAL_EDGES).select("_g")
+    giants = materialize(giants)
+    small = placed if giants.isEmpty() else placed.join(giants, F.col("component") == F.col("_g"), "left_anti")
+    up = small.repartition("component").sortWithinPartitions("component").mapInPandas(_whole_components(stop), "old bigint, new bigint")
+    if not giants.isEmpty():
+        rest = placed.join(giants, F.col("component") == F.col("_g"), "left_semi").drop("component")
+        up = up.unionByName(_in_rounds(materialize(rest), stop))
+    return nodes.join(up, F.col("node") == F.col("old"), "left").select("node", F.coalesce("new", "node").alias("cluster"))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """64-bit mixing of whole numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def merge_rounds(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, s: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, cluster of each): rounds of mutual best merges over edges held in memory; clusters keep their smallest id."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n, m = len(ids), len(a)
+    a, b = ends[:m], ends[m:]
+    w = np.zeros(n)
+    w[a], w[b] = wa, wb
+    root = np.arange(n)
+    with np.errstate(over="ignore"):
+        while len(a):
+            q = s / (w[a] * w[b])
+            good = np.flatnonzero(q >= stop)
+            if not len(good):
+                break
+            h = _mix(_mix(ids[a[good]].astype(np.uint64)) + ids[b[good]].astype(np.uint64))
+            rank = good[np.lexsort((h, q[good]))]
+            best = np.full(n, -1)
+            best[np.stack([a[rank], b[rank]], 1).ravel()] = np.repeat(rank, 2)  # the last one written is the best
+            both = good[(best[a[good]] == good) & (best[b[good]] == good)]
+            w[a[both]] += w[b[both]]
+            to = np.arange(n)
+            to[b[both]] = a[both]
+            root = to[root]
+            x, y = to[a], to[b]
+            keep = x != y
+            x, y, s = x[keep], y[keep], s[keep]
+            key = np.minimum(x, y) * n + np.maximum(x, y)
+            order = np.argsort(key, kind="stable")
+            key, s = key[order], s[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.array([], int)
+            s = np.add.reduceat(s, first) if len(first) else s
+            a, b = key[first] // n, key[first] % n
+    return ids, ids[root]
+
+
+def _whole_components(stop: float):
+    """Runs ``merge_rounds`` over sorted edges, a few whole components at a time."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+
+        def flush(df: pd.DataFrame) -> pd.DataFrame:
+            ids, to = merge_rounds(*(df[c].to_numpy() for c in ("a", "b", "wa", "wb", "s")), stop)
+            moved = ids != to
+            return pd.DataFrame({"old": ids[moved], "new": to[moved]})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            size += len(pdf)
+            if size > LOCAL_EDGES:
+                df = pd.concat(held)
+                open_ = df["component"] == df["component"].iloc[-1]  # the last component may go on
+                if not open_.all():
+                    yield flush(df[~open_])
+                    df = df[open_]
+                held, size = [df], len(df)
+        if held:
+            yield flush(pd.concat(held))
+
+    return go
+
+
+def _in_rounds(live: DataFrame, stop: float) -> DataFrame:
+    """(old, new) of nodes that change their cluster: the same rounds, each a few jobs over all edges."""
+    spark = live.sparkSession
     merges = []
     while len(merges) < MAX_ROUNDS:
         # an edge below the threshold takes no part, it only weighs in later sums
@@ -60,7 +155,7 @@ def cluster(nodes: DataFrame, edges: DataFrame, stop: float) -> DataFrame:
     else:
         raise RuntimeError(f"clusters still merge after {MAX_ROUNDS} rounds")
     if not merges:
-        return nodes.select("node", F.col("node").alias("cluster"))
+        return spark.createDataFrame([], "old bigint, new bigint")
     # a node is merged away once at most: the merges are a forest no deeper than their rounds, resolved by pointer jumping
     up = merges[0]
     for m in merges[1:]:
@@ -69,7 +164,7 @@ def cluster(nodes: DataFrame, edges: DataFrame, stop: float) -> DataFrame:
     for _ in range((len(merges) - 1).bit_length()):
         up = materialize(up)
         up = up.join(up.select(F.col("old").alias("o2"), F.col("new").alias("n2")), F.col("new") == F.col("o2"), "left").select("old", F.coalesce("n2", "new").alias("new"))
-    return nodes.join(up, F.col("node") == F.col("old"), "left").select("node", F.coalesce("new", "node").alias("cluster"))
+    return up
 
 
 def column_rows(cells: DataFrame, coldom: DataFrame) -> DataFrame:

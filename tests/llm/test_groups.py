@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from gridloom.llm import groups, linkage
 
 PAIRS = "x string, y string, val double"
@@ -60,8 +62,10 @@ def _average_linkage(nodes, sim, stop):
         cl[a] += cl.pop(b)
 
 
-def test_linkage_against_greedy(spark):
-    """Without ties, merging reciprocal nearest neighbours gives what greedy merging gives."""
+@pytest.mark.parametrize("local", [0, 40, 200_000])
+def test_linkage_against_greedy(spark, monkeypatch, local):
+    """Without ties, merging reciprocal nearest neighbours gives what greedy merging gives, in tasks and in rounds of jobs."""
+    monkeypatch.setattr(linkage, "LOCAL_EDGES", local)
     for seed in (1, 2):
         r = random.Random(seed)
         sim = {(a, b): round(r.uniform(0.3, 1), 6) for a in range(24) for b in range(a + 1, 24) if a % 4 == b % 4 or r.random() < 0.15}
@@ -73,7 +77,9 @@ def test_linkage_against_greedy(spark):
         assert {frozenset(v) for v in out.values()} == _average_linkage(range(24), sim, 0.4)
 
 
-def test_ties_merge_together(spark):
+@pytest.mark.parametrize("local", [0, 200_000])
+def test_ties_merge_together(spark, monkeypatch, local):
+    monkeypatch.setattr(linkage, "LOCAL_EDGES", local)
     nodes = spark.createDataFrame([(i, 1) for i in range(32)], "node bigint, w int")
     edges = spark.createDataFrame([(a, b, 0.8) for a in range(32) for b in range(a + 1, 32)], "a bigint, b bigint, sim double")
     assert {x.cluster for x in linkage.cluster(nodes, edges, 0.4).collect()} == {0}
