@@ -50,23 +50,25 @@ def token_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketch = F.broadcast(sketch)
 
     def ranked(df: DataFrame) -> DataFrame:
-        return df.withColumn("slot", F.expr(_slot("tok"))).join(sketch, "slot")
+        return df.withColumn("slot", F.expr(_slot("tok"))).join(sketch, "slot").withColumn("bit", F.expr("cast(pmod(xxhash64(tok, 7), 128) as int)"))
 
     def grouped(df: DataFrame) -> DataFrame:
         g = df.groupBy("id").agg(
             F.array_sort(F.collect_set(F.struct("df", "tok"))).alias("z"),
-            F.expr("bit_or(if(pmod(xxhash64(tok, 7), 128) < 64, shiftleft(1L, cast(pmod(xxhash64(tok, 7), 64) as int)), 0L))").alias("s1"),
-            F.expr("bit_or(if(pmod(xxhash64(tok, 7), 128) >= 64, shiftleft(1L, cast(pmod(xxhash64(tok, 7), 64) as int)), 0L))").alias("s2"),
+            F.expr("bit_or(if(bit < 64, shiftleft(1L, bit), 0L))").alias("s1"),
+            F.expr("bit_or(if(bit >= 64, shiftleft(1L, bit - 64), 0L))").alias("s2"),
         )
         return g.select("id", F.size("z").alias("n"), F.col("z.tok").alias("toks"), F.expr("transform(z.df, x -> cast(least(x, 2147483647L) as int))").alias("dfs"), "s1", "s2")
 
+    heavy = materialize(heavy)
+    if heavy.isEmpty():
+        return grouped(ranked(rows.repartition("id"))), rows.limit(0)
     light = rows.join(heavy, F.col("id") == F.col("hid"), "left_anti")
-    big = rows.join(heavy, F.col("id") == F.col("hid"), "left_semi").distinct()
+    big = materialize(rows.join(heavy, F.col("id") == F.col("hid"), "left_semi").distinct())
     sizes = big.groupBy("id").agg(F.count("*").alias("bn"))
     medium = big.join(sizes.where(F.col("bn") <= GIANT).select(F.col("id").alias("mid")), F.col("id") == F.col("mid"), "left_semi")
     giants = big.join(sizes.where(F.col("bn") > GIANT).select(F.col("id").alias("gid")), F.col("id") == F.col("gid"), "left_semi")
-    sets = grouped(ranked(light.repartition("id"))).unionByName(grouped(ranked(medium)))
-    return sets, giants
+    return grouped(ranked(light.repartition("id"))).unionByName(grouped(ranked(medium))), giants
 
 
 def copy_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
