@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from gridloom.matrix import Matrix, within
 
+# fixed values of the interchange format: section names
+HEADER, COLS, ROWS, BOTH, BODY, TYPE = "mclheader", "mclcols", "mclrows", "mcldoms", "mclmatrix", "mcltype"
+
 
 def write(m: Matrix, path: str) -> None:
     m.cells.repartitionByRange("col_id").sortWithinPartitions("col_id", "row_id").write.mode("overwrite").parquet(f"{path}/cells")
@@ -69,16 +72,16 @@ def read_interchange(spark: SparkSession, path: str) -> Matrix:
         if "begin" in row.value:
             break
     n_rows, n_cols = dimensions(head)
-    both = _dom(head, "mcldoms")
+    both = _dom(head, BOTH)
 
     def dom(own: list[int] | None, n: int) -> DataFrame:
         ids = own if own is not None else both
         return spark.range(n) if ids is None else spark.createDataFrame([(i,) for i in ids], "id bigint")
 
-    cols, rows = dom(_dom(head, "mclcols"), n_cols), dom(_dom(head, "mclrows"), n_rows)
+    cols, rows = dom(_dom(head, COLS), n_cols), dom(_dom(head, ROWS), n_rows)
     body = spark.read.text(path, lineSep="$")
     body = body.select(F.regexp_replace("value", "(?s)^.*begin", "").alias("value"))
-    body = body.select(F.regexp_replace("value", "(?m)^\\s*#.*$", "").alias("value")).where("NOT value LIKE '%(mcl%'")
+    body = body.select(F.regexp_replace("value", "(?m)^\\s*#.*$", "").alias("value")).where(~F.col("value").rlike(rf"\((?:{HEADER}|{COLS}|{ROWS}|{BOTH}|{BODY})"))
     c = within(parse_interchange(body), cols, rows)
     return Matrix(c.where("val <> 0"), cols, rows)
 
@@ -94,7 +97,7 @@ def interchange_lines(m: Matrix, digits: int = 6) -> DataFrame:
     cell = F.concat(F.col("row_id").cast("string"), F.when(v == 1, "").otherwise(F.concat(F.lit(":"), v.cast("string"))))
     body = m.cells.groupBy("col_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", cell.alias("t")))), lambda x: x["t"]), " ").alias("t"))
     body = body.select(F.lit(5).alias("part"), F.col("col_id").alias("id"), F.concat(F.col("col_id").cast("string"), F.lit("  "), "t", F.lit(" $")).alias("line"))
-    out = text(1, f"(mclheader\nmcltype matrix\ndimensions {r}x{c}\n)").unionByName(dom(2, "mclrows", m.rows)).unionByName(dom(3, "mclcols", m.cols)).unionByName(text(4, "(mclmatrix\nbegin")).unionByName(body)
+    out = text(1, f"({HEADER}\n{TYPE} matrix\ndimensions {r}x{c}\n)").unionByName(dom(2, ROWS, m.rows)).unionByName(dom(3, COLS, m.cols)).unionByName(text(4, f"({BODY}\nbegin")).unionByName(body)
     return out.unionByName(text(6, ")"))
 
 
