@@ -25,28 +25,27 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    keep = ["value"] + (["line_no"] if "line_no" in df.columns else [])
-    return df.select(*keep).where(F.col("value").isNotNull() & ~F.ltrim(F.regexp_replace("value", "^\\s+", "")).startswith("#") & (F.trim("value") != ""))
+    """(f, ...) fields of the lines that are not blank, comments or null; each line is split once.
 
-
-def _fields(v: Column) -> Column:
-    """Fields of a line: by TABs if it has one, else by white space."""
-    return F.when(F.instr(v, "\t") > 0, F.split(v, "\t")).otherwise(F.split(F.trim(v), "\\s+"))
-
-
-def _value(text: Column) -> Column:
-    """A missing, infinite or NaN value counts as 1; text that is no number is null."""
-    d = F.expr("try_cast(_v as double)")
-    return F.when(text.isNull() | (F.trim(text) == ""), 1.0).when(F.isnan(d) | (F.abs(d) > 3.4028234663852886e38), 1.0).otherwise(d)
+    Fields are divided by TABs if the line has one, else by white space. The
+    explode of one array is a fence: filters on the fields do not split again.
+    """
+    keep = ["line_no"] if "line_no" in df.columns else []
+    v = F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    some = df.where("value IS NOT NULL").select(*keep, v.alias("v")).where(~F.col("v").rlike("^\\s*(#|$)"))
+    f = F.when(F.instr("v", "\t") > 0, F.split("v", "\t")).otherwise(F.split(F.trim("v"), "\\s+"))
+    return some.select(*keep, F.explode(F.array(f)).alias("f"))
 
 
 def read_abc(lines: DataFrame) -> DataFrame:
-    """(x, y, val): ``label label [value]`` lines. Lines with fewer than two fields or a value that is no number are skipped, as are comments."""
-    src = _lines(lines)
-    f = src.withColumn("_f", _fields(F.regexp_replace("value", "\r$", ""))).where(F.size("_f") >= 2)
-    v = f.select(*[c for c in src.columns if c != "value"], F.col("_f")[0].alias("x"), F.col("_f")[1].alias("y"), F.get("_f", F.lit(2)).alias("_v"))
-    out = v.withColumn("val", _value(F.col("_v"))).where("val IS NOT NULL AND x <> '' AND y <> ''")
-    return out.drop("_v")
+    """(x, y, val): ``label label [value]`` lines. A missing, infinite or NaN value counts as 1. Lines with fewer than two fields or a value that is no number are skipped, as are comments."""
+    src = _lines(lines).where(F.size("f") >= 2)
+    keep = [c for c in src.columns if c != "f"]
+    text = F.get("f", F.lit(2))
+    d = F.when(text.isNull() | (F.trim(text) == ""), 1.0).otherwise(F.expr("try_cast(f[2] as double)"))
+    got = src.select(*keep, F.col("f")[0].alias("x"), F.col("f")[1].alias("y"), F.explode(F.array(F.when(F.size("f") > 2, d).otherwise(1.0))).alias("d"))
+    wild = F.isnan("d") | (F.abs("d") > 3.4028234663852886e38)
+    return got.where("d IS NOT NULL AND x <> '' AND y <> ''").select(*keep, "x", "y", F.when(wild, 1.0).otherwise(F.col("d")).alias("val"))
 
 
 def read_123(lines: DataFrame, max_col: int | None = None, max_row: int | None = None) -> DataFrame:
@@ -62,13 +61,12 @@ def read_123(lines: DataFrame, max_col: int | None = None, max_row: int | None =
 
 def read_etc(lines: DataFrame, numeric: bool = False, auto_column: bool = False) -> DataFrame:
     """(x, y, val): ``label y1 y2 ...`` adjacency lines with weight 1; ``numeric`` for ids; ``auto_column`` for lines without a label of their own, which take their place among the lines (from 0, by ``line_no``) as column."""
-    src = _lines(lines)
-    f = src.withColumn("_f", _fields(F.regexp_replace("value", "\r$", "")))
+    f = _lines(lines)
     if auto_column:
         at = canonical_map(f.select(F.col("line_no").alias("id"))).select(F.col("old").alias("_o"), F.col("new").alias("x"))
-        out = f.join(at, F.col("line_no") == F.col("_o")).select("x", F.explode("_f").alias("y"))
+        out = f.join(at, F.col("line_no") == F.col("_o")).select("x", F.explode("f").alias("y"))
     else:
-        out = f.select(F.col("_f")[0].alias("x"), F.explode(F.slice("_f", F.lit(2), F.size("_f"))).alias("y"))
+        out = f.select(F.col("f")[0].alias("x"), F.explode(F.slice("f", F.lit(2), F.size("f"))).alias("y"))
     out = out.where("y <> ''").withColumn("val", F.lit(1.0))
     if numeric:
         out = out.withColumn("x", F.expr("try_cast(x as bigint)")).withColumn("y", F.expr("try_cast(y as bigint)")).where("x >= 0 AND y >= 0")
@@ -162,4 +160,4 @@ def read_raw(lines: DataFrame) -> DataFrame:
 def read_tab(lines: DataFrame) -> DataFrame:
     """(id, label) of ``id<white space>label`` lines; comments and lines of another shape are skipped."""
     p = "^\\s*(\\d+)\\s+(.*?)\\r?$"
-    return _lines(lines).where(F.col("value").rlike(p)).select(F.regexp_extract("value", p, 1).cast("bigint").alias("id"), F.regexp_extract("value", p, 2).alias("label"))
+    return lines.where(F.col("value").rlike(p) & ~F.col("value").rlike("^\\s*#")).select(F.regexp_extract("value", p, 1).cast("bigint").alias("id"), F.regexp_extract("value", p, 2).alias("label"))
