@@ -189,7 +189,7 @@ def oracle_sql() -> dict[str, str]:
         "shadow_factors": f"WITH {parts()}, {NODES}, s AS (SELECT col_id AS k, count(*) AS n, sum(val) AS t FROM g GROUP BY col_id), p AS (SELECT g.col_id, any_value(a.n) AS n0, any_value(a.t) AS t0, sum(g.val / a.t * b.n) AS size, sum(g.val / a.t * CASE WHEN b.n < 2 THEN b.t / b.n ELSE (b.t - g.val) / (b.n - 1) END) AS gauge FROM g JOIN s a ON a.k = g.col_id JOIN s b ON b.k = g.row_id GROUP BY g.col_id) SELECT id, round(coalesce(pow(greatest(n0 / size, (t0 / n0) / gauge, 1), 1.5) - 1, 0), 6) AS val FROM dom LEFT JOIN p ON col_id = id",
         "nested_scores": f"WITH {parts('gg')}, {BRAND}, {SIZE}, kid AS (SELECT node, brand.cluster AS parent, min(node) OVER (PARTITION BY brand.cluster, sz.cluster) AS cluster, count(*) OVER (PARTITION BY brand.cluster, sz.cluster) AS size, count(*) OVER (PARTITION BY brand.cluster) AS psize FROM brand JOIN sz USING (node)), own AS (SELECT a.*, gg.val, b.cluster IS NOT DISTINCT FROM a.cluster AND gg.val IS NOT NULL AS inside, b.parent IS NOT DISTINCT FROM a.parent AND gg.val IS NOT NULL AS fam FROM kid a LEFT JOIN gg ON gg.col_id = a.node LEFT JOIN kid b ON b.node = gg.row_id), "
         + ", ".join(f"{n} AS (SELECT node, any_value(cluster) AS cluster, any_value(size) AS size, coalesce(sum(val) FILTER (WHERE inside), 0) AS i, coalesce(sum(val) FILTER (WHERE NOT inside{w}), 0) AS o, count(val) FILTER (WHERE NOT inside{w}) AS no, sum(val * val) FILTER (WHERE inside OR true{w}) AS q, max(val) FILTER (WHERE inside OR true{w}) AS mx FROM own GROUP BY node), {n}s AS (SELECT cluster, avg(CASE WHEN i + o > 0 THEN 1 - (size - (i - o) * (i + o) / q) / (size + no) ELSE 0 END) AS cov, avg(CASE WHEN i + o > 0 THEN 1 - (size - (i - o) / mx) / (size + no) ELSE 0 END) AS covmax, avg(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END) AS mf FROM {n} GROUP BY cluster)" for n, w in (("w", ""), ("f", " AND fam")))
-        + ", k AS (SELECT DISTINCT cluster, parent, size, psize FROM kid) SELECT k.cluster, parent, size, round(ws.cov, 6) AS cov, round(ws.covmax, 6) AS covmax, round(ws.mf, 6) AS massfrac, round(CASE WHEN size = psize THEN 1 ELSE fs.cov END, 6) AS within_cov, round(CASE WHEN size = psize THEN 1 ELSE fs.covmax END, 6) AS within_covmax, round(CASE WHEN size = psize THEN 1 ELSE fs.mf END, 6) AS within_massfrac FROM k JOIN ws USING (cluster) JOIN fs USING (cluster)",
+        + ", k AS (SELECT DISTINCT cluster, parent, size, psize FROM kid) SELECT k.cluster, parent, size, round(ws.cov + 1e-9, 6) AS cov, round(ws.covmax + 1e-9, 6) AS covmax, round(ws.mf + 1e-9, 6) AS massfrac, round(CASE WHEN size = psize THEN 1 ELSE fs.cov END + 1e-9, 6) AS within_cov, round(CASE WHEN size = psize THEN 1 ELSE fs.covmax END + 1e-9, 6) AS within_covmax, round(CASE WHEN size = psize THEN 1 ELSE fs.mf END + 1e-9, 6) AS within_massfrac FROM k JOIN ws USING (cluster) JOIN fs USING (cluster)",
         "threshold_sweep": "WITH RECURSIVE "
         + parts()
         + f", {NODES}, st AS (SELECT unnest([2.0, 3.0, 4.0])::DOUBLE AS step), h AS (SELECT step, g.* FROM st JOIN g ON val >= step), walk AS (SELECT step, id AS node, id AS lab FROM st, dom UNION SELECT walk.step, h.row_id, lab FROM walk JOIN h ON h.step = walk.step AND h.col_id = node), lab AS (SELECT step, node, min(lab) AS c FROM walk GROUP BY ALL), cs AS (SELECT step, c, count(*) AS n FROM lab GROUP BY ALL), "
@@ -210,15 +210,15 @@ def oracle_sql() -> dict[str, str]:
         "node_volatility": "WITH p AS (SELECT p_partkey AS node, p_brand AS a, p_size AS b, length(p_type) AS c FROM part) SELECT node, round(1.0 / count(*) OVER (PARTITION BY a, b) + 1.0 / count(*) OVER (PARTITION BY a, c) + 1.0 / count(*) OVER (PARTITION BY b, c), 6) AS val FROM p",
         "granularity": f"WITH {SIZE}, s AS (SELECT count(*) AS z FROM sz GROUP BY cluster), o AS (SELECT z, row_number() OVER (ORDER BY z) AS i, sum(z) OVER (ORDER BY z ROWS UNBOUNDED PRECEDING) AS run FROM s), a AS (SELECT count(*) AS clusters, max(z) AS largest, sum(z) AS total FROM s) SELECT clusters, largest, (SELECT round(sum(z * z) / sum(z), 6) FROM s) AS ctr, (SELECT round(avg(z), 6) FROM s) AS mean, (SELECT min(z) FROM s) AS smallest, (SELECT count(*) FROM s WHERE z <= 1) AS singletons, (SELECT count(*) FROM s WHERE z <= 4) AS quartets, (SELECT round(-sum(z * ln(z)), 6) FROM s) AS log_variance, (SELECT min(i) FROM o WHERE run >= largest) AS dgi, clusters - (SELECT min(i) FROM o WHERE run >= (total + 1) // 2) AS twi, (SELECT min(z) FROM o WHERE run >= (total + 1) // 2) AS twl FROM a",
         "cluster_performance": f"WITH {parts('gg')}, {BRAND}, {SCORES} SELECT round(avg(cov), 6) AS efficiency, round(avg(covmax), 6) AS max_efficiency, round(avg(mf), 6) AS massfrac, round((SELECT sum(size * (size - 1)) FROM cs) / (count(*) * (count(*) - 1)), 6) AS areafrac FROM ns",
-        "cluster_scores": f"WITH {parts('gg')}, {BRAND}, {SCORES} SELECT cluster, count(*) AS size, round(avg(cov), 6) AS cov, round(avg(covmax), 6) AS covmax, round(avg(mf), 6) AS massfrac FROM ns GROUP BY cluster",
-        "cluster_projection": g + f", {BRAND}, p AS (SELECT col_id, b.cluster AS b, sum(val) AS w FROM g JOIN brand b ON b.node = row_id GROUP BY ALL), t AS (SELECT col_id, sum(val) AS t FROM g GROUP BY col_id), k AS (SELECT cluster, count(*) AS n FROM brand GROUP BY cluster) SELECT a.cluster AS a, p.b, round(sum(w / t) / any_value(n), 6) AS val FROM p JOIN t USING (col_id) JOIN brand a ON a.node = col_id JOIN k ON k.cluster = a.cluster GROUP BY a.cluster, p.b",
+        "cluster_scores": f"WITH {parts('gg')}, {BRAND}, {SCORES} SELECT cluster, count(*) AS size, round(avg(cov) + 1e-9, 6) AS cov, round(avg(covmax) + 1e-9, 6) AS covmax, round(avg(mf) + 1e-9, 6) AS massfrac FROM ns GROUP BY cluster",
+        "cluster_projection": g + f", {BRAND}, p AS (SELECT col_id, b.cluster AS b, sum(val) AS w FROM g JOIN brand b ON b.node = row_id GROUP BY ALL), t AS (SELECT col_id, sum(val) AS t FROM g GROUP BY col_id), k AS (SELECT cluster, count(*) AS n FROM brand GROUP BY cluster) SELECT a.cluster AS a, p.b, round(sum(w / t) / any_value(n) + 1e-9, 6) AS val FROM p JOIN t USING (col_id) JOIN brand a ON a.node = col_id JOIN k ON k.cluster = a.cluster GROUP BY a.cluster, p.b",
         "residue_nodes": g + f", {BRAND}, known AS (SELECT cluster, node FROM brand SEMI JOIN (SELECT p_partkey AS node FROM part WHERE p_size <= 25) USING (node)), w AS (SELECT col_id AS node, cluster, sum(val) AS w FROM g JOIN known ON known.node = row_id WHERE col_id NOT IN (SELECT node FROM known) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, cluster) AS k FROM w) SELECT cluster, node FROM known UNION ALL SELECT cluster, node FROM r WHERE k = 1",
         "enstrict_cut": f"WITH {ODD}, k AS (SELECT node, min(cluster) AS c FROM ov GROUP BY node) SELECT min(node) OVER (PARTITION BY c) AS cluster, node FROM k UNION ALL SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 2 = 0",
         "enstrict_split": f"WITH {ODD}, k AS (SELECT node, list_sort(list(DISTINCT cluster)) AS c FROM ov GROUP BY node) SELECT min(node) OVER (PARTITION BY c) AS cluster, node FROM k UNION ALL SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 2 = 0",
         "stack_to_cone": f"WITH {PLACES} SELECT level, cluster, node FROM h WHERE level = 0 UNION ALL SELECT DISTINCT 1, r, n FROM pl UNION ALL SELECT DISTINCT 2, 0, r FROM pl",
         "cone_to_stack": f"WITH {PLACES} SELECT level, cluster, node FROM h",
         "stable_clusters": f"WITH {PLACES}, s AS (SELECT level, cluster, count(*) AS n FROM h GROUP BY ALL), m AS (SELECT a.level, a.cluster, b.cluster AS upper, count(*) AS m FROM h a JOIN h b ON a.node = b.node AND b.level = a.level + 1 GROUP BY ALL), i AS (SELECT m.level, m.cluster, upper, m / (x.n + y.n - m) AS identity FROM m JOIN s x ON x.level = m.level AND x.cluster = m.cluster JOIN s y ON y.level = m.level + 1 AND y.cluster = upper), r AS (SELECT *, row_number() OVER (PARTITION BY level, upper ORDER BY identity DESC, cluster) AS k FROM i) SELECT level, cluster, upper, round(identity, 6) AS identity FROM r WHERE k = 1 AND identity > 0.2",
-        "coarse_graph": g + f", {BRAND}, o AS (SELECT col_id, row_id, val, a.cluster AS ca, b.cluster AS cb FROM g JOIN brand a ON a.node = col_id JOIN brand b ON b.node = row_id WHERE a.cluster <> b.cluster), k AS (SELECT cluster, count(*) AS n FROM brand GROUP BY cluster) SELECT ca AS col_id, cb AS row_id, round(sum(val / n), 6) AS val FROM o JOIN k ON k.cluster = ca GROUP BY ca, cb",
+        "coarse_graph": g + f", {BRAND}, o AS (SELECT col_id, row_id, val, a.cluster AS ca, b.cluster AS cb FROM g JOIN brand a ON a.node = col_id JOIN brand b ON b.node = row_id WHERE a.cluster <> b.cluster), k AS (SELECT cluster, count(*) AS n FROM brand GROUP BY cluster) SELECT ca AS col_id, cb AS row_id, round(sum(val / n) + 1e-9, 6) AS val FROM o JOIN k ON k.cluster = ca GROUP BY ca, cb",
         "load_labels": f"WITH a AS (SELECT x, y, CASE WHEN val IS NULL OR isnan(val) OR abs(val) > {MAXF} THEN 1.0 ELSE val END AS val FROM tree_pairs WHERE coalesce(x, '') <> '' AND coalesce(y, '') <> '' AND NOT ltrim(x) LIKE '#%'), b AS (SELECT x, y, val FROM a UNION ALL SELECT y, x, val FROM a) SELECT x, y, round(max(val), 6) AS val FROM b GROUP BY x, y HAVING max(val) <> 0",
         "load_numbers": "SELECT col_id, row_id, round(max(v), 6) AS val FROM (SELECT col_id, row_id, CASE WHEN val IS NULL OR isnan(val) THEN 1.0 ELSE val END AS v FROM cells WHERE col_id >= 0 AND row_id >= 0) GROUP BY ALL HAVING max(v) <> 0",
         "load_adjacency": "SELECT DISTINCT l_orderkey AS col_id, l_partkey AS row_id, 1.0::DOUBLE AS val FROM lineitem",

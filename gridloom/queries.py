@@ -89,6 +89,11 @@ def _r(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).alias(c) for c, t in df.dtypes])
 
 
+def _off_ties(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns moved off the ties that sums of simple fractions would be when rounded."""
+    return df.select(*[(F.col(c) + 1e-9).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 def _cells(m: Matrix) -> DataFrame:
     return _r(m.cells.select("col_id", "row_id", "val"))
 
@@ -401,8 +406,7 @@ def flow_round(spark: SparkSession, d: str) -> DataFrame:
     p = flow.prune(flow.expand(m), 0.02)
     chaos = p.select(F.col("col_id").alias("c"), "chaos").distinct()
     out = aggregates.inflate(m.put(p.select("col_id", "row_id", "val")), 2.0).cells
-    near = lambda c: (F.col(c) + 1e-9).alias(c)  # noqa: E731  # off the ties that fractions of powers of two would be when rounded
-    return _r(out.join(chaos, F.col("col_id") == F.col("c")).select("col_id", "row_id", near("val"), near("chaos")))
+    return _r(_off_ties(out.join(chaos, F.col("col_id") == F.col("c")).select("col_id", "row_id", "val", "chaos"), "val", "chaos"))
 
 
 def flow_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -584,11 +588,11 @@ def cluster_performance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _r(clusters.cluster_scores(part_graph(spark, d), by_brand(spark, d)))
+    return _r(_off_ties(clusters.cluster_scores(part_graph(spark, d), by_brand(spark, d)), "cov", "covmax", "massfrac"))
 
 
 def cluster_projection(spark: SparkSession, d: str) -> DataFrame:
-    return _r(clusters.cluster_projection(part_graph(spark, d), by_brand(spark, d)))
+    return _r(_off_ties(clusters.cluster_projection(part_graph(spark, d), by_brand(spark, d)), "val"))
 
 
 def residue_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -613,7 +617,8 @@ def enstrict_split(spark: SparkSession, d: str) -> DataFrame:
 def nested_scores(spark: SparkSession, d: str) -> DataFrame:
     """Brand and size within brand."""
     fine = clusters.meet(by_brand(spark, d), by_size(spark, d))
-    return _r(clusters.nested_scores(part_graph(spark, d), fine, by_brand(spark, d)))
+    out = clusters.nested_scores(part_graph(spark, d), fine, by_brand(spark, d))
+    return _r(_off_ties(out, "cov", "covmax", "massfrac", "within_cov", "within_covmax", "within_massfrac"))
 
 
 # ---- hierarchies
@@ -645,7 +650,7 @@ def newick_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coarse_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(hierarchy.coarse_graph(part_graph(spark, d), by_brand(spark, d)))
+    return _r(_off_ties(hierarchy.coarse_graph(part_graph(spark, d), by_brand(spark, d)).cells, "val"))
 
 
 def integrated_levels(spark: SparkSession, d: str) -> DataFrame:
