@@ -71,14 +71,19 @@ def token_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grouped(ranked(light.repartition("id"))).unionByName(grouped(ranked(medium))), giants
 
 
-def copy_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def copy_classes(sets: DataFrame, giants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Identical sets become one class named by its smallest id.
 
     Returns (rep, copies) of classes with at least two members and (id, rep) of
     their members. A class is told by 128 bits of hash over its ordered tokens,
-    so what is shuffled does not grow with the sets.
+    so what is shuffled does not grow with the sets. Giants, which are never
+    copies of smaller sets, are told by their size and sums of the hashes of
+    their rows, which need no order.
     """
     prints = sets.select("id", F.xxhash64("toks").alias("h1"), F.xxhash64(F.lit(11), F.col("toks")).alias("h2"))
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))  # noqa: E731  (a sum of bigint would overflow)
+    sums = giants.groupBy("id").agg(F.count("*").alias("n"), total("tok").alias("t1"), total(F.lit(11), F.col("tok")).alias("t2"))
+    prints = prints.unionByName(sums.select("id", F.xxhash64("n", "t1", "t2").alias("h1"), F.xxhash64(F.lit(11), F.col("n"), F.col("t1"), F.col("t2")).alias("h2")))
     multi = prints.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where(F.col("copies") > 1)
     members = prints.join(multi, ["h1", "h2"]).select("id", "rep")
     return multi.select("rep", "copies"), members
@@ -117,7 +122,7 @@ def similar_classes(sets: DataFrame, giants: DataFrame, members: DataFrame, thre
     """(a, b, both, na, nb), a < b: pairs of different sets that reach the threshold, one row a pair of class representatives."""
     num, den = threshold.numerator, threshold.denominator
     spare = members.where(F.col("id") != F.col("rep")).select(F.col("id").alias("sid"))
-    reps = sets.join(spare, F.col("id") == F.col("sid"), "left_anti")
+    reps, giants = (x.join(spare, F.col("id") == F.col("sid"), "left_anti") for x in (sets, giants))
     of = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     post = keyed(reps, threshold, of.n, of.rows)
     a, b = (post.select(F.col("k"), *[F.col(c).alias(f"{c}{s}") for c in ("lvl", "short", "id", "n", "toks", "s1", "s2")]) for s in "ab")
@@ -129,7 +134,7 @@ def similar_classes(sets: DataFrame, giants: DataFrame, members: DataFrame, thre
     c = c.where(f"size(common) * {den} >= {num} * (na + nb - size(common)) and lvla = lvlb and shorta = shortb and if(shorta, size(common) = lvla, size(common) >= lvla)").where(f"k = {first}")
     pairs = c.selectExpr("ida as a", "idb as b", "size(common) as both", "na", "nb")
 
-    large = sets.where(F.col("n") * den >= num * GIANT)
+    large = reps.where(F.col("n") * den >= num * GIANT)
     own = giants.groupBy("id").agg(F.count("*").alias("n"))
     rows = giants.join(own, "id").select("id", "tok", "n").unionByName(large.select("id", F.explode("toks").alias("tok"), "n"))
     x, y = (rows.select("tok", F.col("id").alias(i), F.col("n").cast("int").alias(f"n{i}")) for i in "ab")
@@ -151,7 +156,7 @@ def set_join(rows: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame
     rows = rows.select("id", "tok").where("id IS NOT NULL AND tok IS NOT NULL")
     sets, giants = token_sets(rows)
     sets = materialize(sets)
-    _, members = copy_classes(sets)
+    _, members = copy_classes(sets, giants)
     members = materialize(members)
     return similar_classes(sets, giants, members, threshold), members, sets
 

@@ -67,6 +67,29 @@ def test_sets_too_large_for_one_row(spark, monkeypatch):
     assert (0, 1) in _truth(sets, Fraction(3, 5))
 
 
+def test_large_copies_beside_giants(spark, monkeypatch):
+    """Copies just below the bound meet giants once, by their representative; identical giants are a class too."""
+    monkeypatch.setattr(setjoin, "GIANT", 40)
+    small, giant = set(range(39)), set(range(50))
+    sets = {0: small, 1: giant, 2: set(small), 3: set(giant), 4: set(small), 5: set(giant), 6: set(range(100, 150)), 7: giant | {50}}
+    df, t = _rows(spark, sets), Fraction(3, 5)
+    assert _found(spark, df, t) == _truth(sets, t)
+    pairs, members, _ = setjoin.set_join(setjoin.item_sets(df), t)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(0, 1), (0, 7), (1, 7)}
+    links = {r.id: (r.class_id, r.n_links) for r in setjoin.record_links(pairs, members, setjoin.item_sets(df).select("id").distinct()).collect()}
+    assert links == {0: (0, 6), 2: (0, 6), 4: (0, 6), 1: (1, 6), 3: (1, 6), 5: (1, 6), 6: (6, 0), 7: (7, 6)}
+
+
+def test_large_copies_beside_a_giant_are_grouped_once(spark, monkeypatch):
+    from gridloom.llm import linkage
+
+    monkeypatch.setattr(setjoin, "GIANT", 40)
+    sets = {0: set(range(39)), 1: set(range(50)), 2: set(range(39)), 3: set(range(50)), 4: set(range(100, 139))}
+    cells = spark.createDataFrame([(c, r, 1.0) for c, s in sets.items() for r in s], "col_id bigint, row_id bigint, val double")
+    groups, _, _ = linkage.group_of(cells, spark.createDataFrame([(i,) for i in sets], "id bigint"))
+    assert sorted((r.col_id, r.group_id) for r in groups.collect()) == [(0, 0), (1, 0), (2, 0), (3, 0)]
+
+
 def test_copies_are_classes(spark):
     sets = {i: {1, 2, 3} for i in range(60)} | {100: {1, 2, 3, 4}, 101: {9}}
     df = _rows(spark, sets)
