@@ -143,12 +143,14 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int, least: float) -> Iterator[t
 def neighbours(classes: DataFrame, queries: DataFrame, k: int, least: float = -2.0, recall: float = RECALL) -> tuple[DataFrame, dict]:
     """((q, c, sim, rank), report): each query class's ``k`` most similar other classes with ``sim >= least``.
 
-    ``classes`` and ``queries``: (c, v). ``report``: leaves, visits, and the recall on the calibration queries.
+    ``classes`` and ``queries``: (c, v). ``report``: leaves, visits, the recall
+    on the calibration queries' true neighbours (None if it was not measured, 1
+    if all leaves are opened) and the number of these neighbours.
     """
     spark = classes.sparkSession
     n = classes.count()
     if n < 2:
-        return spark.createDataFrame([], "q bigint, c bigint, sim double, rank int"), {"leaves": n, "visits": n, "recall": 1.0}
+        return spark.createDataFrame([], "q bigint, c bigint, sim double, rank int"), {"leaves": n, "visits": n, "recall": 1.0, "known": 0}
     share = lambda m: F.lit(True) if m >= n else bucket_of(1_000_003, F.col("c"), F.lit(3)) < int(1_000_003 * m / n)
     fit = _rows(classes.where(share(FIT_SAMPLE * 0.95)).select("v").limit(FIT_SAMPLE).toPandas()["v"]).astype(np.float32)
     dim = fit.shape[1]
@@ -158,35 +160,43 @@ def neighbours(classes: DataFrame, queries: DataFrame, k: int, least: float = -2
 
     # true neighbours of the calibration queries, against all vectors
     cq = queries.where(bucket_of(1_000_003, F.col("c"), F.lit(9)) < int(1_000_003 * min(1.0, CALIBRATE * 0.9 / max(queries.count(), 1))) + 1).select("c", "v").limit(CALIBRATE).toPandas()
-    visits, got = tree.leaves, 1.0
+    visits, got, known = tree.leaves, 1.0, 0
     if len(cq) and tree.leaves > 1:
         qid, qx = cq["c"].to_numpy(), _rows(cq["v"])
         bq = spark.sparkContext.broadcast((qid, qx.astype(np.float32)))
 
-        def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, x32 = bq.value
-            t = Tree(*shared.value)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = _rows(pdf["v"]).astype(np.float32)
-                s = x32 @ x.T
-                s[ids[:, None] == pdf["c"].to_numpy()[None, :]] = -3
-                home = t.priority(x).argmax(1)
-                hits = [(q, h, v) for q, h, v in _best(s, np.arange(len(pdf)), k, least)]
-                yield pd.DataFrame({"q": [h[0] for h in hits], "leaf": [int(home[h[1]]) for h in hits], "sim": [h[2] for h in hits]}, columns=["q", "leaf", "sim"]).astype({"q": "int32", "leaf": "int32", "sim": "float64"})
-
-        top = W.partitionBy("q").orderBy(F.desc("sim"))
-        truth = classes.mapInPandas(brute, "q int, leaf int, sim double").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("q", "leaf").toPandas()  # at most k a calibration query
-        if len(truth):
-            pr = tree.priority(qx.astype(np.float32))
-            order = np.argsort(np.argsort(-pr, axis=1), axis=1)
-            need = np.sort(order[truth["q"].to_numpy(), truth["leaf"].to_numpy()] + 1)
-            visits = int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)])
-            got = float((need <= visits).mean())
-        else:
-            visits = min(tree.leaves, 8)
-    report = {"leaves": tree.leaves, "visits": visits, "recall": got}
+        def true_leaves(k: int, least: float) -> pd.DataFrame:
+            def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                ids, x32 = bq.value
+                t = Tree(*shared.value)
+                for pdf in batches:
+                    if not len(pdf):
+                        continue
+                    x = _rows(pdf["v"]).astype(np.float32)
+                    s = x32 @ x.T
+                    s[ids[:, None] == pdf["c"].to_numpy()[None, :]] = -3
+                    home = t.priority(x).argmax(1)
+                    hits = [(q, h, v) for q, h, v in _best(s, np.arange(len(pdf)), k, least)]
+                    yield pd.DataFrame({"q": [h[0] for h in hits], "leaf": [int(home[h[1]]) for h in hits], "sim": [h[2] for h in hits]}, columns=["q", "leaf", "sim"]).astype({"q": "int32", "leaf": "int32", "sim": "float64"})
+
+            top = W.partitionBy("q").orderBy(F.desc("sim"))
+            return classes.mapInPandas(brute, "q int, leaf int, sim double").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("q", "leaf").toPandas()  # at most k a calibration query
+
+        pr = tree.priority(qx.astype(np.float32))
+        order = np.argsort(np.argsort(-pr, axis=1), axis=1)
+        opened = lambda at: np.sort(order[at["q"].to_numpy(), at["leaf"].to_numpy()] + 1)
+        # fewer neighbours than this and the quantile is just the largest of them
+        enough = lambda at: len(at) * (1 - recall) >= 1 - 1e-9
+        quantile = lambda need: int(need[int(np.ceil(recall * len(need))) - 1])
+        truth = true_leaves(k, least)
+        need, known = opened(truth), len(truth)
+        if enough(truth):
+            visits = quantile(need)
+        elif enough(nearest := true_leaves(1, -2.0)):
+            visits = max(quantile(opened(nearest)), int(need.max(initial=1)))
+        if visits < tree.leaves:
+            got = float((need <= visits).mean()) if known else None
+    report = {"leaves": tree.leaves, "visits": visits, "recall": got, "known": known}
 
     def place(width: int):
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

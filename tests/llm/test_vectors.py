@@ -39,6 +39,21 @@ def test_calibration_widens_for_all_neighbours(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("queries", [100, 400])
+def test_rare_close_pairs(spark, monkeypatch, queries):
+    """Hardly a calibration query has a close neighbour: too few queries open all leaves, more are calibrated on their nearest vectors."""
+    monkeypatch.setattr(vectortree, "LEAF", 8)
+    monkeypatch.setattr(vectortree, "CALIBRATE", queries)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 24))
+    x[1960:] = x[:40] + rng.normal(size=(40, 24)) * 0.42
+    near, report = vectortree.most_similar(_frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), k=10, least=0.9, recall=0.995)
+    got, want = {(r.item, r.other) for r in near.collect()}, _truth(x, 10, 0.9)
+    assert report["leaves"] > 100 and 20 < len(want) < 100
+    assert got <= want and len(got) >= 0.97 * len(want)
+    assert report["known"] < 200 and (report["recall"] is None or report["recall"] == 1)
+
+
 def test_copies_ties_and_dirty_vectors(spark):
     a = [1.0, 0.0, 0.0]
     items = [(i, a) for i in range(20)] + [(30, [5.0, 0.0, None]), (31, [0.0, 0.0, 0.0]), (32, None), (33, [0.0, float("nan"), 2.0]), (None, a), (34, []), (0, a), (35, [1e300, 1e299, 0.0])]
