@@ -365,7 +365,7 @@ def average_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ceil_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(aggregates.ceil_neighbours(part_graph(spark, d), 6))
+    return _cells(aggregates.ceil_neighbours(part_graph(spark, d, 1), 6))
 
 
 def columns_by_size(spark: SparkSession, d: str) -> DataFrame:
@@ -410,7 +410,7 @@ def flow_round(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flow_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return flow.cluster(part_graph(spark, d), flow.Flow(inflation=2.0))
+    return flow.cluster(part_graph(spark, d, 1), flow.Flow(inflation=2.0))
 
 
 def flow_dag(spark: SparkSession, d: str) -> DataFrame:

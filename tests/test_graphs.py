@@ -166,3 +166,15 @@ def test_contraction_gives_a_nested_cone(graph):
     h = hierarchy.contract(graph(_sym(edges), range(12)), root=True)
     assert _sets(hierarchy.level(h, 0)) == {frozenset(b) for b in blocks}
     assert hierarchy.is_nested(hierarchy.unconify(h))
+
+
+def test_part_queries_take_every_common_order(spark, monkeypatch):
+    """Of the 17,798 arcs of sf0.001, 4,648 stand for two common orders or more."""
+    from conftest import SF
+
+    from gridloom import queries
+
+    monkeypatch.setattr(queries.flow, "cluster", lambda m, f: m.cells)
+    monkeypatch.setattr(queries.aggregates, "ceil_neighbours", lambda m, most: m)
+    assert queries.flow_clusters(spark, SF).count() == 17_798
+    assert queries.ceil_neighbours(spark, SF).count() == 17_798
