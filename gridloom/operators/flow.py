@@ -32,7 +32,7 @@ class Flow:
     initial_inflation: float = 2.0
     initial_length: int = 0
     chaos: float = 1e-4
-    most: int = 100
+    most: int = 10_000
     precision: float | None = None
     select: int | None = None
     recover: int | None = None
@@ -107,7 +107,7 @@ def iterate(m: Matrix, flow: Flow, inflation: float) -> tuple[Matrix, float]:
 
 
 def limit(start: Matrix, flow: Flow = Flow()) -> Matrix:
-    """The iterand at which chaos falls below the bound."""
+    """The iterand at which chaos falls below the bound; one that does not within ``flow.most`` rounds is an error."""
     m = start.put(materialize(start.cells))
     for n in range(flow.most):
         nxt, chaos = iterate(m, flow, flow.initial_inflation if n < flow.initial_length else flow.inflation)
@@ -117,6 +117,8 @@ def limit(start: Matrix, flow: Flow = Flow()) -> Matrix:
             break
         if n % 4 == 3:
             sweep(start.cells.sparkSession)
+    else:
+        raise RuntimeError(f"the flow did not settle in {flow.most} rounds")
     return m
 
 

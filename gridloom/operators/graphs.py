@@ -61,7 +61,7 @@ def component_sizes(m: Matrix) -> DataFrame:
 
 
 def distances(m: Matrix, sources: DataFrame, most: int | None = None, directed: bool = False) -> DataFrame:
-    """(src, node, dist): breadth-first distances from every source (id), the source itself at 0."""
+    """(src, node, dist): breadth-first distances from every source (id), the source itself at 0. Without ``most``, nodes still unreached after MAX_ROUNDS steps are an error."""
     e = materialize(arcs_of(m).distinct() if directed else edges_of(m))
     front = materialize(sources.select(F.col("id").alias("src"), F.col("id").alias("node"), F.lit(0).alias("dist")))
     seen = [front]
@@ -75,6 +75,9 @@ def distances(m: Matrix, sources: DataFrame, most: int | None = None, directed:
         if front.isEmpty():
             break
         seen.append(front)
+    else:
+        if most is None:
+            raise RuntimeError(f"nodes still come within reach after {MAX_ROUNDS} steps")
     out = seen[0]
     for s in seen[1:]:
         out = out.unionByName(s)

@@ -104,7 +104,7 @@ def coarse_graph(m: Matrix, cl: DataFrame, transpose: bool = False) -> Matrix:
 
 
 def contract(m: Matrix, flow: Flow = Flow(), most: int = 20, root: bool = False) -> DataFrame:
-    """Cluster, contract to the graph of clusters, cluster again, until a level repeats the one before or no arcs are left; a cone. ``root`` adds a last level of one cluster."""
+    """Cluster, contract to the graph of clusters, cluster again, until a level repeats the one before or no arcs are left; a cone. ``root`` adds a last level of one cluster; a graph that still contracts after ``most`` levels is an error."""
     g = Matrix(materialize(m.cells), materialize(m.cols), m.cols)
     out = []
     for _ in range(most):
@@ -119,6 +119,8 @@ def contract(m: Matrix, flow: Flow = Flow(), most: int = 20, root: bool = False)
         g = Matrix(materialize(nxt.cells), materialize(nxt.cols), nxt.cols)
         if g.cells.isEmpty():
             break
+    else:
+        raise RuntimeError(f"the clusters did not settle within {most} levels")
     h = stack(out)
     if root:
         top = level(h, len(out) - 1).agg(F.min("cluster").alias("c"))

@@ -178,3 +178,18 @@ def test_part_queries_take_every_common_order(spark, monkeypatch):
     monkeypatch.setattr(queries.aggregates, "ceil_neighbours", lambda m, most: m)
     assert queries.flow_clusters(spark, SF).count() == 17_798
     assert queries.ceil_neighbours(spark, SF).count() == 17_798
+
+
+def test_bounds_reached_are_errors(graph, monkeypatch):
+    from gridloom.operators import graphs as ops
+
+    path = graph(_sym([(i, i + 1) for i in range(7)]), range(8))
+    with pytest.raises(RuntimeError, match="settle"):
+        flow.limit(flow.prepare(path), flow.Flow(most=1))
+    with pytest.raises(RuntimeError, match="levels"):
+        hierarchy.contract(path, most=1)
+    one = path.cols.where("id = 0")
+    monkeypatch.setattr(ops, "MAX_ROUNDS", 3)
+    with pytest.raises(RuntimeError, match="reach"):
+        ops.distances(path, one)
+    assert ops.distances(path, one, 3).count() == 4
