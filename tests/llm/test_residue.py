@@ -59,5 +59,29 @@ def test_exclusion_keeps_the_rest(spark, found):
 def test_an_unknown_page_counts_if_it_recurs(spark):
     page = lambda i: f"Kaputt, bitte spaeter wieder kommen (Vorgang {i})"
     rows = [(i, _git("Fix", page(i)), "ab"[i % 2]) for i in range(6)] + [(10, _git("Fix", "Something seen once"), "a")] + [(20 + i, _git("Fix", "Only here, often"), "a") for i in range(9)]
+    # the same words as somebody's whole text are a page's, too; as a message they are not
+    rows += [(40, page(77), "c"), (41, _git(page(78)), "c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    assert {(r.doc_id, r.reason) for r in residue.residue(df).collect()} == {(i, "recurring page") for i in range(6)}
+    assert {(r.doc_id, r.reason) for r in residue.residue(df).collect()} == {(i, "recurring page") for i in [*range(6), 40]}
+
+
+UNSEEN_PAGES = [
+    "JavaScript must be enabled to use this site.", "Access denied", "Site temporarily unavailable", "The requested URL was not found on this server.", "This page isn't available", "Connection timed out",
+    "We're sorry, an error occurred", "Service is down for maintenance", "Enable cookies and JavaScript to continue", "503 Service Temporarily Unavailable", "Zugriff verweigert", "Accès refusé", "Доступ запрещён",
+]
+UNSEEN_MESSAGES = [
+    "Placeholder text goes here", "[Insert ticket number]", "<PLACEHOLDER>", "blah blah blah", "TODO: describe the change before submitting", "<!-- Please describe your changes -->", "[Your name]", "{{ cookiecutter.title }}",
+    "Enter your commit message here", "Please enter a description of your change", "This is placeholder text.", "Delete this line before committing", "${JIRA_ID}", "[TITLE]: fix", "Aquí va el texto de relleno",
+]
+ORDINARY = [
+    "Describe the parser in the docs", "Replace this loop by a map", "Delete the dummy text", "Remove placeholder from the form", "Explain why the cache is slow", "[WIP]", "[docs] fix", "Add the missing header", "Write tests for this change",
+    "Remove this line from the makefile", "Use {name} as key", "Return 404 when not found", "Add sample text to the docs", "Delete file before sending", "Add note about why this is needed", "List changes in the release note", "<T> bound is optional", "Add title to the link",
+]
+
+
+def test_sentences_never_seen_are_judged_by_their_words():
+    page = lambda x, role: residue._verdict(role, residue._mask(x), 1, 1)
+    assert [x for x in UNSEEN_PAGES if not page(x, "page")] == []
+    assert [x for x in UNSEEN_MESSAGES if not page(x, "message")] == []
+    assert [x for x in ORDINARY if page(x, "message")] == []
+    assert [x for x in ["Fix error in parser", "Handle missing page", "Show a notice when JavaScript is disabled", "Use scripts without shell"] if page(x, "whole")] == []
