@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: No more than this many keys are ever broadcast.
+#: No more than this many keys are ever broadcast, and none of fewer rows, which no task would notice.
 HEAVY_KEYS = 4096
+HEAVY_ROWS = 8192
+
+
+def heavy_bar(total: int) -> int:
+    """Rows from which one of ``total`` rows' keys is heavy."""
+    return max(HEAVY_ROWS, -(-total // HEAVY_KEYS))
 
 
 def heavy_lookup_join(rows: DataFrame, counts: DataFrame, key: str, n_col: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``counts`` (one row a key, ``n_col`` = rows of the key).
 
-    Keys holding at least ``total / HEAVY_KEYS`` rows are at most HEAVY_KEYS by
-    arithmetic, so that part is broadcast whatever the table's size; no other key
+    Keys holding at least ``total / HEAVY_KEYS`` rows and HEAVY_ROWS are at most
+    HEAVY_KEYS by arithmetic, so that part is broadcast whatever the table's size; no other key
     is heavy enough to unbalance the shuffle that the remaining rows take. A
     null key matches nothing.
     """
-    bar = max(1, -(-total // HEAVY_KEYS))
+    bar = heavy_bar(total)
     heavy = counts.where(F.col(n_col) >= bar)
     light = counts.where(F.col(n_col) < bar)
     marked = rows.join(F.broadcast(heavy.select(F.col(key).alias("_hk"), F.struct(*[c for c in counts.columns if c != key]).alias("_hv"))), F.col(key) == F.col("_hk"), "left")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,15 +38,17 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
             fs.delete(p, True)
 
 
-def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, files: int | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and return the table read back.
 
-    The folder is deleted when the session's application ends, or earlier by
-    ``release``.
+    ``by``: a column of few values that gets a folder a value, so that reading
+    one of them does not open the others. The folder is deleted when the
+    session's application ends, or earlier by ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridloom/{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
+    out = (df.coalesce(files) if files else df).write
+    (out.partitionBy(by) if by else out).parquet(path)
     fs, p = _fs(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
@@ -54,6 +56,13 @@ def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, by: str | None = None, **aggs: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` together with aggregates over the rows written, taken on the way and without a job of their own."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in aggs.items()]), by=by)
+    return out, seen.get
+
+
 def sweep(spark: SparkSession) -> None:
     """Let the driver drop shuffle files of finished jobs, which otherwise stay until its next full collection."""
     import gc
