@@ -44,6 +44,17 @@ def test_long_chain_and_star(spark):
     assert {got[f"t{i}"] for i in range(300)} == {"s"}
 
 
+def test_crowded_minimum_is_looked_up_by_broadcast(spark, monkeypatch):
+    from gridloom.plans import lookup
+
+    r = random.Random(4)
+    rows = [(f"a{i % 3}", f"b{i:03d}", 1.0) for i in range(240)] + [(f"b{r.randrange(240):03d}", f"c{i}", 1.0) for i in range(60)] + [("b000", "b001", 1.0), ("z1", "z2", 1.0)]
+    df = spark.createDataFrame(rows, PAIRS)
+    monkeypatch.setattr(lookup, "HEAVY_ROWS", 5)
+    monkeypatch.setattr(lookup, "HEAVY_KEYS", 20)
+    assert {r.label: r.group_label for r in groups.group_records(df).collect()} == _union(rows)
+
+
 def test_no_links(spark):
     df = spark.createDataFrame([("a", "b", 0.1), ("b", None, 0.9)], PAIRS)
     assert {tuple(r) for r in groups.group_records(df).collect()} == {("a", "a"), ("b", "b")}
