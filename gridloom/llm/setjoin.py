@@ -10,9 +10,13 @@ records of a pair extend alike and the pair meets at the key of its first
 shared tokens. Candidates pass a size bound and a bitmap bound before their
 sets are compared exactly.
 
-The order comes from a sketch of counters over all rows; it decides speed and
-never the result. Sets of more than ``GIANT`` tokens are never put into one
-row; their overlaps are counted by joining rows.
+Tokens are ordered by their exact number of rows, looked up without a
+broadcast that grows: heavy tokens are few by arithmetic, all others go through
+a shuffle. A key thus extends when its expected number of records passes
+``COMMON``, whatever the size of the table. Keys that hold many records all the
+same are cut into slices. Sets of more than ``GIANT`` tokens are never put into
+one row; they meet others on several shared tokens of their prefixes, too, and
+the overlaps of these candidates are counted by joining rows.
 """
 
 from __future__ import annotations
@@ -20,39 +24,40 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.plans.materialize import materialize
+from gridloom.plans.lookup import bucket_of, heavy_lookup_join
+from gridloom.plans.materialize import counted, materialize
 
-#: Counters of the token sketch, and so the most rows of the table that is broadcast.
-SKETCH = 1 << 18
-#: A key expected to hold more records than this is extended by a further token; at least a few times what a counter holds on average, below which its count says little.
+#: A key expected to hold more records than this is extended by a further token.
 COMMON = 48
-ABOVE_MEAN = 4
 LEVELS = 4
 GIANT = 4096
-
-
-def _slot(col: str) -> str:
-    return f"cast(pmod(xxhash64({col}), {SKETCH}) as int)"
+#: Records of a key that one slice of it holds, and crowded keys that are broadcast at most.
+SLICE = 8192
+CROWDED = 1 << 16
+#: Slices of a giant's rows while its candidates are verified.
+SPREAD = 32
 
 
 def token_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sets out of (id, tok) rows without nulls, repeats allowed.
 
     Returns (id, n, toks, dfs, s1, s2) for sets of up to GIANT tokens, tokens
-    rarest first with their sketched counts and a 128-bit bitmap; and (id, tok)
-    distinct rows of larger sets.
+    rarest first with their numbers of rows and a 128-bit bitmap; and distinct
+    (id, tok, df) rows of larger sets.
     """
     counts = rows.groupBy("id").agg(F.count("*").alias("c"))
     heavy = counts.where(F.col("c") > GIANT).select(F.col("id").alias("hid"))
-    sketch = rows.groupBy(F.expr(_slot("tok")).alias("slot")).agg(F.count("*").alias("df"))
-    sketch = F.broadcast(sketch)
+    often, of = counted(rows.groupBy("tok").agg(F.count("*").alias("df")), n=F.sum("df"))
+    total = of["n"] or 0
 
     def ranked(df: DataFrame) -> DataFrame:
-        return df.withColumn("slot", F.expr(_slot("tok"))).join(sketch, "slot").withColumn("bit", F.expr("cast(pmod(xxhash64(tok, 7), 128) as int)"))
+        return heavy_lookup_join(df.select("id", "tok"), often, "tok", "df", total)
 
     def grouped(df: DataFrame) -> DataFrame:
+        df = df.withColumn("bit", F.expr("cast(pmod(xxhash64(tok, 7), 128) as int)"))
         g = df.groupBy("id").agg(
             F.array_sort(F.collect_set(F.struct("df", "tok"))).alias("z"),
             F.expr("bit_or(if(bit < 64, shiftleft(1L, bit), 0L))").alias("s1"),
@@ -62,13 +67,13 @@ def token_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     heavy = materialize(heavy)
     if heavy.isEmpty():
-        return grouped(ranked(rows.repartition("id"))), rows.limit(0)
+        return grouped(ranked(rows).repartition("id")), rows.limit(0).withColumn("df", F.lit(0).cast("bigint"))
     light = rows.join(heavy, F.col("id") == F.col("hid"), "left_anti")
     big = materialize(rows.join(heavy, F.col("id") == F.col("hid"), "left_semi").distinct())
     sizes = big.groupBy("id").agg(F.count("*").alias("bn"))
     medium = big.join(sizes.where(F.col("bn") <= GIANT).select(F.col("id").alias("mid")), F.col("id") == F.col("mid"), "left_semi")
     giants = big.join(sizes.where(F.col("bn") > GIANT).select(F.col("id").alias("gid")), F.col("id") == F.col("gid"), "left_semi")
-    return grouped(ranked(light.repartition("id"))).unionByName(grouped(ranked(medium))), giants
+    return grouped(ranked(light).repartition("id")).unionByName(grouped(ranked(medium))), materialize(ranked(giants))
 
 
 def copy_classes(sets: DataFrame, giants: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,9 +99,8 @@ def _need(t: Fraction, n: str) -> str:
     return f"(({t.numerator} * {n} + {t.denominator - 1}) div {t.denominator})"
 
 
-def keyed(reps: DataFrame, t: Fraction, n_sets: int, n_rows: int) -> DataFrame:
+def keyed(reps: DataFrame, t: Fraction, n_sets: int) -> DataFrame:
     """(k, lvl, short, id, n, toks, s1, s2): a row for each key of each record; a ``short`` key stands for pairs that share its tokens and no others."""
-    common = max(COMMON, ABOVE_MEAN * n_rows // SKETCH)
     need = _need(t, "n")
     reach = lambda lvl: f"least(n, n - {need} + {lvl})"
     d = reps.selectExpr("*", f"posexplode(slice(toks, 1, {reach(1)})) as (i1, t1)").selectExpr("*", "dfs[i1] as e1", "xxhash64(t1) as k1").where("e1 > 1")
@@ -105,7 +109,7 @@ def keyed(reps: DataFrame, t: Fraction, n_sets: int, n_rows: int) -> DataFrame:
         # -2: the key ends here; -1: it goes on, but a record this small may share no further token, so it ends here too
         ends = f"if({t.numerator} * n <= {lvl * t.denominator}, array(-1), array())"
         further = f"if(i + 1 < {reach(lvl + 1)}, sequence(i + 1, {reach(lvl + 1)} - 1), array())"
-        d = d.selectExpr("* except (done)", f"explode(if(done or est <= {common}, array(-2), concat({ends}, {further}))) as j", "done as was")
+        d = d.selectExpr("* except (done)", f"explode(if(done or est <= {COMMON}, array(-2), concat({ends}, {further}))) as j", "done as was")
         d = d.selectExpr(
             "* except (est, k, lvl, i, short, was, j)",
             f"if(j >= 0, est * dfs[j] / {max(n_sets, 1)}D, est) as est",
@@ -123,24 +127,57 @@ def similar_classes(sets: DataFrame, giants: DataFrame, members: DataFrame, thre
     num, den = threshold.numerator, threshold.denominator
     spare = members.where(F.col("id") != F.col("rep")).select(F.col("id").alias("sid"))
     reps, giants = (x.join(spare, F.col("id") == F.col("sid"), "left_anti") for x in (sets, giants))
-    of = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    post = keyed(reps, threshold, of.n, of.rows)
-    a, b = (post.select(F.col("k"), *[F.col(c).alias(f"{c}{s}") for c in ("lvl", "short", "id", "n", "toks", "s1", "s2")]) for s in "ab")
+    post, by = sliced(keyed(reps, threshold, sets.count()))
+    a, b = (post(s).select(*by, *[F.col(c).alias(f"{c}{s}") for c in ("lvl", "short", "id", "n", "toks", "s1", "s2")]) for s in "ab")
     # |A xor B| is at most (na + nb) (1 - t) / (1 + t); the bitmaps differ in no more bits
     close = f"ida < idb and {num} * greatest(na, nb) <= {den} * least(na, nb) and (bit_count(s1a ^ s1b) + bit_count(s2a ^ s2b)) * {den + num} <= (na + nb) * {den - num}"
     # explode is a fence: the filters below read the intersection and never compute it again
-    c = a.join(b, "k").where(close).selectExpr("*", "explode(array(array_intersect(toksa, toksb))) as common")
+    c = a.join(b, by).where(close).selectExpr("*", "explode(array(array_intersect(toksa, toksb))) as common")
     first = "case lvla " + " ".join(f"when {x} then xxhash64({'xxhash64(' * (x - 1)}common[0]{''.join(f'), common[{y}]' for y in range(1, x))})" for x in range(1, LEVELS + 1)) + " end"
     c = c.where(f"size(common) * {den} >= {num} * (na + nb - size(common)) and lvla = lvlb and shorta = shortb and if(shorta, size(common) = lvla, size(common) >= lvla)").where(f"k = {first}")
     pairs = c.selectExpr("ida as a", "idb as b", "size(common) as both", "na", "nb")
 
     large = reps.where(F.col("n") * den >= num * GIANT)
-    own = giants.groupBy("id").agg(F.count("*").alias("n"))
-    rows = giants.join(own, "id").select("id", "tok", "n").unionByName(large.select("id", F.explode("toks").alias("tok"), "n"))
-    x, y = (rows.select("tok", F.col("id").alias(i), F.col("n").cast("int").alias(f"n{i}")) for i in "ab")
+    return pairs.unionByName(giant_pairs(giants, large, threshold))
+
+
+def sliced(post: DataFrame):
+    """(side -> rows, join columns): the keyed rows of either side of the join; one side of a crowded key is cut into slices, the other repeated for each of them."""
+    crowded, of = counted(post.groupBy("k").agg(F.count("*").alias("kn")).where(F.col("kn") > SLICE).select(F.col("k").alias("ck"), F.ceil(F.col("kn") / SLICE).cast("int").alias("cuts")), n=F.count(F.lit(1)))
+    if not of["n"]:
+        return lambda side: post, ["k"]
+    crowded = F.broadcast(crowded) if of["n"] <= CROWDED else crowded
+    marked = post.join(crowded, F.col("k") == F.col("ck"), "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    cut = {"a": F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))}
+    return lambda side: marked.withColumn("cut", cut[side]), ["k", "cut"]
+
+
+def giant_pairs(giants: DataFrame, large: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b, both, na, nb) of pairs with at least one giant; ``large`` are the sets that may reach one.
+
+    Of each set the rarest tokens are taken, at least as many as its prefix
+    holds (all of the last number of rows among them), two sets that share
+    several of those are candidates.
+    """
+    num, den = t.numerator, t.denominator
+    own = giants.groupBy(F.col("id").alias("oid")).agg(F.count("*").cast("int").alias("n"))
+    rows = giants.join(own, F.col("id") == F.col("oid")).select("id", "tok", "df", "n")
+    rows = rows.unionByName(large.select("id", F.explode(F.arrays_zip("toks", "dfs")).alias("z"), "n").select("id", F.col("z.toks").alias("tok"), F.col("z.dfs").cast("bigint").alias("df"), "n"))
+    shared = max(1, min(LEVELS, int(t * t * GIANT)))
+    before = F.coalesce(F.sum("c").over(W.partitionBy("fid").orderBy("fdf").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rare = rows.groupBy(F.col("id").alias("fid"), F.col("df").alias("fdf"), F.col("n").alias("fn")).agg(F.count("*").alias("c")).withColumn("before", before)
+    rare = rare.where(f"before < fn - {_need(t, 'fn')} + {shared}").select("fid", "fdf")
+    prefix = rows.join(rare, (F.col("id") == F.col("fid")) & (F.col("df") == F.col("fdf"))).select("id", "tok", "n")
+    x, y = (prefix.select("tok", F.col("id").alias(i), F.col("n").alias(f"n{i}")) for i in "ab")
     met = x.join(y, "tok").where(f"a < b and greatest(na, nb) > {GIANT} and {num} * greatest(na, nb) <= {den} * least(na, nb)")
-    met = met.groupBy("a", "b").agg(F.count("*").cast("int").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return pairs.unionByName(met.where(f"both * {den} >= {num} * (na + nb - both)"))
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= shared)
+    # a giant may hold a third of all rows: its rows come in slices, its candidates go to each
+    at = bucket_of(SPREAD, F.col("tok"))
+    met = met.select("a", "b", "na", "nb", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("cut"))
+    one = met.join(rows.select("id", "tok", at.alias("at")), (F.col("a") == F.col("id")) & (F.col("cut") == F.col("at"))).select("a", "b", "na", "nb", "tok")
+    two = one.join(rows.select(F.col("id").alias("id2"), F.col("tok").alias("tok2")), (F.col("b") == F.col("id2")) & (F.col("tok") == F.col("tok2")))
+    two = two.groupBy("a", "b", "na", "nb").agg(F.count("*").cast("int").alias("both")).select("a", "b", "both", "na", "nb")
+    return two.where(f"both * {den} >= {num} * (na + nb - both)")
 
 
 def set_join(rows: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -51,6 +51,27 @@ def test_join_against_all_pairs(spark, monkeypatch, t, common):
     assert _found(spark, _rows(spark, sets, extra=common == 3), t) == _truth(sets, t)
 
 
+def test_crowded_keys_are_sliced(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "SLICE", 3)
+    sets = _random_sets(6)
+    assert _found(spark, _rows(spark, sets), Fraction(1, 2)) == _truth(sets, Fraction(1, 2))
+    monkeypatch.setattr(setjoin, "CROWDED", 0)
+    assert _found(spark, _rows(spark, sets), Fraction(1, 2)) == _truth(sets, Fraction(1, 2))
+
+
+def test_keys_do_not_lengthen_with_the_table(spark):
+    """Records with the same few tokens beside ever more others: keys hold as many records as before."""
+
+    def most(others):
+        family = [(i, tok) for i in range(200) for tok in (*range(6), 1000 + i, 2000 + i)]
+        rest = [(10_000 + i, 100_000 + 3 * i + j) for i in range(others) for j in range(3)]
+        sets, giants = setjoin.token_sets(spark.createDataFrame(family + rest, "id bigint, tok bigint"))
+        assert giants.isEmpty()
+        return setjoin.keyed(sets, Fraction(3, 5), sets.count()).groupBy("k").count().agg({"count": "max"}).first()[0]
+
+    assert most(20_000) <= most(20)
+
+
 def test_small_sets_on_common_tokens(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "COMMON", 0)
     sets = dict(enumerate([{1}, {1, 2}, {1, 2, 3}, {1, 2, 3, 4}, {1, 3}, {2}, {2, 3}, {1, 2, 4}, {1, 2, 3, 4, 5}, {4, 5}]))
