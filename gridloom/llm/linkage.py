@@ -56,11 +56,24 @@ def cluster(nodes: DataFrame, edges: DataFrame, stop: float) -> DataFrame:
     return nodes.join(up, F.col("node") == F.col("old"), "left").select("node", F.coalesce("new", "node").alias("cluster"))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """64-bit mixing of whole numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Averages are compared in steps of 2^-40, so that sums added in another order are equal.
+STEPS = float(1 << 40)
+
+
+def _tie(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``F.xxhash64(a, b)`` of bigints, so that both versions break ties alike."""
+    u = np.uint64
+    # fixed values: the public hash's primes
+    p1, p2, p3, p4, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63), u(0x27D4EB2F165667C5)
+    turn = lambda x, r: (x << u(r)) | (x >> u(64 - r))
+    h = np.full(len(a), 42, dtype=np.uint64)
+    for x in (a, b):
+        h = h + p5 + u(8)
+        h = turn(h ^ (turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+        h = h ^ (h >> u(32))
+    return h.view(np.int64)
 
 
 def merge_rounds(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, s: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +86,12 @@ def merge_rounds(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, s
     root = np.arange(n)
     with np.errstate(over="ignore"):
         while len(a):
-            q = s / (w[a] * w[b])
-            good = np.flatnonzero(q >= stop)
+            q = np.floor(s / (w[a] * w[b]) * STEPS + 0.5)
+            good = np.flatnonzero(q >= np.floor(stop * STEPS + 0.5))
             if not len(good):
                 break
-            h = _mix(_mix(ids[a[good]].astype(np.uint64)) + ids[b[good]].astype(np.uint64))
-            rank = good[np.lexsort((h, q[good]))]
+            ga, gb = ids[a[good]], ids[b[good]]
+            rank = good[np.lexsort((gb, ga, _tie(ga, gb), q[good]))]
             best = np.full(n, -1)
             best[np.stack([a[rank], b[rank]], 1).ravel()] = np.repeat(rank, 2)  # the last one written is the best
             both = good[(best[a[good]] == good) & (best[b[good]] == good)]
@@ -134,8 +147,9 @@ def _in_rounds(live: DataFrame, stop: float) -> DataFrame:
     merges = []
     while len(merges) < MAX_ROUNDS:
         # an edge below the threshold takes no part, it only weighs in later sums
-        good = live.where(F.col("s") >= stop * F.col("wa") * F.col("wb"))
-        rank = F.struct((F.col("s") / (F.col("wa") * F.col("wb"))).alias("q"), F.xxhash64("a", "b").alias("h"), "a", "b", (F.col("wa") + F.col("wb")).alias("w"))
+        mean = F.floor(F.col("s") / (F.col("wa") * F.col("wb")) * F.lit(STEPS) + F.lit(0.5))
+        good = live.withColumn("q", mean).where(F.col("q") >= F.floor(F.lit(stop) * F.lit(STEPS) + F.lit(0.5)))
+        rank = F.struct("q", F.xxhash64("a", "b").alias("h"), "a", "b", (F.col("wa") + F.col("wb")).alias("w"))
         best = good.select(F.explode(F.array("a", "b")).alias("c"), rank.alias("r")).groupBy("c").agg(F.max("r").alias("r"))
         mutual = best.groupBy(F.col("r.a").alias("keep"), F.col("r.b").alias("gone")).agg(F.count("*").alias("n"), F.max("r.w").alias("w"))
         merged = materialize(mutual.where("n = 2").select("keep", "gone", "w"))

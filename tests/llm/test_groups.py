@@ -97,6 +97,31 @@ def test_ties_merge_together(spark, monkeypatch, local):
     assert linkage.cluster(nodes, edges.limit(0), 0.4).count() == 32
 
 
+def test_both_ways_break_ties_alike(spark, monkeypatch):
+    """A chain, a ring and a grid of equal similarities, and one of few different ones: tasks and rounds of jobs give the same clusters."""
+    r = random.Random(8)
+    pairs = {(i, i + 1): 0.8 for i in range(40)} | {(100 + i, 100 + (i + 1) % 17): 0.5 for i in range(16)}
+    pairs |= {(200 + 6 * y + x, 200 + 6 * (y + dy) + x + dx): 0.75 for y in range(6) for x in range(6) for dx, dy in ((0, 1), (1, 0)) if x + dx < 6 and y + dy < 6}
+    pairs |= {(a, b): r.choice([0.4, 0.6, 1 / 3, 0.9]) for a in range(300, 330) for b in range(a + 1, 330) if r.random() < 0.4}
+    edges = spark.createDataFrame([(min(p), max(p), v) for p, v in pairs.items()], "a bigint, b bigint, sim double")
+    nodes = spark.createDataFrame([(i, 1 + i % 3) for i in sorted({x for p in pairs for x in p})], "node bigint, w int")
+    got = []
+    for local in (0, 200_000):
+        monkeypatch.setattr(linkage, "LOCAL_EDGES", local)
+        got.append({x.node: x.cluster for x in linkage.cluster(nodes, edges, 0.3).collect()})
+    assert got[0] == got[1] and len(set(got[0].values())) > 8
+
+
+def test_tie_hash_is_sparks(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rows = [(-5, 7), (0, 0), (1 << 60, -(1 << 61)), (123456789, 987654321)]
+    want = [x.h for x in spark.createDataFrame(rows, "a bigint, b bigint").select(F.xxhash64("a", "b").alias("h")).collect()]
+    with np.errstate(over="ignore"):
+        assert linkage._tie(*(np.array(c) for c in zip(*rows))).tolist() == want
+
+
 def test_column_groups(spark):
     r = random.Random(5)
     cells = []
