@@ -1,13 +1,18 @@
 """Most similar vectors for every vector: hierarchical k-means tree, best bin first.
 
 The tree is fitted on a bounded sample of directions and every vector is put
-into its leaf. A search walks the tree through a priority queue ordered by the
-similarity of the query to the nodes' centres. Such a walk opens leaves in
-order of the smallest similarity on their path from the root, so the queue is
-run for a whole batch of queries as one array computation. How many leaves a
-query opens is not guessed: for a bounded set of calibration queries the true
-neighbours are found by brute force against all vectors, and the visits are
-widened until the wanted share of them lies in an opened leaf.
+into its leaf. A search walks the tree from the root through a priority queue:
+the node of the greatest similarity on its path is taken out, a leaf is opened,
+an inner node puts its children in. Only what is taken out is compared, so a
+query costs its visits times the depth and not the size of the tree; the queues
+of a batch of queries run side by side as arrays. How many leaves a query opens
+is not guessed: for a bounded set of calibration queries the true neighbours
+are found by brute force against all vectors, and the visits are widened until
+the wanted share of them lies in an opened leaf.
+
+Leaves grow in number with the collection up to ``LEAVES``; beyond that, and
+where vectors crowd, a leaf is cut into blocks and its queries into parts, each
+pair of which is a task's work of bounded size. Each keeps ``k`` a query.
 
 Vectors of the same direction form one class, so copies neither crowd a leaf
 nor each other's lists.
@@ -26,12 +31,17 @@ from pyspark.sql import functions as F
 from gridloom.plans.lookup import bucket_of
 from gridloom.plans.materialize import materialize
 
-#: Vectors the tree is fitted on at most.
+#: Vectors the tree is fitted on: the first number, or so many a leaf up to the second.
 FIT_SAMPLE = 32768
-#: Vectors a leaf should hold, and leaves at most.
+FIT_LEAF = 8
+FIT_MOST = 262_144
+#: Vectors a leaf should hold, and leaves at most (with 64 elements 17 MB of centres).
 LEAF = 256
-LEAVES = 4096
+LEAVES = 65_536
 BRANCH = 16
+#: Vectors of a leaf and queries that visit it, that meet in one group.
+BLOCK_ROWS = 4096
+PART_ROWS = 32768
 #: Queries that calibrate the visits at most.
 CALIBRATE = 1024
 RECALL = 0.97
@@ -42,16 +52,20 @@ BLOCK = 1024
 def directions(rows: DataFrame, item: str = "item", vals: str = "vals") -> DataFrame:
     """(item, v): unit vectors as little-endian float64 bytes, one row an item.
 
-    A null, NaN or infinite element counts as 0; null lists, empty lists, null
-    items and all-zero vectors have no direction. Of an item loaded with
-    different lists the one with the smaller bytes stays.
+    A null, NaN or infinite element counts as 0, and so do the elements a list
+    is shorter by than the longest; null lists, empty lists, null items and
+    all-zero vectors have no direction. Of an item loaded with different lists
+    the one with the smaller bytes stays.
     """
+    src = rows.select(F.col(item).cast("bigint").alias("item"), F.col(vals).cast("array<double>").alias("vals")).where("item IS NOT NULL AND vals IS NOT NULL")
+    width = src.agg(F.max(F.size("vals"))).first()[0] or 0
 
     def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out_i, out_v = [], []
             for i, v in zip(pdf["item"], pdf["vals"]):
-                x = np.array([0.0 if e is None else e for e in v], dtype=np.float64)
+                x = np.zeros(width)
+                x[: len(v)] = [0.0 if e is None else e for e in v]
                 x[~np.isfinite(x)] = 0
                 top = np.abs(x).max() if len(x) else 0
                 if top > 0:
@@ -60,27 +74,66 @@ def directions(rows: DataFrame, item: str = "item", vals: str = "vals") -> DataF
                     out_v.append((x / np.linalg.norm(x)).tobytes())
             yield pd.DataFrame({"item": pd.array(out_i, dtype="int64"), "v": out_v})
 
-    src = rows.select(F.col(item).cast("bigint").alias("item"), F.col(vals).cast("array<double>").alias("vals")).where("item IS NOT NULL AND vals IS NOT NULL")
     return src.mapInPandas(unit, "item bigint, v binary").groupBy("item").agg(F.min("v").alias("v"))
 
 
 class Tree:
-    """Centres level by level: ``levels[d]`` holds a row a node, ``parent[d]`` its parent's row on the level above."""
+    """Centres level by level: ``levels[d]`` holds a row a node, ``parent[d]`` its parent's row on the level above; a node's children are consecutive rows."""
 
     def __init__(self, levels: list[np.ndarray], parent: list[np.ndarray]):
         self.levels, self.parent = levels, parent
+        self.centres = np.concatenate(levels)
+        starts = np.cumsum([0] + [len(x) for x in levels])
+        self.leaf0 = int(starts[-2])
+        self.first = np.full(len(self.centres), -1)
+        self.kids = np.zeros(len(self.centres), dtype=int)
+        for d, up in enumerate(parent[1:]):
+            own, at, n = np.unique(up, return_index=True, return_counts=True)
+            self.first[starts[d] + own] = starts[d + 1] + at
+            self.kids[starts[d] + own] = n
+        self.roots = len(levels[0])
 
     @property
     def leaves(self) -> int:
         return len(self.levels[-1])
 
     def priority(self, q: np.ndarray) -> np.ndarray:
-        """Queries x leaves: the smallest similarity on the path, which orders a best-bin-first walk."""
+        """Queries x leaves: the smallest similarity on the path, in the order of which ``walk`` opens leaves; for calibration."""
         path = q @ self.levels[0].T
         for centres, up in zip(self.levels[1:], self.parent[1:]):
             path = np.minimum(q @ centres.T, path[:, up])
         return path
 
+    def walk(self, q: np.ndarray, visits: int) -> np.ndarray:
+        """Queries x ``visits``: the leaves each query opens, best bin first; -1 where there are no more."""
+        n, rows = len(q), np.arange(len(q))
+        out, got = np.full((n, visits), -1), np.zeros(n, dtype=int)
+        keys = np.full((n, self.roots + 4 * BRANCH), -np.inf, dtype=np.float32)
+        node = np.zeros(keys.shape, dtype=np.int32)
+        keys[:, : self.roots], node[:, : self.roots] = q @ self.centres[: self.roots].T, np.arange(self.roots)
+        top = self.roots
+        while len(rows):
+            at = keys[rows, :top].argmax(1)
+            best, taken = keys[rows, at], node[rows, at]
+            keys[rows, at] = -np.inf
+            leaf = (taken >= self.leaf0) & (best > -np.inf)
+            r = rows[leaf]
+            out[r, got[r]] = taken[leaf] - self.leaf0
+            got[r] += 1
+            inner = (taken < self.leaf0) & (best > -np.inf)
+            if inner.any():
+                if top + BRANCH > keys.shape[1]:
+                    keys = np.concatenate([keys, np.full(keys.shape, -np.inf, dtype=np.float32)], 1)
+                    node = np.concatenate([node, np.zeros_like(node)], 1)
+                r, p = rows[inner], taken[inner]
+                kid = np.minimum(self.first[p][:, None] + np.arange(BRANCH), len(self.centres) - 1)
+                sims = np.minimum(np.einsum("bd,bkd->bk", q[r], self.centres[kid]), best[inner][:, None])
+                sims[np.arange(BRANCH) >= self.kids[p][:, None]] = -np.inf
+                keys[r, top : top + BRANCH], node[r, top : top + BRANCH] = sims, kid
+                top += BRANCH
+            rows = rows[(best > -np.inf) & (got[rows] < visits)]
+        return out
+
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means; returns non-empty unit centres and each row's centre."""
@@ -124,26 +177,23 @@ def fit_tree(x: np.ndarray, leaves: int, seed: int = 5) -> Tree:
             return Tree(levels, parent)
 
 
-def _rows(col: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(col), dtype=np.float64).reshape(len(col), -1)
+def _rows(col: pd.Series, kind=np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(col), dtype=kind).reshape(len(col), -1)
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, k: int, least: float) -> Iterator[tuple[int, int, float]]:
-    """(row, id, sim) of each row's ``k`` largest above ``least``, all ties at the edge included."""
-    n = sims.shape[1]
-    if n > k and least < 0:
-        bar = np.partition(sims, n - k, axis=1)[:, n - k]
-        hit = sims >= np.maximum(bar - 1e-6, least)[:, None]
-    else:
-        hit = sims >= least
-    r, c = np.nonzero(hit)
-    return zip(r.tolist(), ids[c].tolist(), sims[r, c].tolist())
+def _best(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``k`` largest from ``least`` on, all ties at the edge included."""
+    bar = np.full(len(sims), least)
+    if sims.shape[1] > k:
+        bar = np.maximum(np.partition(sims, sims.shape[1] - k, axis=1)[:, -k] - 1e-6, least)
+    return np.nonzero(sims >= bar[:, None])
 
 
 def neighbours(classes: DataFrame, queries: DataFrame, k: int, least: float = -2.0, recall: float = RECALL) -> tuple[DataFrame, dict]:
     """((q, c, sim, rank), report): each query class's ``k`` most similar other classes with ``sim >= least``.
 
-    ``classes`` and ``queries``: (c, v). ``report``: leaves, visits, the recall
+    ``classes`` and ``queries``: (c, v). Similarities are those of the vectors
+    in single precision, summed in double. ``report``: leaves, visits, the recall
     on the calibration queries' true neighbours (None if it was not measured, 1
     if all leaves are opened) and the number of these neighbours.
     """
@@ -152,14 +202,16 @@ def neighbours(classes: DataFrame, queries: DataFrame, k: int, least: float = -2
     if n < 2:
         return spark.createDataFrame([], "q bigint, c bigint, sim double, rank int"), {"leaves": n, "visits": n, "recall": 1.0, "known": 0}
     share = lambda m: F.lit(True) if m >= n else bucket_of(1_000_003, F.col("c"), F.lit(3)) < int(1_000_003 * m / n)
-    fit = _rows(classes.where(share(FIT_SAMPLE * 0.95)).select("v").limit(FIT_SAMPLE).toPandas()["v"]).astype(np.float32)
-    dim = fit.shape[1]
-    tree = fit_tree(fit, min(LEAVES, max(1, n // LEAF), max(1, len(fit) // 4)))
+    leaves = min(LEAVES, max(1, n // LEAF))
+    sample = min(FIT_MOST, max(FIT_SAMPLE, FIT_LEAF * leaves))
+    fit = _rows(classes.where(share(sample * 0.95)).select("v").limit(sample).toPandas()["v"]).astype(np.float32)
+    tree = fit_tree(fit, min(leaves, max(1, len(fit) // 4)))
     del fit
-    shared = spark.sparkContext.broadcast((tree.levels, tree.parent))  # at most LEAVES * 17 / 16 centres
+    shared = spark.sparkContext.broadcast((tree.levels, tree.parent))  # at most LEAVES * 17 / 16 centres and their parents
 
     # true neighbours of the calibration queries, against all vectors
-    cq = queries.where(bucket_of(1_000_003, F.col("c"), F.lit(9)) < int(1_000_003 * min(1.0, CALIBRATE * 0.9 / max(queries.count(), 1))) + 1).select("c", "v").limit(CALIBRATE).toPandas()
+    asked = queries.count()
+    cq = queries.where(bucket_of(1_000_003, F.col("c"), F.lit(9)) < int(1_000_003 * min(1.0, CALIBRATE * 0.9 / max(asked, 1))) + 1).select("c", "v").limit(CALIBRATE).toPandas()
     visits, got, known = tree.leaves, 1.0, 0
     if len(cq) and tree.leaves > 1:
         qid, qx = cq["c"].to_numpy(), _rows(cq["v"])
@@ -175,16 +227,22 @@ def neighbours(classes: DataFrame, queries: DataFrame, k: int, least: float = -2
                     x = _rows(pdf["v"]).astype(np.float32)
                     s = x32 @ x.T
                     s[ids[:, None] == pdf["c"].to_numpy()[None, :]] = -3
-                    home = t.priority(x).argmax(1)
-                    hits = [(q, h, v) for q, h, v in _best(s, np.arange(len(pdf)), k, least)]
-                    yield pd.DataFrame({"q": [h[0] for h in hits], "leaf": [int(home[h[1]]) for h in hits], "sim": [h[2] for h in hits]}, columns=["q", "leaf", "sim"]).astype({"q": "int32", "leaf": "int32", "sim": "float64"})
+                    r, j = _best(s, k, least)
+                    home = t.walk(x, 1)[:, 0]
+                    yield pd.DataFrame({"q": r.astype("int32"), "leaf": home[j].astype("int32"), "sim": s[r, j].astype("float64")})
 
             top = W.partitionBy("q").orderBy(F.desc("sim"))
             return classes.mapInPandas(brute, "q int, leaf int, sim double").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("q", "leaf").toPandas()  # at most k a calibration query
 
-        pr = tree.priority(qx.astype(np.float32))
-        order = np.argsort(np.argsort(-pr, axis=1), axis=1)
-        opened = lambda at: np.sort(order[at["q"].to_numpy(), at["leaf"].to_numpy()] + 1)
+        def opened(at: pd.DataFrame) -> np.ndarray:
+            """How many leaves each query must open to reach the leaf beside it, ascending."""
+            need = []
+            for lo in range(0, len(qx), 64):
+                pr, part = tree.priority(qx[lo : lo + 64].astype(np.float32)), at[(at["q"] >= lo) & (at["q"] < lo + 64)]
+                q, leaf = part["q"].to_numpy() - lo, part["leaf"].to_numpy()
+                need.append((pr[q] >= pr[q, leaf][:, None]).sum(1))
+            return np.sort(np.concatenate(need))
+
         # fewer neighbours than this and the quantile is just the largest of them
         enough = lambda at: len(at) * (1 - recall) >= 1 - 1e-9
         quantile = lambda need: int(need[int(np.ceil(recall * len(need))) - 1])
@@ -198,48 +256,63 @@ def neighbours(classes: DataFrame, queries: DataFrame, k: int, least: float = -2
             got = float((need <= visits).mean()) if known else None
     report = {"leaves": tree.leaves, "visits": visits, "recall": got, "known": known}
 
-    def place(width: int):
-        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            t = Tree(*shared.value)
-            m = min(width, t.leaves)
-            for pdf in batches:
-                for at in range(0, len(pdf), BLOCK):
-                    part = pdf.iloc[at : at + BLOCK]
-                    pr = t.priority(_rows(part["v"]).astype(np.float32))
-                    top = np.argpartition(-pr, m - 1, axis=1)[:, :m] if m < t.leaves else np.tile(np.arange(m), (len(part), 1))
-                    yield pd.DataFrame({"leaf": top.ravel().astype("int32"), "c": np.repeat(part["c"].to_numpy(), m), "v": np.repeat(part["v"].to_numpy(), m)})
-
-        return go
-
+    # a leaf's vectors by its number, at most LEAVES rows; crowded leaves are cut
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = Tree(*shared.value)
         for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"leaf": t.priority(_rows(pdf["v"]).astype(np.float32)).argmax(1).astype("int32"), "c": pdf["c"], "v": pdf["v"]})
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                x = _rows(part["v"]).astype(np.float32)
+                yield pd.DataFrame({"leaf": t.walk(x, 1)[:, 0].astype("int32"), "c": part["c"].to_numpy(), "v": [r.tobytes() for r in x]})
+
+    placed = materialize(classes.select("c", "v").mapInPandas(home, "leaf int, c bigint, v binary"))
+    held = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    blocks = np.array([-(-held.get(i, 0) // BLOCK_ROWS) or 1 for i in range(tree.leaves)])
+    parts = np.array([max(1, -(-int(held.get(i, 0) * visits * asked / n) // PART_ROWS)) for i in range(tree.leaves)])
+    cuts = spark.sparkContext.broadcast((blocks, parts))
+    mark = F.pandas_udf(lambda leaf, h: pd.Series((h.to_numpy() % cuts.value[0][leaf.to_numpy()]).astype("int32")), "int")
+    spread = F.pandas_udf(lambda leaf: pd.Series(cuts.value[1][leaf.to_numpy()].astype("int32")), "int")
+    if blocks.max() > 1 or parts.max() > 1:
+        placed = placed.withColumn("block", mark("leaf", F.pmod(F.xxhash64("c"), F.lit(1 << 30)))).withColumn("part", F.explode(F.sequence(F.lit(0), spread("leaf") - 1)))
+    else:
+        placed = placed.withColumn("block", F.lit(0)).withColumn("part", F.lit(0))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = Tree(*shared.value)
+        blocks, parts = cuts.value
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                x = _rows(part["v"]).astype(np.float32)
+                leaf = t.walk(x, min(visits, t.leaves))
+                r, j = np.nonzero(leaf >= 0)
+                leaf = leaf[r, j]
+                n = blocks[leaf]
+                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                r, leaf = np.repeat(r, n), np.repeat(leaf, n)
+                v = np.array([b.tobytes() for b in x], dtype=object)
+                c = part["c"].to_numpy()
+                yield pd.DataFrame({"leaf": leaf.astype("int32"), "block": block.astype("int32"), "part": ((c[r] * 2654435761 >> 7) % parts[leaf]).astype("int32"), "c": c[r], "v": v[r]})
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            ids, x = left["c"].to_numpy(), _rows(left["v"])
-            x32 = x.astype(np.float32)
+            ids, x = left["c"].to_numpy(), _rows(left["v"], np.float32)
+            x64 = x.astype(np.float64)
             for at in range(0, len(right), BLOCK):
                 part = right.iloc[at : at + BLOCK]
-                q = _rows(part["v"])
-                s = q.astype(np.float32) @ x32.T
-                s[part["c"].to_numpy()[:, None] == ids[None, :]] = -3
-                qi = part["c"].to_numpy()
-                rows = [(r, j) for r, j, _ in _best(s, np.arange(len(ids)), k, least - 1e-5)]
-                if rows:
-                    r, j = np.array(rows).T
-                    exact = np.einsum("ij,ij->i", q[r], x[j])
-                    keep = exact >= least
-                    out.append(pd.DataFrame({"q": qi[r[keep]], "c": ids[j[keep]], "sim": exact[keep]}))
+                q, qi = _rows(part["v"], np.float32), part["c"].to_numpy()
+                s = q @ x.T
+                s[qi[:, None] == ids[None, :]] = -3
+                r, j = _best(s, k, least - 1e-5)
+                sim = np.einsum("ij,ij->i", q[r].astype(np.float64), x64[j])
+                keep = sim >= least - 1e-7
+                out.append(pd.DataFrame({"q": qi[r[keep]], "c": ids[j[keep]], "sim": sim[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"q": pd.array([], "int64"), "c": pd.array([], "int64"), "sim": pd.array([], "float64")})
 
-    assert dim
-    leaves = classes.select("c", "v").mapInPandas(home, "leaf int, c bigint, v binary")
-    visit = queries.select("c", "v").mapInPandas(place(visits), "leaf int, c bigint, v binary")
-    found = leaves.groupBy("leaf").cogroup(visit.groupBy("leaf")).applyInPandas(search, "q bigint, c bigint, sim double")
+    visit = queries.select("c", "v").mapInPandas(place, "leaf int, block int, part int, c bigint, v binary")
+    by = ("leaf", "block", "part")
+    found = placed.groupBy(*by).cogroup(visit.groupBy(*by)).applyInPandas(search, "q bigint, c bigint, sim double")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), F.asc("c")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k), report
 

@@ -78,3 +78,31 @@ def test_tree_opens_leaves_in_order_of_the_worst_step():
     t = vectortree.Tree([np.eye(2, dtype=np.float32), np.array([[1, 0], [0.6, 0.8], [0, 1]], dtype=np.float32)], [np.zeros(2, int), np.array([0, 0, 1])])
     p = t.priority(np.array([[0.8, 0.6]], dtype=np.float32))
     assert p[0] == pytest.approx([0.8, 0.8, 0.6])
+
+
+def test_walk_opens_the_best_leaves_first():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    t = vectortree.fit_tree(x, 60)
+    q, pr = x[:50], t.priority(x[:50])
+    got = t.walk(q, 7)
+    assert np.allclose(np.take_along_axis(pr, got, 1), -np.sort(-pr, axis=1)[:, :7], atol=1e-5)
+    every = t.walk(q[:3], t.leaves + 2)
+    assert [sorted(r) for r in every.tolist()] == [[-1, -1, *range(t.leaves)]] * 3
+
+
+def test_crowded_leaves_are_cut(spark, monkeypatch):
+    """Blocks of vectors and parts of queries of a leaf give what the whole leaf gives."""
+    monkeypatch.setattr(vectortree, "LEAF", 150)
+    x = _clustered(450)
+    df = _frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    whole = {tuple(r) for r in vectortree.most_similar(df, k=5, recall=0.99)[0].select("item", "other", "rank").collect()}
+    monkeypatch.setattr(vectortree, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(vectortree, "PART_ROWS", 60)
+    assert {tuple(r) for r in vectortree.most_similar(df, k=5, recall=0.99)[0].select("item", "other", "rank").collect()} == whole
+
+
+def test_shorter_lists_end_in_zeros(spark):
+    near, _ = vectortree.most_similar(_frame(spark, [(1, [1.0, 2.0]), (2, [2.0, 4.0, 0.0, None]), (3, [0.0, 0.0, 0.0, 1.0])]), k=1, least=0.9)
+    assert {(r.item, r.other) for r in near.collect()} == {(1, 2), (2, 1)}
