@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from gridloom.plans.lookup import bucket_of
 
 CHUNK_ROWS = 65536
+#: Rows a bucket of a crowded key should hold; the number of buckets follows the largest key, within these bounds.
+BUCKET_ROWS = 1 << 20
 BUCKETS = 64
+BUCKETS_MOST = 1024
 #: Keys on at least one in so many rows are spread over buckets; there are no more such keys than this.
 SPREAD = 1024
 
@@ -29,11 +32,17 @@ def range_bounds(df: DataFrame, order: str, buckets: int = BUCKETS) -> list:
     return sorted(set(row.q or []))
 
 
-def _range_bucket(order: str, bounds: list) -> Column:
-    out = F.lit(0)
-    for b in bounds:
-        out = out + (F.col(order) > F.lit(b)).cast("int")
-    return out
+def _range_bucket(order: str, bounds: list, start: int = 0) -> Column:
+    """The number of ``bounds`` below ``order``, by halving."""
+    if not bounds:
+        return F.lit(start)
+    mid = len(bounds) // 2
+    return F.when(F.col(order) <= F.lit(bounds[mid]), _range_bucket(order, bounds[:mid], start)).otherwise(_range_bucket(order, bounds[mid + 1 :], start + mid + 1))
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets for keys of up to so many rows."""
+    return max(BUCKETS, min(BUCKETS_MOST, -(-rows // BUCKET_ROWS)))
 
 
 def number_rows(df: DataFrame, key: str, order: str, chunk_rows: int = CHUNK_ROWS, buckets: int = BUCKETS, bounds: list | None = None, merge: list[Column] | None = None, crowded: list | None = None) -> DataFrame:
@@ -75,8 +84,8 @@ def whole_cells(cells: DataFrame) -> DataFrame:
     return c.where(F.col("col_id").isNotNull() & F.col("row_id").isNotNull() & F.col("val").isNotNull() & ~F.isnan("val"))
 
 
-def crowded_keys(df: DataFrame, key: str, one_in: int) -> list:
-    """The keys on at least one in ``one_in`` of all rows as stored; null is no key. There are at most ``one_in`` of them.
+def crowded_keys(df: DataFrame, key: str, one_in: int) -> dict:
+    """The keys on at least one in ``one_in`` of all rows as stored, with their numbers of rows; null is no key. There are at most ``one_in`` of them.
 
     Counts are made per input partition (the map side of the aggregation) and
     only those counts are shuffled.
@@ -84,17 +93,18 @@ def crowded_keys(df: DataFrame, key: str, one_in: int) -> list:
     counts = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("t")).first().t or 0
     bar = -(-total // one_in)
-    return sorted(r.k for r in counts.where(F.col("k").isNotNull() & (F.col("n") >= max(bar, 1))).collect())
+    return {r.k: r.n for r in counts.where(F.col("k").isNotNull() & (F.col("n") >= max(bar, 1))).orderBy("k").collect()}
 
 
-def crowded_top_rows(cells: DataFrame, one_in: int = 80, k: int = 10, chunk_rows: int = CHUNK_ROWS, buckets: int = BUCKETS) -> DataFrame:
+def crowded_top_rows(cells: DataFrame, one_in: int = 80, k: int = 10, chunk_rows: int = CHUNK_ROWS, buckets: int | None = None) -> DataFrame:
     """(col_id, row_id, val, rank): the ``k`` largest cells of each crowded column, ties to the smaller row id.
 
     Each equal-sized chunk of a column keeps its own best ``k``; the merged
     states are ranked per column. Nulls, NaN, repeats, an empty table and extra
     columns behave as in ``whole_cells`` and ``crowded_keys``.
     """
-    hot = crowded_keys(cells, "col_id", one_in)
+    counts = crowded_keys(cells, "col_id", one_in)
+    hot, buckets = list(counts), buckets or buckets_for(max(counts.values(), default=0))
     rows = whole_cells(cells.where(F.col("col_id").isin(hot) if hot else F.lit(False)))
     numbered = number_rows(rows, "col_id", "row_id", chunk_rows, buckets, merge=largest(), crowded=hot)
     best = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("val"), F.asc("row_id")))
@@ -102,7 +112,7 @@ def crowded_top_rows(cells: DataFrame, one_in: int = 80, k: int = 10, chunk_rows
     return states.withColumn("rank", best("col_id")).where(F.col("rank") <= k).select("col_id", "row_id", "val", "rank")
 
 
-def column_profile(cells: DataFrame, chunk_rows: int = CHUNK_ROWS, buckets: int = BUCKETS) -> DataFrame:
+def column_profile(cells: DataFrame, chunk_rows: int = CHUNK_ROWS, buckets: int | None = None) -> DataFrame:
     """Per column over its rows in ascending order: ``n_cells``, ``max_val``, ``first_row``, ``last_row``, ``widest_gap``, ``median_row``.
 
     ``widest_gap`` is the largest difference of neighbouring row ids (0 for one
@@ -110,7 +120,8 @@ def column_profile(cells: DataFrame, chunk_rows: int = CHUNK_ROWS, buckets: int
     of its state; the gap between two chunks comes from the boundary states
     (last row of one, first row of the next) merged in order.
     """
-    crowded = crowded_keys(cells, "col_id", SPREAD)
+    counts = crowded_keys(cells, "col_id", SPREAD)
+    crowded, buckets = list(counts), buckets or buckets_for(max(counts.values(), default=0))
     numbered = number_rows(whole_cells(cells), "col_id", "row_id", chunk_rows, buckets, range_bounds(cells, "row_id", buckets), largest(), crowded)
     # states are kept per bucket, too: rows stay where they were numbered, and a bucket's seam is a chunk's
     gap = F.when(F.col("prev").isNotNull(), F.col("row_id") - F.col("prev"))
