@@ -9,12 +9,15 @@ LP = "lp AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)"
 _URGENT = "SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {} o_orderpriority IN ('1-URGENT', '2-HIGH')"
 
 
-def parts(name: str = "g", least: int = 2, urgent: bool | None = None) -> str:
+def parts(name: str = "g", least: int = 1, urgent: bool | None = None) -> str:
     src = f"lp_{name}"
     rows = "SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem" if urgent is None else _URGENT.format("" if urgent else "NOT")
     return f"{src} AS ({rows}), {name} AS (SELECT a.p AS col_id, b.p AS row_id, CAST(count(*) AS DOUBLE) AS val FROM {src} a JOIN {src} b ON a.o = b.o AND a.p <> b.p GROUP BY ALL HAVING count(*) >= {least})"
 
 
+RECORDS = "lab AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM (SELECT x AS label FROM tree_pairs WHERE x IS NOT NULL UNION SELECT y FROM tree_pairs WHERE y IS NOT NULL)), dom AS (SELECT id FROM lab)"
+ARCS = RECORDS + ", arcs AS (SELECT a.id AS col_id, b.id AS row_id, max(val) AS val FROM tree_pairs JOIN lab a ON a.label = x JOIN lab b ON b.label = y WHERE x <> y AND val IS NOT NULL AND NOT isnan(val) GROUP BY a.id, b.id)"
+MATCH = ARCS + ", g AS (SELECT col_id, row_id, max(val) AS val FROM (SELECT * FROM arcs UNION ALL SELECT row_id, col_id, val FROM arcs) GROUP BY ALL)"
 NODES = "dom AS (SELECT p_partkey AS id FROM part)"
 TRADE = """t AS (SELECT CAST(s_nationkey AS BIGINT) AS col_id, CAST(c_nationkey AS BIGINT) AS row_id, CAST(count(*) AS DOUBLE) AS val FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
@@ -40,8 +43,8 @@ def _digest(rows: list[tuple[str, str]]) -> str:
 
 def _edge() -> str:
     v = {
-        "gq_3": "CASE WHEN val >= 3 THEN val ELSE 0 END", "gt_3": "CASE WHEN val > 3 THEN val ELSE 0 END", "lq_3": "CASE WHEN val <= 3 THEN val ELSE 0 END", "lt_3": "CASE WHEN val < 3 THEN val ELSE 0 END", "mul_1.5": "val * 1.5", "scale_4": "val / 4",
-        "add_-2": "val - 2", "abs_": "abs(val)", "ceil_2.5": "least(val, 2.5)", "floor_2.5": "greatest(val, 2.5)", "pow_0.5": "sqrt(val)", "exp_": "exp(val)", "exp_2": "pow(2, val)", "log_": "ln(val)", "log_10": "ln(val) / ln(10)", "neglog_": "-ln(val)", "const_7": "7",
+        "gq_2": "CASE WHEN val >= 2 THEN val ELSE 0 END", "gt_1": "CASE WHEN val > 1 THEN val ELSE 0 END", "lq_1": "CASE WHEN val <= 1 THEN val ELSE 0 END", "lt_2": "CASE WHEN val < 2 THEN val ELSE 0 END", "mul_1.5": "val * 1.5", "scale_4": "val / 4",
+        "add_-2": "val - 2", "abs_": "abs(val)", "ceil_1.5": "least(val, 1.5)", "floor_1.5": "greatest(val, 1.5)", "pow_0.5": "sqrt(val)", "exp_": "exp(val)", "exp_2": "pow(2, val)", "log_": "ln(val)", "log_10": "ln(val) / ln(10)", "neglog_": "-ln(val)", "const_7": "7",
     }
     return f"WITH {parts()} " + _digest([(k, f"SELECT CAST({x} AS DOUBLE) AS val FROM g WHERE CAST({x} AS DOUBLE) <> 0") for k, x in v.items()])
 
@@ -73,7 +76,7 @@ def _loops() -> str:
     return f"WITH {parts()}, {NODES} " + _digest(rows)
 
 
-PREP = f"{parts()}, {NODES}, w AS (SELECT * FROM g UNION ALL SELECT id, id, coalesce(mx, 1) FROM dom LEFT JOIN (SELECT col_id, max(val) AS mx FROM g GROUP BY col_id) ON id = col_id), m AS (SELECT col_id, row_id, val / sum(val) OVER (PARTITION BY col_id) AS val FROM w)"
+PREP = f"{MATCH}, w AS (SELECT * FROM g UNION ALL SELECT id, id, coalesce(mx, 1) FROM dom LEFT JOIN (SELECT col_id, max(val) AS mx FROM g GROUP BY col_id) ON id = col_id), m AS (SELECT col_id, row_id, val / sum(val) OVER (PARTITION BY col_id) AS val FROM w)"
 TPREP = f"{TRADE}, toff AS (SELECT * FROM t WHERE col_id <> row_id), nd AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation), tw AS (SELECT * FROM toff UNION ALL SELECT id, id, coalesce(mx, 1) FROM nd LEFT JOIN (SELECT col_id, max(val) AS mx FROM toff GROUP BY col_id) ON id = col_id), m AS (SELECT col_id, row_id, val / sum(val) OVER (PARTITION BY col_id) AS val FROM tw)"
 BFS = "RECURSIVE " + NET + ", " + E2.format("net") + ", nd AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation), walk AS (SELECT id AS src, id AS node, 0 AS dist FROM nd UNION SELECT src, b, dist + 1 FROM walk JOIN e ON node = a WHERE dist < 25), d AS (SELECT src, node, min(dist) AS dist FROM walk GROUP BY ALL)"
 _PS = "x.item AS x, y.item AS y, sum(x.val * y.val) AS xy, count(*) AS c"
@@ -100,7 +103,7 @@ def _label_lines(then: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    g = f"WITH {parts()} "
+    g, m = f"WITH {parts()} ", f"WITH {MATCH} "
     return {
         "p3_found": f"""WITH crowded AS (SELECT col_id FROM cells WHERE col_id IS NOT NULL GROUP BY col_id HAVING count(*) * 80 >= (SELECT count(*) FROM cells)),
           {CLEAN}, r AS (SELECT col_id, row_id, row_number() OVER (PARTITION BY col_id ORDER BY val DESC, row_id) AS k FROM clean JOIN crowded USING (col_id))
@@ -112,7 +115,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": _label_lines("SELECT line_no, reason FROM judged WHERE reason IS NOT NULL"),
         "p6_good": _label_lines("SELECT line_no, CAST(id AS BIGINT) AS id, label FROM judged WHERE reason IS NULL"),
         "edge_functions": _edge(),
-        "edge_chain": g + ", s AS (SELECT col_id, row_id, ln((val - 2) * 3) AS val FROM g WHERE val <> 2) SELECT col_id, row_id, round(greatest(val, 0.5), 6) AS val FROM s WHERE val <> 0",
+        "edge_chain": g + ", s AS (SELECT col_id, row_id, CASE WHEN val > 0.5 THEN ln((val - 0.5) * 3) END AS val FROM g WHERE val <> 0.5) SELECT col_id, row_id, round(greatest(val, 0.5), 6) AS val FROM s WHERE val <> 0",
         "merge_functions": _merges(),
         "arc_filters": _arcs(),
         "matrix_add": f"WITH {parts('a', 2, True)}, {parts('b', 2, False)} SELECT col_id, row_id, sum(val) AS val FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL",
@@ -126,7 +129,7 @@ def oracle_sql() -> dict[str, str]:
         "domain_embed": g + f", {NODES} SELECT id, coalesce(v, -1.0) AS val FROM dom LEFT JOIN (SELECT col_id, sum(val) AS v FROM g GROUP BY col_id) ON id = col_id",
         "transpose_sum": f"WITH {TRADE} SELECT col_id, row_id, sum(CASE WHEN col_id = row_id THEN val / 2 ELSE val END) AS val FROM (SELECT * FROM t UNION ALL SELECT row_id, col_id, val FROM t) GROUP BY ALL",
         "mutual_arcs": f"WITH {TRADE}, k AS (SELECT *, count(*) OVER (PARTITION BY col_id ORDER BY val DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM t), s AS (SELECT col_id, row_id, val FROM k WHERE n <= 5) SELECT s.* FROM s SEMI JOIN s r ON s.col_id = r.row_id AND s.row_id = r.col_id",
-        "compose": g + "SELECT b.col_id, a.row_id, sum(a.val * b.val) AS val FROM g b JOIN g a ON a.col_id = b.row_id GROUP BY ALL",
+        "compose": m + "SELECT b.col_id, a.row_id, sum(a.val * b.val) AS val FROM g b JOIN g a ON a.col_id = b.row_id GROUP BY ALL",
         "compose_bipartite": f"WITH {BRAND}, {SIZE} SELECT brand.cluster AS col_id, sz.cluster AS row_id, CAST(count(*) AS DOUBLE) AS val FROM brand JOIN sz USING (node) GROUP BY ALL",
         "power_step": f"WITH {TRADE}, m AS (SELECT col_id, row_id, val / sum(val) OVER (PARTITION BY col_id) AS val FROM t), q AS (SELECT b.col_id, a.row_id, sum(a.val * b.val) AS val FROM m b JOIN m a ON a.col_id = b.row_id GROUP BY ALL), z AS (SELECT b.col_id, a.row_id, sum(a.val * b.val) AS val FROM q b JOIN q a ON a.col_id = b.row_id GROUP BY ALL) " + R.format("z"),
         "times_vector": g + "SELECT row_id AS id, round(sum(val * p_retailprice), 2) AS val FROM g JOIN part ON col_id = p_partkey GROUP BY row_id",
@@ -141,7 +144,7 @@ def oracle_sql() -> dict[str, str]:
         "block_inside": g + f", {BRAND} SELECT col_id, row_id, val FROM g JOIN brand a ON a.node = col_id JOIN brand b ON b.node = row_id WHERE a.cluster = b.cluster",
         "block_between": g + f", {BRAND} SELECT col_id, row_id, val FROM g JOIN brand a ON a.node = col_id JOIN brand b ON b.node = row_id WHERE a.cluster <> b.cluster",
         "block_partition": f"WITH {parts('g', 1)}, {SIZE}, j AS (SELECT g.*, a.cluster = b.cluster AS same FROM g JOIN sz a ON a.node = col_id JOIN sz b ON b.node = row_id), bar AS (SELECT col_id AS c, quantile_cont(val, 0.5) AS bar FROM j WHERE NOT same GROUP BY col_id), k AS (SELECT col_id, row_id, val FROM j LEFT JOIN bar ON c = col_id WHERE same AND (bar IS NULL OR val > bar)) SELECT k.col_id, k.row_id, least(k.val, r.val) AS val FROM k JOIN k r ON k.col_id = r.row_id AND k.row_id = r.col_id",
-        "unlink_nodes": g + f", {NODES}, ok AS (SELECT id FROM dom LEFT JOIN (SELECT col_id, count(*) AS n FROM g GROUP BY col_id) ON id = col_id WHERE coalesce(n, 0) BETWEEN 2 AND 6) SELECT * FROM g WHERE col_id IN (SELECT id FROM ok) AND row_id IN (SELECT id FROM ok)",
+        "unlink_nodes": m + ", ok AS (SELECT id FROM dom LEFT JOIN (SELECT col_id, count(*) AS n FROM g GROUP BY col_id) ON id = col_id WHERE coalesce(n, 0) BETWEEN 2 AND 6) SELECT * FROM g WHERE col_id IN (SELECT id FROM ok) AND row_id IN (SELECT id FROM ok)",
         "fold_nodes": g + ", rep AS (SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS r FROM part), f AS (SELECT a.r AS col_id, b.r AS row_id, max(val) AS val FROM g JOIN rep a ON a.node = col_id JOIN rep b ON b.node = row_id GROUP BY ALL) SELECT col_id, row_id, max(val) AS val FROM (SELECT * FROM f UNION ALL SELECT row_id, col_id, val FROM f) GROUP BY ALL",
         "canonical_ids": "SELECT id AS old, row_number() OVER (ORDER BY id) - 1 AS new FROM coldom",
         "map_ids": g + "SELECT col_id * 2 + 5 AS col_id, row_id - 1 AS row_id, val FROM g",
@@ -166,33 +169,33 @@ def oracle_sql() -> dict[str, str]:
         "columns_by_size": f"WITH {TRADE}, s AS (SELECT CAST(n_nationkey AS BIGINT) AS id, coalesce(sum(val), 0) AS v FROM nation LEFT JOIN t ON col_id = n_nationkey GROUP BY n_nationkey) SELECT id AS old, row_number() OVER (ORDER BY v DESC, id) - 1 AS new FROM s",
         "collect_tables": "SELECT CAST(o_custkey AS VARCHAR) AS label, CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS DOUBLE) AS val_0, CAST(count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS DOUBLE) AS val_1, CAST(count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS DOUBLE) AS val_2 FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY o_custkey",
         "transform_program": f"WITH {TRADE}, a AS (SELECT * FROM t WHERE val >= 2 AND col_id <> row_id), b AS (SELECT col_id, row_id, max(val) AS val FROM (SELECT * FROM a UNION ALL SELECT row_id, col_id, val FROM a) GROUP BY ALL), k AS (SELECT *, count(*) OVER (PARTITION BY col_id ORDER BY val DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM b), s AS (SELECT col_id, row_id, val FROM k WHERE n <= 9) SELECT s.col_id, s.row_id, round(sqrt(s.val) * 2, 6) AS val FROM s SEMI JOIN s r ON s.col_id = r.row_id AND s.row_id = r.col_id",
-        "transform_edges": g + "SELECT col_id, row_id, round(least(ln(val + 1) / ln(2), 2.2), 6) AS val FROM g WHERE val >= 3",
-        "common_neighbours": g + ", q AS (SELECT col_id, sum(val * val) AS q FROM g GROUP BY col_id), dt AS (SELECT g.col_id, g.row_id, sum(a.val * b.val) AS d FROM g JOIN g a ON a.col_id = g.col_id JOIN g b ON b.col_id = g.row_id AND b.row_id = a.row_id GROUP BY ALL) SELECT dt.col_id, dt.row_id, round(d / sqrt(x.q * y.q), 6) AS val FROM dt JOIN q x ON x.col_id = dt.col_id JOIN q y ON y.col_id = dt.row_id",
+        "transform_edges": g + "SELECT col_id, row_id, round(least(ln(val + 1) / ln(2), 1.2), 6) AS val FROM g",
+        "common_neighbours": m + ", q AS (SELECT col_id, sum(val * val) AS q FROM g GROUP BY col_id), dt AS (SELECT g.col_id, g.row_id, sum(a.val * b.val) AS d FROM g JOIN g a ON a.col_id = g.col_id JOIN g b ON b.col_id = g.row_id AND b.row_id = a.row_id GROUP BY ALL) SELECT dt.col_id, dt.row_id, round(d / sqrt(x.q * y.q), 6) AS val FROM dt JOIN q x ON x.col_id = dt.col_id JOIN q y ON y.col_id = dt.row_id",
         "flow_prepare": f"WITH {PREP} " + R.format("m"),
         "flow_round": f"WITH {PREP}, x AS (SELECT b.col_id, a.row_id, sum(a.val * b.val) AS val FROM m b JOIN m a ON a.col_id = b.row_id GROUP BY ALL), y AS (SELECT *, max(val) OVER w AS top, sum(val * val) OVER w AS q FROM x WINDOW w AS (PARTITION BY col_id)), k AS (SELECT *, val / sum(val) OVER (PARTITION BY col_id) AS v, count(*) OVER (PARTITION BY col_id) AS n FROM y WHERE val >= 0.02) SELECT col_id, row_id, round(v * v / sum(v * v) OVER (PARTITION BY col_id) + 1e-9, 6) AS val, round((top - q) * n + 1e-9, 6) AS chaos FROM k",
         "flow_dag": f"WITH {TPREP}, k AS (SELECT *, coalesce(max(CASE WHEN col_id = row_id THEN val END) OVER w, 0) AS s, max(val) OVER w AS mx FROM m WINDOW w AS (PARTITION BY col_id)), b AS (SELECT col_id, row_id, val / sum(val) OVER (PARTITION BY col_id) AS val, count(*) OVER (PARTITION BY col_id) AS n FROM k WHERE val >= CASE WHEN s < mx THEN 0.999 * s + 0.001 * mx ELSE s / 1.01 END) SELECT col_id, row_id, round(val, 6) AS val FROM b WHERE val >= 1.0 / (n + 1)",
         "flow_homogeneity": f"WITH {TPREP}, x AS (SELECT b.col_id, a.row_id, sum(a.val * b.val) AS val FROM m b JOIN m a ON a.col_id = b.row_id GROUP BY ALL), s AS (SELECT col_id, sum(val * val) AS s FROM m GROUP BY col_id), z AS (SELECT col_id, sum(val * val) AS p, sum(pow(val, 4)) AS r FROM x GROUP BY col_id) SELECT col_id, round(s * p * p / r, 6) AS val FROM z JOIN s USING (col_id)",
-        "graph_components": f"WITH RECURSIVE {parts('g', 3)}, {NODES}, walk AS (SELECT id AS node, id AS lab FROM dom UNION SELECT row_id, lab FROM walk JOIN g ON col_id = node) SELECT min(lab) AS component, node FROM walk GROUP BY node",
+        "graph_components": f"WITH RECURSIVE {MATCH}, walk AS (SELECT id AS node, id AS lab FROM dom UNION SELECT row_id, lab FROM walk JOIN g ON col_id = node) SELECT min(lab) AS component, node FROM walk GROUP BY node",
         "eccentricity": f"WITH {BFS} SELECT src AS node, max(dist) AS ecc FROM d GROUP BY src",
-        "shortest_paths": f"WITH {BFS} SELECT src, node, dist FROM d WHERE src < 5",
+        "shortest_paths": f"WITH RECURSIVE {MATCH}, walk AS (SELECT id AS src, id AS node, 0 AS dist FROM dom WHERE id < 5 UNION SELECT src, row_id, dist + 1 FROM walk JOIN g ON col_id = node WHERE dist < 200) SELECT src, node, min(dist) AS dist FROM walk GROUP BY ALL",
         "path_lattice": f"WITH {BFS} SELECT x.dist AS layer, x.node FROM d x JOIN d y ON x.node = y.node AND x.src = 0 AND y.src = 24 JOIN d z ON z.src = 0 AND z.node = 24 WHERE x.dist + y.dist = z.dist",
         "betweenness": f"WITH {BFS}, paths AS (SELECT src, node, dist, CAST(1 AS DOUBLE) AS n, dist AS lev FROM d WHERE dist = 0 UNION ALL SELECT * FROM (SELECT src, node, dist, sum(n) AS n, dist AS lev FROM (SELECT p.src, d.node, d.dist, p.n FROM paths p JOIN e ON e.a = p.node JOIN d ON d.src = p.src AND d.node = e.b AND d.dist = p.dist + 1) GROUP BY src, node, dist)), sc AS (SELECT v.node, sum(a.n * b.n / z.n) AS x FROM paths a JOIN paths z ON z.src = a.src AND z.node <> a.src JOIN d v ON v.src = z.node AND v.node = a.node JOIN paths b ON b.src = z.node AND b.node = a.node WHERE a.node <> a.src AND a.node <> z.node AND a.dist + v.dist = z.dist GROUP BY v.node) SELECT nd.id AS node, round(coalesce(x, 0), 6) AS score FROM nd LEFT JOIN sc ON sc.node = nd.id",
-        "clustering_coefficient": g + f", {NODES}, dg AS (SELECT col_id, count(*) AS d FROM g GROUP BY col_id), tr AS (SELECT x.col_id, count(*) AS n FROM g x JOIN g y ON y.col_id = x.row_id JOIN g z ON z.col_id = x.col_id AND z.row_id = y.row_id GROUP BY x.col_id) SELECT id AS node, round(CASE WHEN coalesce(d, 0) > 1 THEN coalesce(n, 0) / (d * (d - 1)) ELSE 0 END, 6) AS clcf FROM dom LEFT JOIN dg ON dg.col_id = id LEFT JOIN tr ON tr.col_id = id",
+        "clustering_coefficient": m + ", dg AS (SELECT col_id, count(*) AS d FROM g GROUP BY col_id), tr AS (SELECT x.col_id, count(*) AS n FROM g x JOIN g y ON y.col_id = x.row_id JOIN g z ON z.col_id = x.col_id AND z.row_id = y.row_id GROUP BY x.col_id) SELECT id AS node, round(CASE WHEN coalesce(d, 0) > 1 THEN coalesce(n, 0) / (d * (d - 1)) ELSE 0 END, 6) AS clcf FROM dom LEFT JOIN dg ON dg.col_id = id LEFT JOIN tr ON tr.col_id = id",
         "cycle_nodes": f"WITH RECURSIVE {TRADE}, k AS (SELECT *, rank() OVER (PARTITION BY col_id ORDER BY val DESC) AS n FROM t WHERE col_id <> row_id), e AS (SELECT col_id AS a, row_id AS b FROM k WHERE n <= 1), walk AS (SELECT a AS s, b AS node, 1 AS l FROM e UNION SELECT s, b, l + 1 FROM walk JOIN e ON node = a WHERE l < 26), onc AS (SELECT DISTINCT s FROM walk WHERE s = node), fw AS (SELECT DISTINCT s AS id FROM walk WHERE node IN (SELECT s FROM onc)), bw AS (SELECT DISTINCT node AS id FROM walk WHERE s IN (SELECT s FROM onc)) SELECT id FROM fw SEMI JOIN bw USING (id)",
         "node_attributes": g + f", {NODES} SELECT id AS node, coalesce(degree, 0) AS degree, round(mean, 6) AS mean, least, top, median FROM dom LEFT JOIN (SELECT col_id, count(*) AS degree, avg(val) AS mean, min(val) AS least, max(val) AS top, quantile_cont(val, 0.5) AS median FROM g GROUP BY col_id) ON id = col_id",
-        "top_degree": g + "SELECT col_id AS node, count(*) AS degree FROM g GROUP BY col_id ORDER BY degree DESC, node LIMIT 25",
+        "top_degree": m + "SELECT col_id AS node, count(*) AS degree FROM g GROUP BY col_id ORDER BY degree DESC, node LIMIT 25",
         "weight_histogram": f"WITH {CELLS} SELECT CAST(least(greatest(floor(val / 0.1), 0), 19) AS INTEGER) AS bin, count(*) AS n FROM c GROUP BY 1",
         "sorted_weights": f"WITH {CELLS}, k AS (SELECT val, count(*) AS n FROM c GROUP BY val) SELECT val, n, CAST(sum(n) OVER (ORDER BY val DESC) - n + 1 AS BIGINT) AS position FROM k",
         "cross_ratio": f"WITH {TRADE}, j AS (SELECT t.col_id AS x, t.row_id AS y, t.val AS arc, coalesce(r.val, 0) AS reverse, coalesce(a.val, 0) AS self_x, coalesce(b.val, 0) AS self_y FROM t LEFT JOIN t r ON r.col_id = t.row_id AND r.row_id = t.col_id LEFT JOIN t a ON a.col_id = t.col_id AND a.row_id = t.col_id LEFT JOIN t b ON b.col_id = t.row_id AND b.row_id = t.row_id) SELECT * FROM j WHERE least(self_x, self_y) > arc OR least(self_x, self_y) > reverse",
         "select_children": f"WITH {SETS}, k AS (SELECT item, count(*) AS n FROM u GROUP BY item), p AS (SELECT x.item AS x, y.item AS y, count(*) AS c FROM u x JOIN u y USING (attr) GROUP BY ALL), s AS (SELECT x, y, (n - c) / n AS v FROM p JOIN k ON item = x WHERE n > c), q AS (SELECT a.item AS a, b.item AS b, coalesce(s.v, 0) AS v, coalesce(r.v, 0) AS w FROM k a JOIN k b ON a.item < b.item LEFT JOIN s ON s.x = a.item AND s.y = b.item LEFT JOIN s r ON r.x = b.item AND r.y = a.item) SELECT CASE WHEN v < w THEN a ELSE b END AS col_id, CASE WHEN v < w THEN b ELSE a END AS row_id, round(abs(v - w), 6) AS val FROM q WHERE least(v, w) <= 0.5 AND greatest(v, w) >= 0.7 AND v <> w",
         "diagonal_order": f"WITH {TPREP} SELECT col_id AS node, round(max(CASE WHEN col_id = row_id THEN val ELSE 0 END) / sum(val * val), 6) AS val FROM m GROUP BY col_id",
-        "shadow_factors": f"WITH {parts()}, {NODES}, s AS (SELECT col_id AS k, count(*) AS n, sum(val) AS t FROM g GROUP BY col_id), p AS (SELECT g.col_id, any_value(a.n) AS n0, any_value(a.t) AS t0, sum(g.val / a.t * b.n) AS size, sum(g.val / a.t * CASE WHEN b.n < 2 THEN b.t / b.n ELSE (b.t - g.val) / (b.n - 1) END) AS gauge FROM g JOIN s a ON a.k = g.col_id JOIN s b ON b.k = g.row_id GROUP BY g.col_id) SELECT id, round(coalesce(pow(greatest(n0 / size, (t0 / n0) / gauge, 1), 1.5) - 1, 0), 6) AS val FROM dom LEFT JOIN p ON col_id = id",
+        "shadow_factors": f"WITH {MATCH}, s AS (SELECT col_id AS k, count(*) AS n, sum(val) AS t FROM g GROUP BY col_id), p AS (SELECT g.col_id, any_value(a.n) AS n0, any_value(a.t) AS t0, sum(g.val / a.t * b.n) AS size, sum(g.val / a.t * CASE WHEN b.n < 2 THEN b.t / b.n ELSE (b.t - g.val) / (b.n - 1) END) AS gauge FROM g JOIN s a ON a.k = g.col_id JOIN s b ON b.k = g.row_id GROUP BY g.col_id) SELECT id, round(coalesce(pow(greatest(n0 / size, (t0 / n0) / gauge, 1), 1.5) - 1, 0), 6) AS val FROM dom LEFT JOIN p ON col_id = id",
         "nested_scores": f"WITH {parts('gg')}, {BRAND}, {SIZE}, kid AS (SELECT node, brand.cluster AS parent, min(node) OVER (PARTITION BY brand.cluster, sz.cluster) AS cluster, count(*) OVER (PARTITION BY brand.cluster, sz.cluster) AS size, count(*) OVER (PARTITION BY brand.cluster) AS psize FROM brand JOIN sz USING (node)), own AS (SELECT a.*, gg.val, b.cluster IS NOT DISTINCT FROM a.cluster AND gg.val IS NOT NULL AS inside, b.parent IS NOT DISTINCT FROM a.parent AND gg.val IS NOT NULL AS fam FROM kid a LEFT JOIN gg ON gg.col_id = a.node LEFT JOIN kid b ON b.node = gg.row_id), "
         + ", ".join(f"{n} AS (SELECT node, any_value(cluster) AS cluster, any_value(size) AS size, coalesce(sum(val) FILTER (WHERE inside), 0) AS i, coalesce(sum(val) FILTER (WHERE NOT inside{w}), 0) AS o, count(val) FILTER (WHERE NOT inside{w}) AS no, sum(val * val) FILTER (WHERE inside OR true{w}) AS q, max(val) FILTER (WHERE inside OR true{w}) AS mx FROM own GROUP BY node), {n}s AS (SELECT cluster, avg(CASE WHEN i + o > 0 THEN 1 - (size - (i - o) * (i + o) / q) / (size + no) ELSE 0 END) AS cov, avg(CASE WHEN i + o > 0 THEN 1 - (size - (i - o) / mx) / (size + no) ELSE 0 END) AS covmax, avg(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END) AS mf FROM {n} GROUP BY cluster)" for n, w in (("w", ""), ("f", " AND fam")))
         + ", k AS (SELECT DISTINCT cluster, parent, size, psize FROM kid) SELECT k.cluster, parent, size, round(ws.cov + 1e-9, 6) AS cov, round(ws.covmax + 1e-9, 6) AS covmax, round(ws.mf + 1e-9, 6) AS massfrac, round(CASE WHEN size = psize THEN 1 ELSE fs.cov END + 1e-9, 6) AS within_cov, round(CASE WHEN size = psize THEN 1 ELSE fs.covmax END + 1e-9, 6) AS within_covmax, round(CASE WHEN size = psize THEN 1 ELSE fs.mf END + 1e-9, 6) AS within_massfrac FROM k JOIN ws USING (cluster) JOIN fs USING (cluster)",
         "threshold_sweep": "WITH RECURSIVE "
-        + parts()
-        + f", {NODES}, st AS (SELECT unnest([2.0, 3.0, 4.0])::DOUBLE AS step), h AS (SELECT step, g.* FROM st JOIN g ON val >= step), walk AS (SELECT step, id AS node, id AS lab FROM st, dom UNION SELECT walk.step, h.row_id, lab FROM walk JOIN h ON h.step = walk.step AND h.col_id = node), lab AS (SELECT step, node, min(lab) AS c FROM walk GROUP BY ALL), cs AS (SELECT step, c, count(*) AS n FROM lab GROUP BY ALL), "
+        + MATCH
+        + ", st AS (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS step), h AS (SELECT step, g.* FROM st JOIN g ON val >= step), walk AS (SELECT step, id AS node, id AS lab FROM st, dom UNION SELECT walk.step, h.row_id, lab FROM walk JOIN h ON h.step = walk.step AND h.col_id = node), lb AS (SELECT step, node, min(lab) AS c FROM walk GROUP BY ALL), cs AS (SELECT step, c, count(*) AS n FROM lb GROUP BY ALL), "
         "a AS (SELECT step, CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, count(*) FILTER (WHERE n = 1) AS singletons, max(n) AS largest, round(sum(n * n) / sum(n), 6) AS spread FROM cs GROUP BY step), w AS (SELECT step, count(*) AS arcs, round(avg(val), 6) AS mean_weight, quantile_cont(val, 0.5) AS median_weight, quantile_cont(val, 0.75) - quantile_cont(val, 0.25) AS iqr_weight FROM h GROUP BY step), "
         "dg AS (SELECT st.step, dom.id, count(h.val) AS d FROM st CROSS JOIN dom LEFT JOIN h ON h.step = st.step AND h.col_id = dom.id GROUP BY ALL), ds AS (SELECT step, round(avg(d), 6) AS mean_degree, quantile_cont(d, 0.5) AS median_degree FROM dg GROUP BY step), tr AS (SELECT x.step, x.col_id, count(*) AS n FROM h x JOIN h y ON y.step = x.step AND y.col_id = x.row_id JOIN h z ON z.step = x.step AND z.col_id = x.col_id AND z.row_id = y.row_id GROUP BY ALL), "
         "cc AS (SELECT dg.step, round(avg(CASE WHEN d > 1 THEN coalesce(n, 0) / (d * (d - 1)) ELSE 0 END), 6) AS clcf FROM dg LEFT JOIN tr ON tr.step = dg.step AND tr.col_id = dg.id GROUP BY dg.step) SELECT a.*, w.* EXCLUDE (step), ds.* EXCLUDE (step), clcf FROM a JOIN w USING (step) JOIN ds USING (step) JOIN cc USING (step)",
@@ -231,7 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "tab_algebra": "WITH a AS (SELECT DISTINCT label FROM tab WHERE id % 2 = 0 AND label IS NOT NULL), b AS (SELECT DISTINCT label FROM tab WHERE id % 3 = 0 AND label IS NOT NULL) SELECT 'meet' AS how, label FROM a SEMI JOIN b USING (label) UNION ALL SELECT 'merge', label FROM (SELECT label FROM a UNION SELECT label FROM b) UNION ALL SELECT 'left', label FROM a ANTI JOIN b USING (label)",
         "alignments": "SELECT x, y, max(val) AS val FROM (SELECT 'p' || l_partkey AS x, 's' || l_suppkey AS y, least(200, CAST(l_quantity AS INTEGER))::DOUBLE AS val FROM lineitem) WHERE val > 5 GROUP BY ALL",
         "block_spec": g + f", {BRAND} SELECT row_id AS col_id, col_id AS row_id, val * 2 AS val FROM g WHERE col_id IN (SELECT node FROM brand WHERE cluster IN (11, 12, 13)) AND row_id > 100",
-        "block_sizes": g + ", n AS (SELECT col_id FROM g GROUP BY col_id HAVING count(*) BETWEEN 2 AND 5) SELECT col_id, row_id, 1.0::DOUBLE AS val FROM g SEMI JOIN n USING (col_id)",
+        "block_sizes": m + ", n AS (SELECT col_id FROM g GROUP BY col_id HAVING count(*) BETWEEN 2 AND 5) SELECT col_id, row_id, 1.0::DOUBLE AS val FROM g SEMI JOIN n USING (col_id)",
         "stack_program": f"WITH {TRADE}, m AS (SELECT col_id, row_id, val / sum(val) OVER (PARTITION BY col_id) AS val FROM t), q AS (SELECT b.col_id, a.row_id, sum(a.val * b.val) AS val FROM m b JOIN m a ON a.col_id = b.row_id GROUP BY ALL), z AS (SELECT col_id, row_id, pow(val, 1.5) / sum(pow(val, 1.5)) OVER (PARTITION BY col_id) AS val FROM q) SELECT col_id, row_id, round(sum(val), 6) AS val FROM (SELECT * FROM z UNION ALL SELECT row_id, col_id, val FROM z) GROUP BY ALL",
         "random_removal": "SELECT CAST(100 AS BIGINT) AS n_removed",
         "random_swaps": g + "SELECT col_id, count(*) AS degree FROM g GROUP BY col_id",

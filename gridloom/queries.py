@@ -10,6 +10,7 @@ from gridloom.functions.merge import MERGES
 from gridloom.matrix import Matrix, cells_of, domain
 from gridloom.operators import aggregates, chunking, clusters, dags, flow, graphs, hierarchy, pairs, randomize, reshape, setops
 from gridloom.plans import blocks, program, transform
+from gridloom.plans.materialize import materialize
 from gridloom.sources import dump, labels, rejects, streams, tables
 
 
@@ -37,7 +38,7 @@ def p6_good(spark: SparkSession, d: str) -> DataFrame:
 # ---- tables of the star schema seen as matrices
 
 
-def part_cells(spark: SparkSession, d: str, least: int = 2, urgent: bool | None = None) -> DataFrame:
+def part_cells(spark: SparkSession, d: str, least: int = 1, urgent: bool | None = None) -> DataFrame:
     """Parts ordered together, by number of common orders; optionally of urgent or other orders only."""
     lp = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
     if urgent is not None:
@@ -48,11 +49,26 @@ def part_cells(spark: SparkSession, d: str, least: int = 2, urgent: bool | None
     return c.where(F.col("val") >= least)
 
 
-def part_graph(spark: SparkSession, d: str, least: int = 2, urgent: bool | None = None) -> Matrix:
+def part_graph(spark: SparkSession, d: str, least: int = 1, urgent: bool | None = None) -> Matrix:
     nodes = _t(spark, d, "part").select(F.col("p_partkey").alias("id"))
     return Matrix(part_cells(spark, d, least, urgent), nodes, nodes)
 
 
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """(id, label): the records of tree_pairs, numbered in label order."""
+    return streams.label_ids(_t(spark, d, "tree_pairs").select(F.explode(F.array("x", "y")).alias("label")))
+
+
+def match_graph(spark: SparkSession, d: str, directed: bool = False) -> Matrix:
+    """All records of tree_pairs under their matches, by the largest value of a pair; ``directed`` from x to y. Its hubs and paths grow with the table."""
+    ids = materialize(records(spark, d))
+    ix, iy = (ids.select(F.col("id").alias(i), F.col("label").alias(f"l{i}")) for i in ("col_id", "row_id"))
+    t = _t(spark, d, "tree_pairs").where("x <> y AND val IS NOT NULL AND NOT isnan(val)").groupBy("x", "y").agg(F.max("val").alias("val"))
+    c = t.join(ix, F.col("x") == F.col("lcol_id")).join(iy, F.col("y") == F.col("lrow_id")).select("col_id", "row_id", "val")
+    nodes = ids.select("id")
+    return Matrix(c if directed else setops.dedupe(c.unionByName(c.select(F.col("row_id").alias("col_id"), F.col("col_id").alias("row_id"), "val")), "max"), nodes, nodes)
+
+
 def trade(spark: SparkSession, d: str) -> Matrix:
     """Directed: order lines from the supplier's nation (column) to the customer's (row), in thousandths of all lines."""
     li = _t(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
@@ -112,12 +128,12 @@ def _digest(parts: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def edge_functions(spark: SparkSession, d: str) -> DataFrame:
     m = part_graph(spark, d)
-    ops = [("gq", 3), ("gt", 3), ("lq", 3), ("lt", 3), ("mul", 1.5), ("scale", 4), ("add", -2), ("abs", None), ("ceil", 2.5), ("floor", 2.5), ("pow", 0.5), ("exp", None), ("exp", 2), ("log", None), ("log", 10), ("neglog", None), ("const", 7)]
+    ops = [("gq", 2), ("gt", 1), ("lq", 1), ("lt", 2), ("mul", 1.5), ("scale", 4), ("add", -2), ("abs", None), ("ceil", 1.5), ("floor", 1.5), ("pow", 0.5), ("exp", None), ("exp", 2), ("log", None), ("log", 10), ("neglog", None), ("const", 7)]
     return _digest([(f"{n}_{'' if a is None else a}", edge.unary(m, edge.OPS[n]() if a is None else edge.OPS[n](a)).cells) for n, a in ops])
 
 
 def edge_chain(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(edge.unary(part_graph(spark, d), edge.add(-2), edge.mul(3), edge.log(), edge.floor(0.5)))
+    return _cells(edge.unary(part_graph(spark, d), edge.add(-0.5), edge.mul(3), edge.log(), edge.floor(0.5)))
 
 
 def merge_functions(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +204,7 @@ def mutual_arcs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compose(spark: SparkSession, d: str) -> DataFrame:
-    m = part_graph(spark, d)
+    m = match_graph(spark, d)
     return _cells(setops.compose(m, m))
 
 
@@ -266,7 +282,7 @@ def block_partition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unlink_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(reshape.unlink_nodes(part_graph(spark, d), 2, 6))
+    return _cells(reshape.unlink_nodes(match_graph(spark, d), 2, 6))
 
 
 def fold_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -386,23 +402,23 @@ def transform_program(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transform_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(transform.run(part_graph(spark, d), "gq(3), add(1), log(2), ceil(2.2)"))
+    return _cells(transform.run(part_graph(spark, d), "gq(1), add(1), log(2), ceil(1.2)"))
 
 
 def common_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _r(graphs.neighbour_cosine(part_graph(spark, d)))
+    return _r(graphs.neighbour_cosine(match_graph(spark, d)))
 
 
 # ---- 2.10: flow clustering
 
 
 def flow_prepare(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(flow.prepare(part_graph(spark, d)))
+    return _cells(flow.prepare(match_graph(spark, d)))
 
 
 def flow_round(spark: SparkSession, d: str) -> DataFrame:
     """One expansion, pruning at 0.02 and inflation, with the convergence number of every cell's column."""
-    m = flow.prepare(part_graph(spark, d))
+    m = flow.prepare(match_graph(spark, d))
     p = flow.prune(flow.expand(m), 0.02)
     chaos = p.select(F.col("col_id").alias("c"), "chaos").distinct()
     out = aggregates.inflate(m.put(p.select("col_id", "row_id", "val")), 2.0).cells
@@ -410,7 +426,7 @@ def flow_round(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flow_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return flow.cluster(part_graph(spark, d, 1), flow.Flow(inflation=2.0))
+    return flow.cluster(match_graph(spark, d), flow.Flow(inflation=2.0))
 
 
 def flow_dag(spark: SparkSession, d: str) -> DataFrame:
@@ -427,14 +443,14 @@ def diagonal_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shadow_factors(spark: SparkSession, d: str) -> DataFrame:
-    return _r(flow.shadow_factors(part_graph(spark, d), 1.5))
+    return _r(flow.shadow_factors(match_graph(spark, d), 1.5))
 
 
 # ---- 2.11: graph measures
 
 
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.components(part_graph(spark, d, 3))
+    return graphs.components(match_graph(spark, d))
 
 
 def tree_components(spark: SparkSession, d: str) -> DataFrame:
@@ -455,11 +471,11 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clustering_coefficient(spark: SparkSession, d: str) -> DataFrame:
-    return _r(graphs.clustering_coefficient(part_graph(spark, d)))
+    return _r(graphs.clustering_coefficient(match_graph(spark, d)))
 
 
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.distances(nation_net(spark, d), _t(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").cast("bigint").alias("id")))
+    return graphs.distances(match_graph(spark, d), spark.range(5))
 
 
 def path_lattice(spark: SparkSession, d: str) -> DataFrame:
@@ -475,7 +491,7 @@ def node_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_degree(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.top_degree(part_graph(spark, d), 25)
+    return graphs.top_degree(match_graph(spark, d), 25)
 
 
 def weight_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -487,7 +503,7 @@ def sorted_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return _r(graphs.sweep_thresholds(part_graph(spark, d), [2.0, 3.0, 4.0]))
+    return _r(graphs.sweep_thresholds(match_graph(spark, d), [0.25, 0.5, 0.75]))
 
 
 def knn_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -738,11 +754,11 @@ def alignments(spark: SparkSession, d: str) -> DataFrame:
 
 def block_spec(spark: SparkSession, d: str) -> DataFrame:
     ctx = blocks.Context(clusters=by_brand(spark, d))
-    return _cells(blocks.run(part_graph(spark, d), "dom(c, d(11,12,13)), dom(r, I(0-100)), val(gq(2),mul(2)), fin(tp)", ctx))
+    return _cells(blocks.run(part_graph(spark, d), "dom(c, d(11,12,13)), dom(r, I(0-100)), val(gq(1),mul(2)), fin(tp)", ctx))
 
 
 def block_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(blocks.run(part_graph(spark, d), "dom(cr, i(0-1000000)), size(gq(2),lq(5)), fin(scrub,cc)"))
+    return _cells(blocks.run(match_graph(spark, d), "size(gq(2),lq(5)), fin(scrub,cc)"))
 
 
 def stack_program(spark: SparkSession, d: str) -> DataFrame:
