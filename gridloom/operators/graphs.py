@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.matrix import Matrix, domain
 from gridloom.operators.setops import domain_meet
-from gridloom.plans.materialize import materialize, release
+from gridloom.plans.materialize import Levels, counted, materialize, release
 from gridloom.plans.ordering import running
 
 MAX_ROUNDS = 1000
@@ -47,11 +47,10 @@ def components(m: Matrix, nodes: DataFrame | None = None) -> DataFrame:
         near = e.join(label.select(F.col("node").alias("n"), F.col("lab").alias("l")), F.col("b") == F.col("n")).groupBy("a").agg(F.min("l").alias("l"))
         low = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("lab", F.coalesce("l", "lab")).alias("lab"), F.col("lab").alias("was"))
         jump = low.select(F.col("node").alias("n"), F.col("lab").alias("l"))
-        after = materialize(low.join(jump, F.col("lab") == F.col("n"), "left").select("node", F.least("lab", F.coalesce("l", "lab")).alias("lab"), "was"))
-        same = after.where("lab <> was").isEmpty()
+        after, seen = counted(low.join(jump, F.col("lab") == F.col("n"), "left").select("node", F.least("lab", F.coalesce("l", "lab")).alias("lab"), "was"), moved=F.count_if(F.col("lab") != F.col("was")))
         release(m.cells.sparkSession, label)
         label = after
-        if same:
+        if not seen["moved"]:
             return label.select(F.col("lab").alias("component"), "node")
     raise RuntimeError("components did not settle")
 
@@ -63,25 +62,18 @@ def component_sizes(m: Matrix) -> DataFrame:
 def distances(m: Matrix, sources: DataFrame, most: int | None = None, directed: bool = False) -> DataFrame:
     """(src, node, dist): breadth-first distances from every source (id), the source itself at 0. Without ``most``, nodes still unreached after MAX_ROUNDS steps are an error."""
     e = materialize(arcs_of(m).distinct() if directed else edges_of(m))
-    front = materialize(sources.select(F.col("id").alias("src"), F.col("id").alias("node"), F.lit(0).alias("dist")))
-    seen = [front]
+    levels = Levels(m.cells.sparkSession)
+    levels.add(sources.select(F.col("id").alias("src"), F.col("id").alias("node"), F.lit(0).alias("dist")))
     for d in range(1, (most if most is not None else MAX_ROUNDS) + 1):
-        old = seen[0]
-        for s in seen[1:]:
-            old = old.unionByName(s)
-        step = front.join(e, F.col("node") == F.col("a")).select("src", F.col("b").alias("node")).distinct()
-        known = old.select(F.col("src").alias("_s"), F.col("node").alias("_n"))
-        front = materialize(step.join(known, (F.col("src") == F.col("_s")) & (F.col("node") == F.col("_n")), "left_anti").withColumn("dist", F.lit(d)))
-        if front.isEmpty():
+        step = levels.read(1).join(e, F.col("node") == F.col("a")).select("src", F.col("b").alias("node")).distinct()
+        # an edge leads no farther back than one level, an arc to any
+        known = levels.read(0 if directed else 2).select(F.col("src").alias("_s"), F.col("node").alias("_n"))
+        if not levels.add(step.join(known, (F.col("src") == F.col("_s")) & (F.col("node") == F.col("_n")), "left_anti").withColumn("dist", F.lit(d))):
             break
-        seen.append(front)
     else:
         if most is None:
             raise RuntimeError(f"nodes still come within reach after {MAX_ROUNDS} steps")
-    out = seen[0]
-    for s in seen[1:]:
-        out = out.unionByName(s)
-    return out
+    return levels.read()
 
 
 def disc(m: Matrix, ids: DataFrame, steps: int) -> DataFrame:

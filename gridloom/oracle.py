@@ -118,11 +118,11 @@ def oracle_sql() -> dict[str, str]:
         "edge_chain": g + ", s AS (SELECT col_id, row_id, CASE WHEN val > 0.5 THEN ln((val - 0.5) * 3) END AS val FROM g WHERE val <> 0.5) SELECT col_id, row_id, round(greatest(val, 0.5), 6) AS val FROM s WHERE val <> 0",
         "merge_functions": _merges(),
         "arc_filters": _arcs(),
-        "matrix_add": f"WITH {parts('a', 2, True)}, {parts('b', 2, False)} SELECT col_id, row_id, sum(val) AS val FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL",
-        "matrix_hadamard": f"WITH {parts('a', 1, True)}, {parts('b', 2, False)} SELECT col_id, row_id, a.val * b.val AS val FROM a JOIN b USING (col_id, row_id)",
-        "matrix_minus": f"WITH {parts('a', 2)}, {parts('b', 1, True)} SELECT col_id, row_id, val FROM a ANTI JOIN b USING (col_id, row_id)",
-        "matrix_meet": f"WITH {parts('a', 2)}, {parts('b', 1, True)} SELECT col_id, row_id, val FROM a SEMI JOIN b USING (col_id, row_id)",
-        "update_meet": f"WITH {parts('a', 2)}, {parts('b', 1, True)} SELECT a.col_id, a.row_id, CASE WHEN b.val IS NULL THEN a.val ELSE a.val * 10 + b.val END AS val FROM a LEFT JOIN b USING (col_id, row_id)",
+        "matrix_add": f"WITH {parts('a', 1, True)}, {parts('b', 1, False)} SELECT col_id, row_id, sum(val) AS val FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL",
+        "matrix_hadamard": f"WITH {parts('a', 1, True)}, {parts('b', 1, False)} SELECT col_id, row_id, a.val * b.val AS val FROM a JOIN b USING (col_id, row_id)",
+        "matrix_minus": f"WITH {parts('a', 1)}, {parts('b', 1, True)} SELECT col_id, row_id, val FROM a ANTI JOIN b USING (col_id, row_id)",
+        "matrix_meet": f"WITH {parts('a', 1)}, {parts('b', 1, True)} SELECT col_id, row_id, val FROM a SEMI JOIN b USING (col_id, row_id)",
+        "update_meet": f"WITH {parts('a', 1)}, {parts('b', 1, True)} SELECT a.col_id, a.row_id, CASE WHEN b.val IS NULL THEN a.val ELSE a.val * 10 + b.val END AS val FROM a LEFT JOIN b USING (col_id, row_id)",
         "inner_products": f"WITH {parts('a', 1, True)}, {parts('b', 1, False)} SELECT col_id, sum(a.val * b.val) AS val FROM a JOIN b USING (col_id, row_id) GROUP BY col_id",
         "domain_parts": "WITH k AS (SELECT DISTINCT col_id AS id FROM cells WHERE col_id IS NOT NULL) SELECT (SELECT count(*) FROM coldom ANTI JOIN k USING (id)) AS left_only, (SELECT count(*) FROM coldom SEMI JOIN k USING (id)) AS both, (SELECT count(*) FROM k ANTI JOIN coldom USING (id)) AS right_only",
         "domain_relations": "WITH a AS (SELECT DISTINCT id FROM tab WHERE id IS NOT NULL), p AS (SELECT (SELECT count(*) FROM a ANTI JOIN coldom USING (id)) AS l, (SELECT count(*) FROM a SEMI JOIN coldom USING (id)) AS m, (SELECT count(*) FROM coldom ANTI JOIN a USING (id)) AS r) SELECT l = 0 AND r = 0 AS equal, r = 0 AS super, l = 0 AS sub, m = 0 AS disjoint, m > 0 AS meet, l > 0 AND m > 0 AND r > 0 AS trisphere, l > 0 AS ldiff, r > 0 AS rdiff FROM p",

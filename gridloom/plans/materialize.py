@@ -12,12 +12,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a folder of our own in a local session and an error on a cluster, whose workers share none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all workers share")
         folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -63,6 +66,27 @@ def counted(df: DataFrame, by: str | None = None, **aggs: Column) -> tuple[DataF
     return out, seen.get
 
 
+class Levels:
+    """Tables of one schema written one after another and read together in one scan, however many there are."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.parts = spark, f"{shared_folder(spark)}/gridloom/{uuid.uuid4().hex}", []
+        fs, p = _fs(spark, self.path)
+        fs.deleteOnExit(p)
+
+    def add(self, df: DataFrame) -> int:
+        """Write a further table; its number of rows."""
+        seen = Observation()
+        self.schema = df.schema
+        self.parts.append(f"{self.path}/part{len(self.parts)}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.parts[-1])
+        return seen.get["n"]
+
+    def read(self, last: int = 0) -> DataFrame:
+        """The last so many tables, by default all."""
+        return self.spark.read.schema(self.schema).parquet(*self.parts[-last:])
+
+
 def sweep(spark: SparkSession) -> None:
     """Let the driver drop shuffle files of finished jobs, which otherwise stay until its next full collection."""
     import gc

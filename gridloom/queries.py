@@ -158,23 +158,23 @@ def arc_filters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matrix_add(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(setops.binary(part_graph(spark, d, 2, True), part_graph(spark, d, 2, False), "add"))
+    return _cells(setops.binary(part_graph(spark, d, 1, True), part_graph(spark, d, 1, False), "add"))
 
 
 def matrix_hadamard(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(setops.hadamard(part_graph(spark, d, 1, True), part_graph(spark, d, 2, False)))
+    return _cells(setops.hadamard(part_graph(spark, d, 1, True), part_graph(spark, d, 1, False)))
 
 
 def matrix_minus(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(setops.restrict_columns(part_graph(spark, d, 2), part_graph(spark, d, 1, True), keep=False))
+    return _cells(setops.restrict_columns(part_graph(spark, d), part_graph(spark, d, 1, True), keep=False))
 
 
 def matrix_meet(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(setops.restrict_columns(part_graph(spark, d, 2), part_graph(spark, d, 1, True), keep=True))
+    return _cells(setops.restrict_columns(part_graph(spark, d), part_graph(spark, d, 1, True), keep=True))
 
 
 def update_meet(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(setops.update_where(part_graph(spark, d, 2), part_graph(spark, d, 1, True), lambda l, r: l * 10 + r))
+    return _cells(setops.update_where(part_graph(spark, d), part_graph(spark, d, 1, True), lambda l, r: l * 10 + r))
 
 
 def inner_products(spark: SparkSession, d: str) -> DataFrame:
