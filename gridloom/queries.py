@@ -796,7 +796,7 @@ def stream_arcs(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name).where("val <> 0")
 
 
-_NOT = {"read", "queries", "oracle_sql", "part_cells", "part_graph", "trade", "nation_net", "by_brand", "by_size", "cells_matrix", "cells_of", "domain"}
+_NOT = {"records", "match_graph", "read", "queries", "oracle_sql", "part_cells", "part_graph", "trade", "nation_net", "by_brand", "by_size", "cells_matrix", "cells_of", "domain"}
 
 
 def queries() -> dict:
