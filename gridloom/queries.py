@@ -426,6 +426,11 @@ def flow_round(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flow_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return flow.cluster(part_graph(spark, d, 1), flow.Flow(inflation=2.0))
+
+
+def match_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Flow clusters of the records of tree_pairs under all their matches."""
     return flow.cluster(match_graph(spark, d), flow.Flow(inflation=2.0))
 
 
