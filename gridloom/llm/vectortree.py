@@ -1,35 +1,45 @@
-"""Most similar vectors for every vector: hierarchical k-means tree, best bin first.
-
-The tree is fitted on a bounded sample of directions and every vector is put
-into its leaf. A search walks the tree from the root through a priority queue:
-the node of the greatest similarity on its path is taken out, a leaf is opened,
-an inner node puts its children in. Only what is taken out is compared, so a
-query costs its visits times the depth and not the size of the tree; the queues
-of a batch of queries run side by side as arrays. How many leaves a query opens
-is not guessed: for a bounded set of calibration queries the true neighbours
-are found by brute force against all vectors, and the visits are widened until
-the wanted share of them lies in an opened leaf.
-
-Leaves grow in number with the collection up to ``LEAVES``; beyond that, and
-where vectors crowd, a leaf is cut into blocks and its queries into parts, each
-pair of which is a task's work of bounded size. Each keeps ``k`` a query.
+"""Most similar vectors for every vector: hierarchical k-means trees, best bin first.
+
+A tree is fitted on a bounded sample of directions and every vector is put into
+the leaf at the end of its nearest centres. A search walks the tree from the
+root through a priority queue: the node is taken out whose path has left the
+nearest centres by the smallest gaps, a leaf is opened, an inner node puts its
+children in. Below the upper levels, which a batch of queries is compared with at
+once, only what is taken out is compared, so a query costs its visits times the
+depth and not the size of the tree; the queues of a batch of queries run side by
+side as arrays. How many leaves a query opens is not guessed: for a
+bounded set of calibration queries the true neighbours are found by brute force
+against all vectors, and the visits are widened until the wanted share of them
+lies in an opened leaf. Where that takes many leaves, further trees from other
+starts are added: a pair that one tree parts early is close together in another.
+Where all vectors are queries, a pair is found from either end, which finds
+more than calibrated.
+
+Leaves grow in number with the collection up to ``LEAVES``. Up to 64 leaves in
+a row are a cell, a task's work: a vector travels once to each cell in which it
+opens leaves, with a bit a leaf. Where vectors crowd, a cell is cut into blocks
+and its queries into parts. Each keeps ``k`` a query. Trees are searched one
+after another, so the shuffled vectors of one lie on disk at a time.
 
 Vectors of the same direction form one class, so copies neither crowd a leaf
-nor each other's lists.
+nor each other's lists. Vectors are read anew from the table by every step
+instead of being written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.plans.lookup import bucket_of
-from gridloom.plans.materialize import materialize
+from gridloom.plans.materialize import materialize, sweep
 
 #: Vectors the tree is fitted on: the first number, or so many a leaf up to the second.
 FIT_SAMPLE = 32768
@@ -45,36 +55,64 @@ PART_ROWS = 32768
 #: Queries that calibrate the visits at most.
 CALIBRATE = 1024
 RECALL = 0.97
+#: Nodes of the upper levels, that a batch of queries is compared with in one product.
+UPPER = 1024
 #: Queries that meet a leaf at once.
 BLOCK = 1024
-
-
-def directions(rows: DataFrame, item: str = "item", vals: str = "vals") -> DataFrame:
-    """(item, v): unit vectors as little-endian float64 bytes, one row an item.
-
-    A null, NaN or infinite element counts as 0, and so do the elements a list
-    is shorter by than the longest; null lists, empty lists, null items and
-    all-zero vectors have no direction. Of an item loaded with different lists
-    the one with the smaller bytes stays.
-    """
-    src = rows.select(F.col(item).cast("bigint").alias("item"), F.col(vals).cast("array<double>").alias("vals")).where("item IS NOT NULL AND vals IS NOT NULL")
-    width = src.agg(F.max(F.size("vals"))).first()[0] or 0
-
-    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out_i, out_v = [], []
-            for i, v in zip(pdf["item"], pdf["vals"]):
-                x = np.zeros(width)
-                x[: len(v)] = [0.0 if e is None else e for e in v]
-                x[~np.isfinite(x)] = 0
-                top = np.abs(x).max() if len(x) else 0
-                if top > 0:
-                    x /= top
-                    out_i.append(int(i))
-                    out_v.append((x / np.linalg.norm(x)).tobytes())
-            yield pd.DataFrame({"item": pd.array(out_i, dtype="int64"), "v": out_v})
-
-    return src.mapInPandas(unit, "item bigint, v binary").groupBy("item").agg(F.min("v").alias("v"))
+#: Leaves of a cell at most, a bit each of a bigint.
+CELL = 64
+#: Trees at most; what one more costs, in opened leaves a query, for every vector has to travel.
+TREES = 4
+TRAVEL = 4
+#: Items that are broadcast at most.
+FEW_ITEMS = 1 << 20
+
+
+def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
+    """Rows x ``width``: lists that end early and elements that are no finite number as 0."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    lens = lists.value_lengths().to_numpy(zero_copy_only=False)
+    x = np.zeros((len(lists), width))
+    x[np.arange(width) < lens[:, None]] = flat
+    x[~np.isfinite(x)] = 0
+    return x
+
+
+def _units(src: DataFrame, width: int, kind: str) -> DataFrame:
+    """(item, v) of (item, vals): unit vectors as little-endian float64 or float32 bytes, or ``print``: 16 bytes by which a direction is told at 12 digits."""
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("vals"), width)
+            top = np.abs(x).max(1, initial=0)
+            x = x[top > 0] / top[top > 0][:, None]
+            x /= np.sqrt((x * x).sum(1))[:, None]
+            if kind == "print":
+                rounded = memoryview((np.round(x, 12) + 0.0).tobytes())
+                v = pa.array([hashlib.blake2b(rounded[at : at + width * 8], digest_size=16).digest() for at in range(0, len(rounded), max(width * 8, 1))], pa.binary())
+            else:
+                v = _binary(x.astype(kind))
+            yield pa.RecordBatch.from_arrays([batch.column("item").filter(pa.array(top > 0)), v], ["item", "v"])
+
+    return src.select("item", "vals").mapInArrow(unit, "item bigint, v binary")
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """A row's bytes each."""
+    x = np.ascontiguousarray(x)
+    size = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, size * len(x) + 1, max(size, 1), dtype=np.int32)[: len(x) + 1]), pa.py_buffer(x)])
+
+
+def _vectors(col: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of float32 out of their bytes."""
+    parts = col.chunks if isinstance(col, pa.ChunkedArray) else [col]
+    rows = []
+    for part in parts:
+        if len(part):
+            first = np.frombuffer(part.buffers()[1], np.int32, 1, part.offset * 4)[0]
+            rows.append(np.frombuffer(part.buffers()[2], np.float32, len(part) * width, first).reshape(-1, width))
+    return np.concatenate(rows) if len(rows) > 1 else rows[0] if rows else np.zeros((0, width), np.float32)
 
 
 class Tree:
@@ -92,28 +130,49 @@ class Tree:
             self.first[starts[d] + own] = starts[d + 1] + at
             self.kids[starts[d] + own] = n
         self.roots = len(levels[0])
+        # an only child leaves no gap, so a walk by gaps passes on to where a path forks or ends
+        self.deep = np.arange(len(self.centres))
+        for at in range(len(self.centres) - 1, -1, -1):
+            if self.kids[at] == 1:
+                self.deep[at] = self.deep[self.first[at]]
+        self.upper = int(max(x for x in starts if x <= max(UPPER, self.roots)))
 
     @property
     def leaves(self) -> int:
         return len(self.levels[-1])
 
-    def priority(self, q: np.ndarray) -> np.ndarray:
-        """Queries x leaves: the smallest similarity on the path, in the order of which ``walk`` opens leaves; for calibration."""
-        path = q @ self.levels[0].T
-        for centres, up in zip(self.levels[1:], self.parent[1:]):
-            path = np.minimum(q @ centres.T, path[:, up])
+    def priority(self, q: np.ndarray, gaps: bool = False) -> np.ndarray:
+        """Queries x leaves: the order of which ``walk`` opens leaves; for calibration, and where most leaves are opened."""
+        path = None
+        for centres, up in zip(self.levels, self.parent):
+            sims = q @ centres.T
+            if gaps:
+                start = np.unique(up, return_index=True)[1]
+                sims = -((np.maximum.reduceat(sims, start, axis=1)[:, up] - sims) ** 2)
+                path = sims if path is None else path[:, up] + sims
+            else:
+                path = sims if path is None else np.minimum(sims, path[:, up])
         return path
 
-    def walk(self, q: np.ndarray, visits: int) -> np.ndarray:
-        """Queries x ``visits``: the leaves each query opens, best bin first; -1 where there are no more."""
+    def walk(self, q: np.ndarray, visits: int, gaps: bool = False) -> np.ndarray:
+        """Queries x ``visits``: the leaves each query opens, best bin first; -1 where there are no more.
+
+        A bin is as good as the smallest similarity on its path. That leaves
+        all leaves below a node of small similarity alike, so the search goes by
+        ``gaps``: the sum of squares of how much less similar each node of the
+        path is than the most similar of its siblings.
+        """
         n, rows = len(q), np.arange(len(q))
         out, got = np.full((n, visits), -1), np.zeros(n, dtype=int)
         keys = np.full((n, self.roots + 4 * BRANCH), -np.inf, dtype=np.float32)
         node = np.zeros(keys.shape, dtype=np.int32)
-        keys[:, : self.roots], node[:, : self.roots] = q @ self.centres[: self.roots].T, np.arange(self.roots)
+        deep = self.deep if gaps else np.arange(len(self.centres))
+        upper = q @ self.centres[: self.upper].T
+        sims = upper[:, : self.roots]
+        keys[:, : self.roots], node[:, : self.roots] = -((sims.max(1, keepdims=True) - sims) ** 2) if gaps else sims, deep[: self.roots]
         top = self.roots
         while len(rows):
-            at = keys[rows, :top].argmax(1)
+            at = (keys[:, :top] if len(rows) == n else keys[rows, :top]).argmax(1)
             best, taken = keys[rows, at], node[rows, at]
             keys[rows, at] = -np.inf
             leaf = (taken >= self.leaf0) & (best > -np.inf)
@@ -127,13 +186,30 @@ class Tree:
                     node = np.concatenate([node, np.zeros_like(node)], 1)
                 r, p = rows[inner], taken[inner]
                 kid = np.minimum(self.first[p][:, None] + np.arange(BRANCH), len(self.centres) - 1)
-                sims = np.minimum(np.einsum("bd,bkd->bk", q[r], self.centres[kid]), best[inner][:, None])
+                low = kid[:, 0] >= self.upper
+                sims = upper[r[:, None], np.minimum(kid, self.upper - 1)]
+                if low.any():
+                    sims[low] = np.matmul(self.centres[kid[low]], q[r[low]][:, :, None])[:, :, 0]
                 sims[np.arange(BRANCH) >= self.kids[p][:, None]] = -np.inf
-                keys[r, top : top + BRANCH], node[r, top : top + BRANCH] = sims, kid
+                up = best[inner][:, None]
+                sims = up - (sims.max(1, keepdims=True) - sims) ** 2 if gaps else np.minimum(sims, up)
+                keys[r, top : top + BRANCH], node[r, top : top + BRANCH] = sims, deep[kid]
                 top += BRANCH
             rows = rows[(best > -np.inf) & (got[rows] < visits)]
         return out
 
+    def opened(self, q: np.ndarray, visits: int) -> np.ndarray:
+        """Queries x ``visits``: the leaves that a search opens, a vector's own first; most leaves of a tree are told without a walk."""
+        visits = min(visits, self.leaves)
+        if visits * BRANCH < self.leaves:
+            return self.walk(q, visits, gaps=True)
+        out = np.empty((len(q), visits), dtype=int)
+        for at in range(0, len(q), 64):
+            far = -self.priority(q[at : at + 64], gaps=True)
+            some = np.argpartition(far, visits - 1, axis=1)[:, :visits] if visits < self.leaves else np.broadcast_to(np.arange(visits), far.shape)
+            out[at : at + 64] = np.take_along_axis(some, np.take_along_axis(far, some, 1).argsort(1, kind="stable"), 1)
+        return out
+
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means; returns non-empty unit centres and each row's centre."""
@@ -177,10 +253,6 @@ def fit_tree(x: np.ndarray, leaves: int, seed: int = 5) -> Tree:
             return Tree(levels, parent)
 
 
-def _rows(col: pd.Series, kind=np.float64) -> np.ndarray:
-    return np.frombuffer(b"".join(col), dtype=kind).reshape(len(col), -1)
-
-
 def _best(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's ``k`` largest from ``least`` on, all ties at the edge included."""
     bar = np.full(len(sims), least)
@@ -189,177 +261,316 @@ def _best(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarra
     return np.nonzero(sims >= bar[:, None])
 
 
-def neighbours(classes: DataFrame, queries: DataFrame, k: int, least: float = -2.0, recall: float = RECALL) -> tuple[DataFrame, dict]:
-    """((q, c, sim, rank), report): each query class's ``k`` most similar other classes with ``sim >= least``.
+def _near(s: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_best``, without sorting where hardly anything is as similar as ``least``."""
+    near = s >= least
+    if np.count_nonzero(near) <= near.size >> 6:
+        r, j = np.divmod(np.flatnonzero(near.ravel()), max(s.shape[1], 1))
+        if np.bincount(r, minlength=1).max(initial=0) <= k:
+            return r, j
+    return _best(s, k, least)
+
+
+class _Calibration:
+    """True neighbours of the calibration queries, and how many leaves of each tree lead to them."""
+
+    def __init__(self, classes: Callable, qid: np.ndarray, qx: np.ndarray, k: int, least: float):
+        order = np.argsort(qid)
+        self.qx = qx[order]
+        bq, width = classes().sparkSession.sparkContext.broadcast((qid[order], self.qx)), qx.shape[1]
+
+        def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, x32 = bq.value
+            q, sim, v = np.zeros(0, int), np.zeros(0, np.float32), np.zeros((0, width), np.float32)
+            bar = np.full(len(ids), least, np.float32)  # what is below is not among the k best of this task's vectors
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(at, BLOCK)
+                    x, c = _vectors(part.column("v"), width), part.column("c").to_numpy()
+                    s = x32 @ x.T
+                    own = np.minimum(np.searchsorted(ids, c), len(ids) - 1)
+                    same = np.flatnonzero(ids[own] == c)
+                    s[own[same], same] = -3
+                    near = s >= bar[:, None]
+                    r, j = np.nonzero(near) if np.count_nonzero(near) <= near.size >> 4 else _best(s, k, least)
+                    if len(r):
+                        q, sim, v = np.concatenate([q, r]), np.concatenate([sim, s[r, j]]), np.concatenate([v, x[j]])
+                        by = np.lexsort((-sim, q))
+                        nth = np.arange(len(by)) - np.searchsorted(q[by], q[by])
+                        full = by[nth == k - 1]
+                        bar[q[full]] = np.maximum(bar[q[full]], sim[full])
+                        by = by[nth < k]
+                        q, sim, v = q[by], sim[by], v[by]
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(sim.astype(float)), _binary(v)], ["q", "sim", "v"])
+
+        top = W.partitionBy("q").orderBy(F.desc("sim"))
+        near = classes().mapInArrow(brute, "q int, sim double, v binary").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("q", "v").toPandas()  # at most k a calibration query
+        self.q = near["q"].to_numpy()
+        self.x = np.frombuffer(b"".join(near["v"]), np.float32).reshape(len(near), width)
+
+    def __len__(self) -> int:
+        return len(self.q)
+
+    def need(self, tree: Tree) -> np.ndarray:
+        """How many leaves each query must open to reach the leaf of the neighbour beside it."""
+        out = np.zeros(len(self), int)
+        for lo in range(0, len(self), 64):
+            pr = tree.priority(self.qx[self.q[lo : lo + 64]], gaps=True)
+            home = tree.walk(self.x[lo : lo + 64], 1, gaps=True)
+            out[lo : lo + 64] = (pr >= np.take_along_axis(pr, home, 1)).sum(1)
+        return out
+
 
-    ``classes`` and ``queries``: (c, v). Similarities are those of the vectors
-    in single precision, summed in double. ``report``: leaves, visits, the recall
-    on the calibration queries' true neighbours (None if it was not measured, 1
-    if all leaves are opened) and the number of these neighbours.
+def neighbours(classes: Callable[..., DataFrame], n: int, asked: int, k: int, least: float = -2.0, recall: float = RECALL) -> tuple[DataFrame, dict]:
+    """((q, c, sim), report): each asked class's ``k`` most similar other classes with ``sim >= least``, and farther ones.
+
+    ``classes(where)``: (c, v float32 bytes, ask), of the classes whose number
+    fulfils a condition; ``n`` in all, ``asked`` of them queries. Similarities are
+    those of the vectors in single precision, summed in double. ``report``:
+    leaves, visits of a tree, trees, the recall on the calibration queries' true
+    neighbours (None if it was not measured, 1 if all leaves are opened) and the
+    number of these neighbours.
     """
-    spark = classes.sparkSession
-    n = classes.count()
-    if n < 2:
-        return spark.createDataFrame([], "q bigint, c bigint, sim double, rank int"), {"leaves": n, "visits": n, "recall": 1.0, "known": 0}
-    share = lambda m: F.lit(True) if m >= n else bucket_of(1_000_003, F.col("c"), F.lit(3)) < int(1_000_003 * m / n)
+    spark = classes().sparkSession
+    if n < 2 or not asked:
+        return spark.createDataFrame([], "q bigint, c bigint, sim double"), {"leaves": n, "visits": n, "trees": 1, "recall": 1.0, "known": 0}
+
+    def drawn(where: Callable[[Column], Column] | None, most: int, *need: str) -> tuple[np.ndarray, np.ndarray]:
+        rows = classes(where).where(" AND ".join(["true", *need])).select("c", "v").limit(most).toPandas()
+        return rows["c"].to_numpy(), np.frombuffer(b"".join(rows["v"]), np.float32).reshape(len(rows), -1)
+
+    share = lambda m, salt: None if m >= n else lambda c: bucket_of(1_000_003, c, F.lit(salt)) < int(1_000_003 * m / n) + 1
     leaves = min(LEAVES, max(1, n // LEAF))
     sample = min(FIT_MOST, max(FIT_SAMPLE, FIT_LEAF * leaves))
-    fit = _rows(classes.where(share(sample * 0.95)).select("v").limit(sample).toPandas()["v"]).astype(np.float32)
-    tree = fit_tree(fit, min(leaves, max(1, len(fit) // 4)))
-    del fit
-    shared = spark.sparkContext.broadcast((tree.levels, tree.parent))  # at most LEAVES * 17 / 16 centres and their parents
-
-    # true neighbours of the calibration queries, against all vectors
-    asked = queries.count()
-    cq = queries.where(bucket_of(1_000_003, F.col("c"), F.lit(9)) < int(1_000_003 * min(1.0, CALIBRATE * 0.9 / max(asked, 1))) + 1).select("c", "v").limit(CALIBRATE).toPandas()
-    visits, got, known = tree.leaves, 1.0, 0
-    if len(cq) and tree.leaves > 1:
-        qid, qx = cq["c"].to_numpy(), _rows(cq["v"])
-        bq = spark.sparkContext.broadcast((qid, qx.astype(np.float32)))
-
-        def true_leaves(k: int, least: float) -> pd.DataFrame:
-            def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                ids, x32 = bq.value
-                t = Tree(*shared.value)
-                for pdf in batches:
-                    if not len(pdf):
-                        continue
-                    x = _rows(pdf["v"]).astype(np.float32)
-                    s = x32 @ x.T
-                    s[ids[:, None] == pdf["c"].to_numpy()[None, :]] = -3
-                    r, j = _best(s, k, least)
-                    home = t.walk(x, 1)[:, 0]
-                    yield pd.DataFrame({"q": r.astype("int32"), "leaf": home[j].astype("int32"), "sim": s[r, j].astype("float64")})
-
-            top = W.partitionBy("q").orderBy(F.desc("sim"))
-            return classes.mapInPandas(brute, "q int, leaf int, sim double").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("q", "leaf").toPandas()  # at most k a calibration query
-
-        def opened(at: pd.DataFrame) -> np.ndarray:
-            """How many leaves each query must open to reach the leaf beside it, ascending."""
-            need = []
-            for lo in range(0, len(qx), 64):
-                pr, part = tree.priority(qx[lo : lo + 64].astype(np.float32)), at[(at["q"] >= lo) & (at["q"] < lo + 64)]
-                q, leaf = part["q"].to_numpy() - lo, part["leaf"].to_numpy()
-                need.append((pr[q] >= pr[q, leaf][:, None]).sum(1))
-            return np.sort(np.concatenate(need))
-
+    _, fit = drawn(share(sample * 0.95, 3) if sample < n else None, sample)
+    width, leaves = fit.shape[1], min(leaves, max(1, len(fit) // 4))
+    trees, both = [fit_tree(fit, leaves)], asked == n
+    known, got, visits = 0, 1.0, trees[0].leaves
+    if visits > 1:
+        qid, qx = drawn(share(CALIBRATE * 0.9 * n / asked, 9), CALIBRATE, "ask")
         # fewer neighbours than this and the quantile is just the largest of them
         enough = lambda at: len(at) * (1 - recall) >= 1 - 1e-9
-        quantile = lambda need: int(need[int(np.ceil(recall * len(need))) - 1])
-        truth = true_leaves(k, least)
-        need, known = opened(truth), len(truth)
-        if enough(truth):
-            visits = quantile(need)
-        elif enough(nearest := true_leaves(1, -2.0)):
-            visits = max(quantile(opened(nearest)), int(need.max(initial=1)))
-        if visits < tree.leaves:
-            got = float((need <= visits).mean()) if known else None
-    report = {"leaves": tree.leaves, "visits": visits, "recall": got, "known": known}
-
-    # a leaf's vectors by its number, at most LEAVES rows; crowded leaves are cut
-    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = Tree(*shared.value)
-        for pdf in batches:
-            for at in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[at : at + BLOCK]
-                x = _rows(part["v"]).astype(np.float32)
-                yield pd.DataFrame({"leaf": t.walk(x, 1)[:, 0].astype("int32"), "c": part["c"].to_numpy(), "v": [r.tobytes() for r in x]})
-
-    placed = materialize(classes.select("c", "v").mapInPandas(home, "leaf int, c bigint, v binary"))
-    held = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    blocks = np.array([-(-held.get(i, 0) // BLOCK_ROWS) or 1 for i in range(tree.leaves)])
-    parts = np.array([max(1, -(-int(held.get(i, 0) * visits * asked / n) // PART_ROWS)) for i in range(tree.leaves)])
-    cuts = spark.sparkContext.broadcast((blocks, parts))
-    mark = F.pandas_udf(lambda leaf, h: pd.Series((h.to_numpy() % cuts.value[0][leaf.to_numpy()]).astype("int32")), "int")
-    spread = F.pandas_udf(lambda leaf: pd.Series(cuts.value[1][leaf.to_numpy()].astype("int32")), "int")
-    if blocks.max() > 1 or parts.max() > 1:
-        placed = placed.withColumn("block", mark("leaf", F.pmod(F.xxhash64("c"), F.lit(1 << 30)))).withColumn("part", F.explode(F.sequence(F.lit(0), spread("leaf") - 1)))
-    else:
-        placed = placed.withColumn("block", F.lit(0)).withColumn("part", F.lit(0))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = Tree(*shared.value)
-        blocks, parts = cuts.value
-        for pdf in batches:
-            for at in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[at : at + BLOCK]
-                x = _rows(part["v"]).astype(np.float32)
-                leaf = t.walk(x, min(visits, t.leaves))
-                r, j = np.nonzero(leaf >= 0)
-                leaf = leaf[r, j]
-                n = blocks[leaf]
-                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                r, leaf = np.repeat(r, n), np.repeat(leaf, n)
-                v = np.array([b.tobytes() for b in x], dtype=object)
-                c = part["c"].to_numpy()
-                yield pd.DataFrame({"leaf": leaf.astype("int32"), "block": block.astype("int32"), "part": ((c[r] * 2654435761 >> 7) % parts[leaf]).astype("int32"), "c": c[r], "v": v[r]})
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            ids, x = left["c"].to_numpy(), _rows(left["v"], np.float32)
-            x64 = x.astype(np.float64)
-            for at in range(0, len(right), BLOCK):
-                part = right.iloc[at : at + BLOCK]
-                q, qi = _rows(part["v"], np.float32), part["c"].to_numpy()
-                s = q @ x.T
-                s[qi[:, None] == ids[None, :]] = -3
-                r, j = _best(s, k, least - 1e-5)
-                sim = np.einsum("ij,ij->i", q[r].astype(np.float64), x64[j])
-                keep = sim >= least - 1e-7
-                out.append(pd.DataFrame({"q": qi[r[keep]], "c": ids[j[keep]], "sim": sim[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"q": pd.array([], "int64"), "c": pd.array([], "int64"), "sim": pd.array([], "float64")})
-
-    visit = queries.select("c", "v").mapInPandas(place, "leaf int, block int, part int, c bigint, v binary")
-    by = ("leaf", "block", "part")
-    found = placed.groupBy(*by).cogroup(visit.groupBy(*by)).applyInPandas(search, "q bigint, c bigint, sim double")
-    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), F.asc("c")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k), report
-
-
-def direction_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes (c, v), members (c, item, nth)): items of one direction, told by their bytes at 12 digits, named by the smallest item."""
-
-    def rounded(v: pd.Series) -> pd.Series:
-        return pd.Series([np.round(np.frombuffer(x, dtype=np.float64), 12).__add__(0.0).tobytes() for x in v])
-
-    key = F.pandas_udf(rounded, "binary")
-    named = vectors.select("item", "v", key("v").alias("key"))
-    prints = named.select("item", F.sha2("key", 256).alias("h"))
-    firsts = prints.groupBy("h").agg(F.min("item").alias("c"), F.count("*").alias("size"))
-    # only classes with copies go through a join
-    multi = firsts.where("size > 1")
-    shared = prints.join(multi, "h").select("item", "c")
-    copies = shared.where("item <> c").select(F.col("item").alias("ci"))
-    classes = vectors.join(copies, F.col("item") == F.col("ci"), "left_anti").select(F.col("item").alias("c"), "v")
-    return classes, shared
+        # the sample may be luckier than the whole: its standard error is added to the share
+        surely = lambda need: min(1.0, recall + (recall * (1 - recall) / len(need)) ** 0.5)
+        quantile = lambda need: int(np.sort(need)[int(np.ceil(surely(need) * len(need))) - 1])
+        truth = nearest = None
+        if len(qid):
+            truth = _Calibration(classes, qid, qx, k, least)
+            known = len(truth)
+            nearest = truth if enough(truth) else _Calibration(classes, qid, qx, 1, -2.0)
+        if nearest is not None and enough(nearest):
+            # the need of each neighbour in the trees so far, the smallest counts
+            needs = [(nearest.need(trees[0]), truth.need(trees[0]))]
+
+            def wanted() -> int:
+                near, true = (np.min(x, axis=0) for x in zip(*needs))
+                return quantile(near) if nearest is truth else max(quantile(near), int(true.max(initial=1)))
+
+            visits = wanted()
+            while len(trees) < TREES and visits > 1:
+                more = fit_tree(fit, leaves, 5 + len(trees))
+                needs.append((nearest.need(more), truth.need(more)))
+                fewer, cost = wanted(), lambda m, v: m * (TRAVEL + v * asked / n)
+                if cost(len(trees) + 1, fewer) >= cost(len(trees), visits):
+                    needs.pop()
+                    break
+                trees.append(more)
+                visits = fewer
+            if visits < trees[0].leaves:
+                got = float((np.min([x[1] for x in needs], axis=0) <= visits).mean()) if known else None
+    if visits >= trees[0].leaves:
+        trees, visits, got = trees[:1], trees[0].leaves, 1.0
+    report = {"leaves": trees[0].leaves, "visits": visits, "trees": len(trees), "recall": got, "known": known}
+
+    some = fit[:FIT_SAMPLE]
+    found = []
+    for tree in trees:
+        pairs = _search(classes, tree, visits, some, n, asked, width, k, least)
+        if len(trees) > 1:  # one tree's shuffle after the other's
+            pairs = materialize(pairs)
+            sweep(spark)
+        found.append(pairs)
+    every = found[0]
+    for pairs in found[1:]:
+        every = every.unionByName(pairs)
+    if both:  # each pair once, from either end
+        every = every.groupBy("q", "c").agg(F.max("sim").alias("sim"))
+        ends = F.explode(F.array(F.struct("q", "c"), F.struct(F.col("c").alias("q"), F.col("q").alias("c"))))
+        every = every.select(ends.alias("e"), "sim").select("e.q", "e.c", "sim")
+    elif len(trees) > 1:
+        every = every.groupBy("q", "c").agg(F.max("sim").alias("sim"))
+    return every, report
+
+
+def _search(classes: Callable[..., DataFrame], tree: Tree, visits: int, some: np.ndarray, n: int, asked: int, width: int, k: int, least: float) -> DataFrame:
+    """(q, c, sim): the ``k`` best in each opened leaf of one tree; where all are queries, a pair once, with q < c."""
+    sc = classes().sparkSession.sparkContext
+    per = min(CELL, max(1, tree.leaves // 64))  # leaves of a cell
+    cells, both = -(-tree.leaves // per), asked == n
+
+    def cell_rows(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, bits) of the leaves that each row opens."""
+        cell = np.sort(leaf, 1)
+        row, cell = np.repeat(np.arange(len(leaf)), leaf.shape[1]), cell.ravel()
+        row, cell = row[cell >= 0], cell[cell >= 0]
+        if not len(row):
+            return row, cell, np.zeros(0, np.int64)
+        bit = np.left_shift(np.uint64(1), (cell % per).astype(np.uint64))
+        cell = cell // per
+        start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])
+        return row[start], cell[start], np.bitwise_or.reduceat(bit, start).view(np.int64)
+
+    # rows of each cell, from the share of a sample
+    held, met = np.zeros(cells), np.zeros(cells)
+    for at in range(0, len(some), BLOCK):
+        held += np.bincount(tree.walk(some[at : at + BLOCK], 1, gaps=True)[:, 0] // per, minlength=cells)
+    asking = some[:2048]
+    for at in range(0, len(asking), 64):
+        met += np.bincount(cell_rows(tree.opened(asking[at : at + 64], visits))[1], minlength=cells)
+    blocks = np.maximum(1, np.ceil(held * (n / len(some)) / (BLOCK_ROWS * min(per, 16)))).astype(int)
+    parts = np.maximum(1, np.ceil(met * (asked / len(asking)) / (PART_ROWS * min(per, 4)))).astype(int)
+    shared = sc.broadcast((tree.levels, tree.parent, blocks, parts))  # at most LEAVES * 17 / 16 centres and their parents
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, parent, blocks, parts = shared.value
+        t = Tree(levels, parent)
+        step = max(1, min(BLOCK, (1 << 20) // visits))
+
+        def sent(x: np.ndarray, c: np.ndarray, leaf: np.ndarray, ask: bool) -> pa.RecordBatch:
+            row, cell, bits = cell_rows(leaf)
+            bits = bits if ask else np.zeros_like(bits)
+            own = leaf[row, 0]
+            home = np.where(own // per == cell, own % per, -1)
+            block, part = np.zeros(len(row), int), np.zeros(len(row), int)
+            b, p = blocks[cell], parts[cell]
+            if (b > 1).any() or (p > 1).any():
+                # as a vector into its block with all parts, as a query into its part with all blocks
+                times = b + p - 1
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, cell, bits, home, b, p = (np.repeat(a, times) for a in (row, cell, bits, home, b, p))
+                mix = (c[row] * 2654435761 >> 7) & 0x7FFFFFFF
+                block, part = mix % b, mix // 1009 % p
+                other = nth - p
+                home, bits = np.where(other < 0, home, -1), np.where((other >= 0) | (nth == part), bits, 0)
+                block, part = np.where(other < 0, block, other + (other >= block)), np.where(other < 0, nth, part)
+                keep = (home >= 0) | (bits != 0)
+                row, cell, bits, home, block, part = (a[keep] for a in (row, cell, bits, home, block, part))
+            ints = [pa.array(a.astype(np.int32)) for a in (cell, block, part, home)]
+            return pa.RecordBatch.from_arrays([*ints, pa.array(bits), pa.array(c[row]), _binary(x[row])], ["cell", "block", "part", "home", "bits", "c", "v"])
+
+        for batch in batches:
+            x, c, ask = _vectors(batch.column("v"), width), batch.column("c").to_numpy(), batch.column("ask").to_numpy(zero_copy_only=False).astype(bool)
+            for rows, n in ((np.flatnonzero(ask), step), (np.flatnonzero(~ask), BLOCK)):
+                for at in range(0, len(rows), n):
+                    r = rows[at : at + n]
+                    yield sent(x[r], c[r], t.opened(x[r], visits) if ask[r[0]] else t.walk(x[r], 1, gaps=True), bool(ask[r[0]]))
+
+    def search(table: pa.Table) -> pa.Table:
+        x, c = _vectors(table.column("v"), width), table.column("c").to_numpy()
+        home, bits = table.column("home").to_numpy(), table.column("bits").to_numpy()
+        out_q, out_c, out_s = [], [], []
+        for leaf in np.unique(home[home >= 0]):
+            h, q = np.flatnonzero(home == leaf), np.flatnonzero(bits >> np.int64(leaf) & 1)
+            xh = x[h]
+            for at in range(0, len(q), BLOCK):
+                qq = q[at : at + BLOCK]
+                s = x[qq] @ xh.T
+                r, j = _near(s, k + 1, least - 1e-5)
+                found = [(r, j)]
+                # from the other end nothing is left to find where the rows have given all that is near
+                if both and (np.bincount(r, minlength=1).max() > k or np.bincount(j, minlength=1).max() > k + 1):
+                    j, r = _near(s.T, k + 1, least - 1e-5)
+                    found.append((r, j))
+                for r, j in found:
+                    a, b = qq[r], h[j]
+                    keep = c[a] != c[b]
+                    out_q.append(a[keep])
+                    out_c.append(b[keep])
+        a, b = (np.concatenate([*o, np.zeros(0, int)]).astype(int) for o in (out_q, out_c))
+        if both:
+            a, b = np.where(c[a] < c[b], a, b), np.where(c[a] < c[b], b, a)
+        if both and len(a):
+            code = np.unique(a * len(c) + b)
+            a, b = np.divmod(code, len(c))
+        for at in range(0, len(a), 65536):
+            out_s.append(np.einsum("ij,ij->i", x[a[at : at + 65536]].astype(float), x[b[at : at + 65536]].astype(float)))
+        sim = np.concatenate([*out_s, np.zeros(0)])
+        keep = sim >= least - 1e-7
+        return pa.table({"q": c[a[keep]], "c": c[b[keep]], "sim": sim[keep]})
+
+    placed = classes().mapInArrow(place, "cell int, block int, part int, home int, bits bigint, c bigint, v binary")
+    return placed.groupBy("cell", "block", "part").applyInArrow(search, "q bigint, c bigint, sim double")
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A written table, by broadcast where it is counted as small."""
+    return F.broadcast(df) if df.count() <= FEW_ITEMS else df
 
 
 def most_similar(rows: DataFrame, k: int = 10, least: float = -2.0, every: int = 1, recall: float = RECALL) -> tuple[DataFrame, dict]:
     """((item, other, sim, rank), report): the ``k`` most similar other items of every item whose id ``every`` divides.
 
+    A null, NaN or infinite element counts as 0, and so do the elements a list
+    is shorter by than the longest; null lists, empty lists, null items and
+    all-zero vectors have no direction. Of an item loaded with different lists
+    the one with the smaller bytes stays. Items of one direction, told at 12
+    digits, form a class named by the smallest item.
+
     Ties go to the smaller id, items of one direction are each other's most
     similar at 1. Only pairs with a cosine of at least ``least``. Empty tables
     give an empty result, further columns are ignored.
     """
-    vectors = materialize(directions(rows))
-    classes, shared = direction_classes(vectors)
-    classes, shared = materialize(classes), materialize(shared)
-    asked = F.pmod("item", F.lit(every)) == 0
-    if every == 1:
-        queries = classes
-    else:
-        own = vectors.where(asked).select("item").join(shared.withColumnRenamed("item", "si"), F.col("item") == F.col("si"), "left").select(F.coalesce("c", "item").alias("qc")).distinct()
-        queries = classes.join(own, F.col("c") == F.col("qc"), "left_semi")
-    near, report = neighbours(classes, queries, k, least, recall)
-    near = near.select("q", "c", "sim")
+    src = rows.select(F.col("item").cast("bigint").alias("item"), F.col("vals").cast("array<double>").alias("vals")).where("item IS NOT NULL AND vals IS NOT NULL")
+    width = src.agg(F.max(F.size("vals"))).first()[0] or 0
+    prints = materialize(_units(src, width, "print"))
+    # items loaded more than once, then classes with copies: only these go through joins
+    twice = materialize(prints.groupBy("item").agg(F.count("*").alias("n")).where("n > 1").select("item"))
+    again = _bounded(twice)
+    one = _units(src.join(again, "item", "left_semi"), width, "float64").groupBy("item").agg(F.min("v").alias("v"))
+    chosen = materialize(one)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = [np.frombuffer(b) for b in batch.column("v").to_pylist()]
+            digest = [hashlib.blake2b((np.round(x, 12) + 0.0).tobytes(), digest_size=16).digest() for x in v]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(digest, pa.binary()), pa.array([x.astype(np.float32).tobytes() for x in v], pa.binary())], ["item", "v", "x"])
+
+    chosen = chosen.mapInArrow(unpack, "item bigint, v binary, x binary")
+    told = prints.join(again, "item", "left_anti").unionByName(chosen.select("item", "v"))
+    firsts = materialize(told.groupBy("v").agg(F.min("item").alias("c"), F.count("*").alias("size")).where("size > 1"))
+    shared = materialize(told.join(_bounded(firsts), "v").select("item", "c"))
+    copies = shared.where("item <> c").select("item")
+    special = _bounded(materialize(twice.unionByName(copies).distinct()))
+    copied = _bounded(materialize(copies))
+    # classes asked for: by their own number, or by that of a copy
+    asks = lambda item: F.pmod(item, F.lit(every)) == 0
+    also = materialize(shared.where(asks(F.col("item")) & ~asks(F.col("c"))).select(F.col("c").alias("ac")).distinct()) if every > 1 else None
+    counted = told.agg(F.count("*").alias("n"), F.count_if(asks(F.col("item"))).alias("a")).first()
+    n = counted.n - copies.count()
+    asked = n if every == 1 else counted.a - copies.where(asks(F.col("item"))).count() + also.count()
+    also = _bounded(also) if every > 1 else None
+
+    def classes(where: Callable[[Column], Column] | None = None) -> DataFrame:
+        own = (lambda df: df.where(where(F.col("item")))) if where else lambda df: df
+        main = _units(own(src).join(special, "item", "left_anti"), width, "float32")
+        rest = own(chosen.select("item", F.col("x").alias("v"))).join(copied, "item", "left_anti")
+        out = main.unionByName(rest).withColumnRenamed("item", "c")
+        if every == 1:
+            return out.withColumn("ask", F.lit(True))
+        return out.join(also, F.col("c") == F.col("ac"), "left").select("c", "v", (asks(F.col("c")) | F.col("ac").isNotNull()).alias("ask"))
+
+    near, report = neighbours(classes, n, asked, k, least, recall)
+    nearest = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), F.asc("c")))
+    near = near.withColumn("nth", nearest).where(F.col("nth") <= k).select("q", "c", "sim")
     # of each class of copies only its first k + 1 items can be on anyone's list
     firsts = shared.withColumn("nth", F.row_number().over(W.partitionBy("c").orderBy("item"))).where(F.col("nth") <= k + 1).select(F.col("c").alias("fc"), F.col("item").alias("fi"))
     listed = near.join(firsts, F.col("c") == F.col("fc"), "left").select("q", F.coalesce("fi", "c").alias("other"), "sim")
     same = firsts.select(F.col("fc").alias("q"), F.col("fi").alias("other"), F.lit(1.0).alias("sim")) if least <= 1 else listed.limit(0)
     best = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), F.asc("other")))
     listed = listed.unionByName(same).withColumn("b", best).where(F.col("b") <= k + 1)
-    who = vectors.where(asked).select("item").join(shared.withColumnRenamed("item", "si"), F.col("item") == F.col("si"), "left").select("item", F.coalesce("c", "item").alias("qc"))
-    pairs = who.join(listed, F.col("qc") == F.col("q")).where("item <> other").select("item", "other", "sim")
+    # a class's items: its copies, or itself
+    members = shared.where(asks(F.col("item"))).select(F.col("item").alias("si"), F.col("c").alias("sc"))
+    alone = listed.join(shared.select(F.col("c").alias("sc")).distinct(), F.col("q") == F.col("sc"), "left_anti").select(F.col("q").alias("item"), "other", "sim")
+    pairs = alone.unionByName(listed.join(members, F.col("q") == F.col("sc")).select(F.col("si").alias("item"), "other", "sim")).where("item <> other")
     rank = F.row_number().over(W.partitionBy("item").orderBy(F.desc("sim"), F.asc("other")))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k), report

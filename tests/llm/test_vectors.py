@@ -106,3 +106,29 @@ def test_crowded_leaves_are_cut(spark, monkeypatch):
 def test_shorter_lists_end_in_zeros(spark):
     near, _ = vectortree.most_similar(_frame(spark, [(1, [1.0, 2.0]), (2, [2.0, 4.0, 0.0, None]), (3, [0.0, 0.0, 0.0, 1.0])]), k=1, least=0.9)
     assert {(r.item, r.other) for r in near.collect()} == {(1, 2), (2, 1)}
+
+
+def test_few_leaves_lead_to_near_pairs(spark, monkeypatch):
+    """The search opens a few of many leaves, below upper nodes of any similarity; a cell holds several leaves."""
+    monkeypatch.setattr(vectortree, "LEAF", 8)
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.normal(size=(1500, 32)), 2, axis=0) + rng.normal(size=(3000, 32)) * 0.12
+    near, report = vectortree.most_similar(_frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), k=5, least=0.9, recall=0.99)
+    got, want = {(r.item, r.other) for r in near.collect()}, _truth(x, 5, 0.9)
+    assert report["leaves"] > 250 and report["visits"] * report.get("trees", 1) <= 24
+    assert got <= want and len(got) >= 0.99 * len(want) > 2900
+
+
+def test_walk_by_gaps_starts_at_the_nearest_centres():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    t = vectortree.fit_tree(x, 200)
+    got, pr = t.walk(x[:50], 9, gaps=True), t.priority(x[:50], gaps=True)
+    assert np.allclose(np.take_along_axis(pr, got, 1), -np.sort(-pr, axis=1)[:, :9], atol=1e-5)
+    for q, leaf in zip(x[:50], got[:, 0]):
+        node, rows = 0, np.arange(len(t.levels[0]))
+        for d in range(len(t.levels)):
+            node = rows[(t.levels[d][rows] @ q).argmax()]
+            rows = np.flatnonzero(t.parent[d + 1] == node) if d + 1 < len(t.levels) else rows
+        assert node == leaf
