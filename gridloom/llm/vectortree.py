@@ -292,7 +292,7 @@ class _Calibration:
                     same = np.flatnonzero(ids[own] == c)
                     s[own[same], same] = -3
                     near = s >= bar[:, None]
-                    r, j = np.nonzero(near) if np.count_nonzero(near) <= near.size >> 4 else _best(s, k, least)
+                    r, j = np.divmod(np.flatnonzero(near.ravel()), near.shape[1]) if np.count_nonzero(near) <= near.size >> 4 else _best(s, k, least)
                     if len(r):
                         q, sim, v = np.concatenate([q, r]), np.concatenate([sim, s[r, j]]), np.concatenate([v, x[j]])
                         by = np.lexsort((-sim, q))
@@ -455,8 +455,8 @@ def _search(classes: Callable[..., DataFrame], tree: Tree, visits: int, some: np
                 block, part = np.where(other < 0, block, other + (other >= block)), np.where(other < 0, nth, part)
                 keep = (home >= 0) | (bits != 0)
                 row, cell, bits, home, block, part = (a[keep] for a in (row, cell, bits, home, block, part))
-            ints = [pa.array(a.astype(np.int32)) for a in (cell, block, part, home)]
-            return pa.RecordBatch.from_arrays([*ints, pa.array(bits), pa.array(c[row]), _binary(x[row])], ["cell", "block", "part", "home", "bits", "c", "v"])
+            key = cell.astype(np.int64) << 42 | block << 21 | part  # one number, which the shuffle sorts by at once
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(home.astype(np.int32)), pa.array(bits), pa.array(c[row]), _binary(x[row])], ["key", "home", "bits", "c", "v"])
 
         for batch in batches:
             x, c, ask = _vectors(batch.column("v"), width), batch.column("c").to_numpy(), batch.column("ask").to_numpy(zero_copy_only=False).astype(bool)
@@ -469,8 +469,10 @@ def _search(classes: Callable[..., DataFrame], tree: Tree, visits: int, some: np
         x, c = _vectors(table.column("v"), width), table.column("c").to_numpy()
         home, bits = table.column("home").to_numpy(), table.column("bits").to_numpy()
         out_q, out_c, out_s = [], [], []
-        for leaf in np.unique(home[home >= 0]):
-            h, q = np.flatnonzero(home == leaf), np.flatnonzero(bits >> np.int64(leaf) & 1)
+        by_home = np.argsort(home, kind="stable")
+        of = np.searchsorted(home[by_home], np.arange(per + 1))
+        for leaf in np.flatnonzero(np.diff(of)):
+            h, q = by_home[of[leaf] : of[leaf + 1]], np.flatnonzero(bits & np.uint64(1 << int(leaf)).astype(np.int64))
             xh = x[h]
             for at in range(0, len(q), BLOCK):
                 qq = q[at : at + BLOCK]
@@ -498,8 +500,8 @@ def _search(classes: Callable[..., DataFrame], tree: Tree, visits: int, some: np
         keep = sim >= least - 1e-7
         return pa.table({"q": c[a[keep]], "c": c[b[keep]], "sim": sim[keep]})
 
-    placed = classes().mapInArrow(place, "cell int, block int, part int, home int, bits bigint, c bigint, v binary")
-    return placed.groupBy("cell", "block", "part").applyInArrow(search, "q bigint, c bigint, sim double")
+    placed = classes().mapInArrow(place, "key bigint, home int, bits bigint, c bigint, v binary")
+    return placed.groupBy("key").applyInArrow(search, "q bigint, c bigint, sim double")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
